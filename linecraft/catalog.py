@@ -133,3 +133,215 @@ def q_train_loss(spark, sf):
     """Sum of step losses / number of batches per group."""
     ev = table(spark, sf, "events").select(F.col("event_type").alias("epoch"), F.col("value").alias("loss"))
     return M.mean_train_loss(ev)
+
+
+# ---------------------------------------------------------------------------------------
+# Lines, labels and the render plan (F-plan)
+# ---------------------------------------------------------------------------------------
+
+from linecraft.operators import generate as GEN  # noqa: E402
+from linecraft.operators import render as R  # noqa: E402
+from linecraft.plans import render as PR  # noqa: E402
+from linecraft.sources import textfiles as TF  # noqa: E402
+
+
+def _lines(spark, sf):
+    return TF.read_lines(_docs(spark, sf), "doc_id", "text", 200)
+
+
+@register("read_lines", f"""
+WITH {O.lines_cte()}
+SELECT line_no, doc_id, text FROM lines
+""")
+def q_read_lines(spark, sf):
+    """A1: non-empty lines of every document, cut to 200 characters, globally numbered."""
+    return _lines(spark, sf)
+
+
+_FONTS_SQL = "(VALUES " + ", ".join(f"({i}, {O.lit(p)})" for i, p in enumerate(PR.FIXTURE_FONTS)) + ") AS f(font_no, font)"
+_RECIPES_SQL = "(VALUES " + ", ".join(
+    "(" + ", ".join(str(v).lower() if isinstance(v, bool) else str(v) for v in r) + ")" for r in R.RECIPES
+) + ") AS r(" + ", ".join(R.RECIPE_COLUMNS) + ")"
+
+
+def _colour_sql(ch_lo: int, ch_hi: int, stream: str) -> str:
+    lo, hi = min(ch_lo, ch_hi), max(ch_lo, ch_hi)
+    return O.randint(str(lo), str(hi), 42, stream, "line_no")
+
+
+_C1 = (0, 0, 0)
+_C2 = (0x88, 0x88, 0x88)
+
+
+@register("render_plan", f"""
+WITH {O.lines_cte()},
+cnt AS (SELECT count(*) // 7 AS n FROM lines),
+blocked AS (SELECT line_no, text,
+            CAST(CASE WHEN (SELECT n FROM cnt) = 0 THEN 7 ELSE least(line_no // (SELECT n FROM cnt), 7) END AS INTEGER) AS block
+            FROM lines),
+planned AS (SELECT b.line_no, b.block, CAST(b.line_no - b.block * (SELECT n FROM cnt) AS BIGINT) AS "index", b.text,
+            r.background, r.distortion, r.distortion_orientation, r.skew_angle, r.random_skew, r.blur, r.random_blur,
+            {O.randint('0', str(len(PR.FIXTURE_FONTS) - 1), 42, 'font', 'b.line_no')} AS font_no
+            FROM blocked b JOIN {_RECIPES_SQL} ON r.block = b.block)
+SELECT p.line_no, p.block, p."index", p.text, f.font, 64 AS size, p.background, p.distortion,
+       p.distortion_orientation,
+       CAST(CASE WHEN p.random_skew THEN {O.randint('-p.skew_angle', 'p.skew_angle', 42, 'angle', 'p.line_no')}
+            ELSE p.skew_angle END AS INTEGER) AS angle,
+       CASE WHEN p.random_blur THEN {O.uniform(42, 'blur', 'p.line_no')} * p.blur ELSE CAST(p.blur AS DOUBLE) END AS blur_radius,
+       CAST({O.randint('0', '136', 42, 'fill0', 'p.line_no')} AS INTEGER) AS fill_r,
+       CAST({O.randint('0', '136', 42, 'fill1', 'p.line_no')} AS INTEGER) AS fill_g,
+       CAST({O.randint('0', '136', 42, 'fill2', 'p.line_no')} AS INTEGER) AS fill_b,
+       {O.safe_name('CAST(p."index" AS VARCHAR)')} || '.jpg' AS image_name
+FROM planned p JOIN {_FONTS_SQL} ON f.font_no = p.font_no
+""")
+def q_render_plan(spark, sf):
+    """F-plan: C3/F7 blocks, F5/C4 fonts, F6 drawn parameters, B14 names for every line."""
+    return PR.plan_lines(spark, _docs(spark, sf))
+
+
+@register("recipe_blocks", f"""
+WITH {O.lines_cte()},
+cnt AS (SELECT count(*) // 7 AS n FROM lines),
+blocked AS (SELECT CAST(CASE WHEN (SELECT n FROM cnt) = 0 THEN 7 ELSE least(line_no // (SELECT n FROM cnt), 7) END AS INTEGER) AS block
+            FROM lines)
+SELECT block, CAST(count(*) AS BIGINT) AS n_lines FROM blocked GROUP BY block
+""")
+def q_recipe_blocks(spark, sf):
+    """Number of lines per recipe block (seven equal blocks plus the remainder)."""
+    return R.assign_recipes(_lines(spark, sf)).groupBy("block").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@register("parse_labels", f"""
+WITH {O.lines_cte()},
+s AS (SELECT line_no, {O.py_strip('text')} AS s FROM lines)
+SELECT line_no, substr(s, 1, strpos(s, ' ') - 1) AS file_name, substr(s, strpos(s, ' ') + 1) AS text
+FROM s WHERE s <> '' AND strpos(s, ' ') > 0
+""")
+def q_parse_labels(spark, sf):
+    """A4: label lines split on the first space into file name and label."""
+    good, _ = TF.parse_labels(_lines(spark, sf).select("line_no", "text"))
+    return good
+
+
+@register("label_quarantine", f"""
+WITH {O.lines_cte()},
+s AS (SELECT line_no, {O.py_strip('text')} AS s FROM lines)
+SELECT line_no, s AS stripped FROM s WHERE s <> '' AND strpos(s, ' ') = 0
+""")
+def q_label_quarantine(spark, sf):
+    """A4/Q5: label lines without a space, kept aside instead of reusing the previous row."""
+    _, bad = TF.parse_labels(_lines(spark, sf).select("line_no", "text"))
+    return bad.select("line_no", "stripped")
+
+
+@register("label_lines", f"""
+WITH {O.lines_cte()}
+SELECT line_no AS idx, CAST(line_no AS VARCHAR) || '.jpg ' || text AS line FROM lines
+""")
+def q_label_lines(spark, sf):
+    """A5: `<i>.<ext> <label>` line for every string."""
+    return TF.label_lines(_lines(spark, sf).withColumnRenamed("line_no", "idx"), "idx", "text")
+
+
+@register("display_text", f"""
+WITH {O.lines_cte()}
+SELECT line_no, replace(upper(text), 'ẞ', 'SS') AS upper_text, lower(text) AS lower_text,
+       array_to_string(list_reverse(string_split(text, ' ')), ' ') AS rtl_text,
+       replace(text, ' ', '') AS no_space_text
+FROM lines
+""")
+def q_display_text(spark, sf):
+    """Case change, right-to-left word order and space removal beside the label."""
+    ln = _lines(spark, sf)
+    return ln.select("line_no", T.change_case("text", "upper").alias("upper_text"),
+                     T.change_case("text", "lower").alias("lower_text"),
+                     T.reverse_words("text").alias("rtl_text"),
+                     T.strip_spaces_if("text", 0).alias("no_space_text"))
+
+
+@register("sample_names", f"""
+WITH {O.lines_cte()}
+SELECT line_no, {O.safe_name("text || '_' || CAST(line_no AS VARCHAR)")} AS name0,
+       {O.safe_name("CAST(line_no AS VARCHAR) || '_' || text")} AS name1,
+       {O.safe_name("CAST(line_no AS VARCHAR)")} AS name2
+FROM lines
+""")
+def q_sample_names(spark, sf):
+    """NFKC file names in the three name formats."""
+    ln = _lines(spark, sf)
+    return ln.select("line_no", *[T.sample_name(F.col("text"), F.col("line_no"), f).alias(f"name{f}")
+                                  for f in (0, 1, 2)])
+
+
+@register("skip_take_cycle", f"""
+WITH {O.lines_cte()},
+cnt AS (SELECT count(*) AS L FROM lines),
+p AS (SELECT L // 7 AS skip, L - L // 7 AS rem, 2 * L AS total FROM cnt),
+idx AS (SELECT range AS idx FROM range((SELECT total FROM p)))
+SELECT CAST(idx.idx AS BIGINT) AS idx, lines.line_no, lines.text
+FROM idx JOIN lines ON lines.line_no = (SELECT skip FROM p) + idx.idx % (SELECT rem FROM p)
+""")
+def q_skip_take_cycle(spark, sf):
+    """E5: skip the first block of lines, then cycle the rest up to twice the line count."""
+    ln = _lines(spark, sf).select("line_no", "text")
+    L = ln.count()
+    return GEN.skip_take_cycle(ln, 2 * L, L // 7).select("idx", "line_no", "text")
+
+
+@register("sample_source", f"""
+WITH {O.lines_cte()},
+cnt AS (SELECT count(*) AS L FROM lines),
+idx AS (SELECT range AS idx FROM range((SELECT 3 * L // 2 FROM cnt)))
+SELECT CAST(idx.idx AS BIGINT) AS idx, lines.line_no, lines.text, f.font
+FROM idx JOIN lines ON lines.line_no = idx.idx % (SELECT L FROM cnt)
+JOIN {_FONTS_SQL} ON f.font_no = idx.idx % {len(PR.FIXTURE_FONTS)}
+""")
+def q_sample_source(spark, sf):
+    """Bounded round-robin of strings and fonts (1.5 x the number of lines)."""
+    ln = _lines(spark, sf).select("line_no", "text")
+    L = ln.count()
+    return GEN.sample_source(spark, ln, PR.fonts_table(spark), 3 * L // 2).select("idx", "line_no", "text", "font")
+
+
+_PART_DICT_SQL = f"""
+pw AS (SELECT DISTINCT unnest({O.tokenise('p_name')}) AS word FROM part),
+dict AS (SELECT CAST(row_number() OVER (ORDER BY word) - 1 AS BIGINT) AS word_no, word FROM pw)"""
+
+
+@register("dict_from_words", f"""
+WITH {_PART_DICT_SQL}
+SELECT CAST(NULL AS VARCHAR) AS lang, word_no, word FROM dict
+""")
+def q_dict_from_words(spark, sf):
+    """A2: a word dictionary derived from part names, numbered in word order."""
+    return TF.dict_from_words(table(spark, sf, "part"), "p_name")
+
+
+@register("strings_from_dict", f"""
+WITH {_PART_DICT_SQL},
+n AS (SELECT count(*) AS n FROM dict),
+picks AS (SELECT p.p_partkey AS idx, j FROM part p, range(0, 3) t(j)),
+picked AS (SELECT idx, j, {O.sql_h(42, 'dict_word', 'floor(idx / 1000)::BIGINT', 'idx', 'j')} % (SELECT n FROM n) AS w FROM picks)
+SELECT picked.idx, string_agg(dict.word, ' ' ORDER BY j) AS text
+FROM picked JOIN dict ON dict.word_no = picked.w GROUP BY picked.idx
+""")
+def q_strings_from_dict(spark, sf):
+    """F2 (+E9): three random dictionary words per part row."""
+    part = table(spark, sf, "part")
+    d = TF.dict_from_words(part, "p_name")
+    return GEN.strings_from_dict(part.select(F.col("p_partkey").alias("idx")), d, length=3)
+
+
+@register("article_sentences", f"""
+WITH arts AS (SELECT doc_id, text, {O.sql_h(42, 'article', 'doc_id')} AS hh FROM documents),
+ranked AS (SELECT CAST(row_number() OVER (ORDER BY hh, doc_id) - 1 AS BIGINT) AS article_rank, text FROM arts),
+sents AS (SELECT article_rank, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS sent_no, unnest(parts) AS raw
+          FROM (SELECT article_rank, string_split(replace(text, chr(10), ' '), '. ') AS parts FROM ranked)),
+kept AS (SELECT article_rank, sent_no, {O.py_strip('raw')} AS text FROM sents)
+SELECT article_rank, sent_no, text FROM kept
+WHERE len({O.tokenise('text')}) > 1
+ORDER BY article_rank, sent_no LIMIT 10000
+""")
+def q_article_sentences(spark, sf):
+    """sentences of articles taken in a seeded order, more than one word each, first 10,000."""
+    return GEN.article_sentences(_docs(spark, sf), 10_000, min_words=1)

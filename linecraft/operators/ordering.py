@@ -21,6 +21,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from linecraft.functions.rng import TWO32, h
 
@@ -49,6 +50,11 @@ def with_bucket(df: DataFrame, order, n_buckets: int | None = None,
         return df.withColumn(_B, F.least(F.floor(lead_c / F.lit(hash_range / nb)),
                                           F.lit(nb - 1)).cast("int"))
     tmp = "_lc_lead"
+    if isinstance(df.select(lead_c).schema.fields[0].dataType, StringType):
+        # First 7 UTF-8 bytes as a big-endian number: monotone in Spark's (bytewise)
+        # string order, so quantile buckets of it are ranges of the string order.
+        lead_c = F.conv(F.rpad(F.hex(F.substring(F.encode(lead_c, "UTF-8"), 1, 7)), 14, "0"),
+                        16, 10).cast("long")
     with_lead = df.withColumn(tmp, lead_c.cast("double"))
     probs = [i / nb for i in range(1, nb)]
     qs = with_lead.approxQuantile(tmp, probs, 1.0 / (4 * nb)) if probs else []

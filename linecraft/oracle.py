@@ -85,3 +85,30 @@ def word_edits(ref_words: str, pred_words: str) -> str:
 
 def corrupt(w: str) -> str:
     return f"translate(array_to_string(list_filter({w}, lambda x, i: (i - 1) % 3 <> 2), ' '), 'ae', 'oé')"
+
+
+def randint(lo: str, hi: str, seed, stream: str, *keys: str) -> str:
+    return f"(({lo}) + {sql_h(seed, stream, *keys)} % (({hi}) - ({lo}) + 1))"
+
+
+def uniform(seed, stream: str, *keys: str) -> str:
+    return f"(CAST({sql_h(seed, stream, *keys)} AS DOUBLE) / CAST(4294967296 AS DOUBLE))"
+
+
+def lines_cte(source: str = "documents", max_chars: int = 200) -> str:
+    """WITH-list producing ``lines(line_no, doc_id, text)``."""
+    return f"""
+sp AS (SELECT doc_id, list_filter(regexp_split_to_array(text, {lit(T.LINE_BREAK_RE)}), lambda x: length(x) > 0) AS ls
+       FROM {source}),
+loffs AS (SELECT doc_id, ls, COALESCE(SUM(len(ls)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+          FROM sp),
+lines AS (SELECT CAST(off + i - 1 AS BIGINT) AS line_no, doc_id, left(ls[i], {max_chars}) AS text
+          FROM (SELECT doc_id, off, ls, generate_subscripts(ls, 1) AS i FROM loffs))"""
+
+
+def py_strip(expr: str) -> str:
+    return f"regexp_replace({expr}, {lit('^[' + T.WS_CLASS + ']+|[' + T.WS_CLASS + ']+$')}, '', 'g')"
+
+
+def safe_name(expr: str) -> str:
+    return f"left(regexp_replace(nfc_normalize({expr}), {lit(T.NOT_NAME_CHAR)}, '', 'g'), 200)"
