@@ -345,3 +345,136 @@ ORDER BY article_rank, sent_no LIMIT 10000
 def q_article_sentences(spark, sf):
     """sentences of articles taken in a seeded order, more than one word each, first 10,000."""
     return GEN.article_sentences(_docs(spark, sf), 10_000, min_words=1)
+
+
+# ---------------------------------------------------------------------------------------
+# Label set: existence, renumbering, splits, vocabulary, encoding (F-dataset)
+# ---------------------------------------------------------------------------------------
+
+from linecraft.operators import labels as LB  # noqa: E402
+from linecraft.operators import ordering as ORD  # noqa: E402
+from linecraft.plans import dataset as DS  # noqa: E402
+
+
+@register("keep_existing", """
+SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+""")
+def q_keep_existing(spark, sf):
+    """Documents that have a label row (left semi join)."""
+    return LB.keep_existing(_docs(spark, sf).select("doc_id", "n_chars"), table(spark, sf, "labels"), "doc_id")
+
+
+@register("missing_files", """
+SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+""")
+def q_missing_files(spark, sf):
+    """C1 inverse: documents without a label row (left anti join)."""
+    return LB.missing_files(_docs(spark, sf).select("doc_id", "n_chars"), table(spark, sf, "labels"), "doc_id")
+
+
+_META_SQL = f"""
+WITH {O.lines_cte()},
+kept AS (SELECT * FROM lines WHERE doc_id IN (SELECT doc_id FROM labels)),
+meta AS (SELECT CAST(row_number() OVER (ORDER BY line_no) - 1 AS BIGINT) AS idx, line_no, doc_id, text FROM kept)"""
+
+
+@register("dataset_metadata", _META_SQL + """
+SELECT idx, printf('%08d.jpg', idx) AS file_name, text FROM meta
+""")
+def q_dataset_metadata(spark, sf):
+    """C1 -> E2 -> G7: kept lines with their running 8-digit file names (metadata rows)."""
+    return DS.merged_labels(_docs(spark, sf), table(spark, sf, "labels")).select("idx", "file_name", "text")
+
+
+@register("dataset_split", _META_SQL + f""",
+n AS (SELECT count(*) AS n FROM meta),
+ordered AS (SELECT idx, row_number() OVER (ORDER BY {O.sql_h(42, 'split', 'idx')}, idx) - 1 AS k FROM meta)
+SELECT idx, CASE WHEN k < CAST(ceil(0.05 * (SELECT n FROM n)) AS BIGINT) THEN 'test' ELSE 'train' END AS split FROM ordered
+""")
+def q_dataset_split(spark, sf):
+    """Exact seeded split, ceil(0.05 n) test rows."""
+    meta = DS.merged_labels(_docs(spark, sf), table(spark, sf, "labels")).select("idx")
+    return DS.split_labels(meta, 0.05, 42).select("idx", "split")
+
+
+@register("prefix_split", _META_SQL + """,
+n AS (SELECT count(*) AS n FROM meta)
+SELECT idx, CASE WHEN idx < CAST(floor((SELECT n FROM n) * (1 - 0.2)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM meta
+""")
+def q_prefix_split(spark, sf):
+    """Listing-order split, train = first int(n * 0.8) rows."""
+    meta = DS.merged_labels(_docs(spark, sf), table(spark, sf, "labels")).select("idx")
+    return DS.split_labels(meta, 0.2, seeded=False).select("idx", "split")
+
+
+@register("training_batches", _META_SQL + f"""
+SELECT idx, CAST(row_number() OVER (ORDER BY {O.sql_h(42, 'epoch1', 'idx')}, idx) - 1 AS BIGINT) AS pos,
+       1 AS epoch
+FROM meta
+""".replace("1 AS epoch\nFROM meta", "1 AS epoch FROM meta"))
+def q_training_batches(spark, sf):
+    """Epoch-1 shuffled order of the label set (batch = pos div 32)."""
+    meta = DS.merged_labels(_docs(spark, sf), table(spark, sf, "labels")).select("idx")
+    return ORD.training_batches(meta, "idx", 32, epoch=1).select("idx", "pos", "epoch")
+
+
+@register("skip_batches", _META_SQL + f""",
+b AS (SELECT idx, CAST((row_number() OVER (ORDER BY {O.sql_h(42, 'epoch1', 'idx')}, idx) - 1) // 32 AS BIGINT) AS batch FROM meta)
+SELECT idx, batch FROM b WHERE batch >= 3
+""")
+def q_skip_batches(spark, sf):
+    """Resume inside epoch 1 after 3 batches."""
+    meta = DS.merged_labels(_docs(spark, sf), table(spark, sf, "labels")).select("idx")
+    b = ORD.training_batches(meta, "idx", 32, epoch=1)
+    return ORD.skip_batches(b, 1, 3).select("idx", "batch")
+
+
+def _vocab_sql(src: str = "lines") -> str:
+    specials = " UNION ALL ".join(f"SELECT {O.lit(t)} AS token, CAST({i} AS BIGINT) AS token_id, CAST(0 AS BIGINT) AS count"
+                                  for i, t in enumerate(LB.SPECIALS))
+    return f"""
+chars AS (SELECT unnest(string_split(text, '')) AS token FROM {src}),
+cnt AS (SELECT token, count(*) AS count FROM chars WHERE token NOT IN ({', '.join(O.lit(t) for t in LB.SPECIALS)}) GROUP BY token),
+vocab AS ({specials} UNION ALL
+  SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) - 1 + {len(LB.SPECIALS)} AS BIGINT) AS token_id,
+         CAST(count AS BIGINT) AS count FROM cnt)"""
+
+
+@register("char_vocab", f"""
+WITH {O.lines_cte()}, {_vocab_sql()}
+SELECT token, token_id, count FROM vocab
+""")
+def q_char_vocab(spark, sf):
+    """Character vocabulary of all lines, ids by (count desc, token) after the specials."""
+    return LB.build_vocab(_lines(spark, sf), "text", "char")
+
+
+@register("label_ids", f"""
+WITH {O.lines_cte()}, {_vocab_sql()},
+toks AS (SELECT line_no, unnest(string_split(text, '')) AS token, generate_subscripts(string_split(text, ''), 1) AS pos FROM lines),
+ids AS (SELECT t.line_no, list(CAST(v.token_id AS INTEGER) ORDER BY t.pos) AS ids FROM toks t JOIN vocab v ON v.token = t.token GROUP BY t.line_no),
+withends AS (SELECT line_no, [0] || ids || [2] AS ids FROM ids),
+padded AS (SELECT line_no, ids || list_transform(range(greatest(0, 128 - len(ids))), lambda x: 1) AS ids FROM withends)
+SELECT line_no, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 1 THEN -100 ELSE x END), ',') AS labels,
+       CAST(len(ids) AS INTEGER) AS n_labels
+FROM padded
+""")
+def q_label_ids(spark, sf):
+    """C6 + G5: <s> ids </s>, padded to 128 (not cut), padding -> -100."""
+    ln = _lines(spark, sf)
+    vocab = LB.build_vocab(ln, "text", "char")
+    out = LB.label_ids(ln, vocab, "text", "line_no", 128)
+    return out.select("line_no", F.array_join("labels", ",").alias("labels"),
+                      F.size("labels").alias("n_labels"))
+
+
+@register("decode_labels", f"""
+WITH {O.lines_cte()}
+SELECT line_no, text AS decoded FROM lines
+""")
+def q_decode_labels(spark, sf):
+    """G6 + C6 reverse: label ids decoded back (round trip equals the line text)."""
+    ln = _lines(spark, sf)
+    vocab = LB.build_vocab(ln, "text", "char")
+    enc = LB.label_ids(ln, vocab, "text", "line_no", 128)
+    return LB.decode(enc, vocab, "labels", "line_no").select("line_no", "decoded")

@@ -91,10 +91,18 @@ def prefix_sum(df: DataFrame, order, weight: Column | str | None = None, out: st
 
 
 def global_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None,
-                 hash_range: float | None = None) -> DataFrame:
-    """0-based position of every row in the total order ``order``."""
+                 hash_range: float | None = None, bucket_key: Column | None = None) -> DataFrame:
+    """0-based position of every row in the total order ``order``.
+
+    ``bucket_key`` is an optional numeric expression, non-decreasing in ``order``, used
+    for bucketing instead of the leading column (e.g. when the leading column has few
+    distinct values, such as a count).
+    """
     order = list(order)
-    bdf = with_bucket(df, order, n_buckets, hash_range)
+    if bucket_key is not None:
+        bdf = with_bucket(df.withColumn("_lc_bk", bucket_key), ["_lc_bk"], n_buckets).drop("_lc_bk")
+    else:
+        bdf = with_bucket(df, order, n_buckets, hash_range)
     totals = bdf.groupBy(_B).agg(F.count(F.lit(1)).alias("_lc_tot"))
     offs = totals.select(
         _B, F.coalesce(F.sum("_lc_tot").over(
