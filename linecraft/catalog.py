@@ -478,3 +478,129 @@ def q_decode_labels(spark, sf):
     vocab = LB.build_vocab(ln, "text", "char")
     enc = LB.label_ids(ln, vocab, "text", "line_no", 128)
     return LB.decode(enc, vocab, "labels", "line_no").select("line_no", "decoded")
+
+
+# ---------------------------------------------------------------------------------------
+# Layout and boxes (F-boxes)
+# ---------------------------------------------------------------------------------------
+
+from linecraft.operators import boxes as BX  # noqa: E402
+from linecraft.plans import layout as LY  # noqa: E402
+
+_THAI_SQL = ", ".join(f"chr({ord(c)})" for c in BX.ZERO_WIDTH_MARKS)
+_LAYOUT_SQL = f"""
+WITH {O.lines_cte()},
+pcs AS (SELECT line_no, doc_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS i, unnest(cs) AS piece
+        FROM (SELECT line_no, doc_id, string_split(text, '') AS cs FROM lines)),
+glyphs AS (SELECT ch, CAST(4 + {O.sql_h(LY.GLYPH_SEED, 'adv', 'ch')} % 9 AS INTEGER) AS advance,
+           CAST(10 + {O.sql_h(LY.GLYPH_SEED, 'ht', 'ch')} % 9 AS INTEGER) AS height
+           FROM (SELECT DISTINCT piece AS ch FROM pcs)),
+sw AS (SELECT CAST(trunc(advance * 1.0) AS INTEGER) AS sw FROM glyphs WHERE ch = ' '),
+measured AS (SELECT p.line_no, p.doc_id, p.i, p.piece,
+             CAST(CASE WHEN p.piece = ' ' THEN COALESCE((SELECT sw FROM sw), 0)
+                       WHEN p.piece IN ({_THAI_SQL}) THEN 0 ELSE g.advance END AS INTEGER) AS w,
+             CAST(g.height AS INTEGER) AS h
+             FROM pcs p JOIN glyphs g ON g.ch = p.piece),
+placed AS (SELECT *, CAST(COALESCE(SUM(w) OVER (PARTITION BY line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                          + i * 1 AS INTEGER) AS x FROM measured),
+ext AS (SELECT line_no, any_value(doc_id) AS doc_id, CAST(SUM(w) + (count(*) - 1) * 1 AS INTEGER) AS text_w,
+        CAST(max(h) AS INTEGER) AS text_h, CAST(count(*) AS BIGINT) AS n_pieces FROM measured GROUP BY line_no),
+pix AS (SELECT line_no AS image_id, CAST(i + 1 AS INTEGER) AS n, x AS minx, x + w - 1 AS maxx, 0 AS miny, h - 1 AS maxy
+        FROM placed WHERE piece <> ' ' AND w > 0)"""
+
+_BOXES_SQL = _LAYOUT_SQL + """,
+b AS (SELECT p.image_id, p.n, p.minx, p.miny, e.text_h AS H, greatest(0, p.minx - 1) AS x1, greatest(0, p.miny - 1) AS y1,
+      least(e.text_w - 1, p.maxx + 1) AS x2, least(e.text_h - 1, p.maxy + 1) AS y2
+      FROM pix p JOIN ext e ON e.line_no = p.image_id),
+g AS (SELECT *, n - lag(n, 1, 0) OVER w AS gap, lag(n, 1, 0) OVER w AS prev_n, lag(x2) OVER w AS px2,
+      lag(y2) OVER w AS py2 FROM b WINDOW w AS (PARTITION BY image_id ORDER BY n)),
+s AS (SELECT *, max(CASE WHEN gap >= 3 OR (prev_n = 0 AND gap = 2) THEN 1 ELSE 0 END)
+      OVER (PARTITION BY image_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM g),
+kept AS (SELECT * FROM s WHERE stop = 0),
+boxes AS (
+  SELECT image_id, CAST(n AS INTEGER) AS box_no, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1,
+         CAST(x2 AS INTEGER) AS x2, CAST(y2 AS INTEGER) AS y2, 'piece' AS kind FROM kept
+  UNION ALL
+  SELECT image_id, CAST(n - 1 AS INTEGER), CAST(least(px2 + 1, minx - 1) AS INTEGER), CAST(least(py2 + 1, miny - 1) AS INTEGER),
+         CAST(greatest(px2 + 1, minx - 2) AS INTEGER), CAST(greatest(py2 + 1, miny - 2) AS INTEGER), 'space' FROM kept WHERE gap = 2)"""
+
+
+def _layout(spark, sf):
+    return LY.layout(_lines(spark, sf).select("line_no", "doc_id", "text"))
+
+
+@register("layout_extents", _LAYOUT_SQL + """
+SELECT line_no, text_w, text_h, n_pieces FROM ext
+""")
+def q_layout_extents(spark, sf):
+    """C7 + D13: width (sum of advances + spacing) and height (max) of every line."""
+    _, ext = _layout(spark, sf)
+    return ext.select("line_no", "text_w", "text_h", "n_pieces")
+
+
+@register("piece_offsets", _LAYOUT_SQL + """
+SELECT line_no, i, piece, w, h, x FROM placed
+""")
+def q_piece_offsets(spark, sf):
+    """C7 + E3: x of every character piece (earlier widths + spacing x index)."""
+    placed, _ = _layout(spark, sf)
+    return placed.select("line_no", "i", "piece", "w", "h", "x")
+
+
+@register("layout_boxes", _BOXES_SQL + """
+SELECT image_id, box_no, x1, y1, x2, y2, kind FROM boxes
+""")
+def q_layout_boxes(spark, sf):
+    """D7 + E4 + G13: boxes from the line masks, space boxes for single gaps, stop at double gaps."""
+    return LY.line_boxes(_lines(spark, sf).select("line_no", "text"))
+
+
+@register("box_file_lines", _BOXES_SQL + """
+SELECT image_id, box_no, CAST(x1 AS VARCHAR) || ' ' || CAST(y1 AS VARCHAR) || ' ' || CAST(x2 AS VARCHAR) || ' ' || CAST(y2 AS VARCHAR) AS line
+FROM boxes
+""")
+def q_box_file_lines(spark, sf):
+    """`x1 y1 x2 y2` box-file lines."""
+    return BX.format_boxes(LY.line_boxes(_lines(spark, sf).select("line_no", "text")))
+
+
+@register("tight_boxes", _LAYOUT_SQL + """
+SELECT image_id, min(minx) AS x1, min(miny) AS y1, max(maxx) AS x2, max(maxy) AS y2 FROM pix GROUP BY image_id
+""")
+def q_tight_boxes(spark, sf):
+    """Smallest rectangle of the inked pixels of each line mask."""
+    placed, _ = _layout(spark, sf)
+    return BX.tight_box(LY.mask_pixels(placed))
+
+
+@register("strip_offsets", _LAYOUT_SQL + """
+SELECT doc_id AS line_id, CAST(sum(text_w) - 35 * count(*) AS INTEGER) AS total_w, max(text_h) AS max_h
+FROM ext GROUP BY doc_id
+""")
+def q_strip_offsets(spark, sf):
+    """Lines of a document joined side by side with a 35-pixel overlap."""
+    _, ext = _layout(spark, sf)
+    ext = ext.join(_lines(spark, sf).select("line_no", "doc_id"), "line_no")
+    imgs = ext.select(F.col("doc_id").alias("line_id"), F.col("line_no").alias("seq"),
+                      F.col("text_w").alias("w"), F.col("text_h").alias("h"))
+    _, tot = BX.strip_offsets(imgs)
+    return tot
+
+
+@register("stroke_segments", """
+WITH pts AS (SELECT user_id AS word_id, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS dx,
+             CAST(1 AS BIGINT) AS dy, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS pen_up FROM events),
+w AS (SELECT word_id, seq, CAST(sum(dx) OVER r AS BIGINT) AS x, CAST(sum(dy) OVER r AS BIGINT) AS y,
+      CAST(COALESCE(sum(pen_up) OVER b, 0) AS BIGINT) AS stroke, sum(pen_up) OVER (PARTITION BY word_id) AS n_strokes
+      FROM pts WINDOW r AS (PARTITION BY word_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                      b AS (PARTITION BY word_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT word_id, seq, x, y, stroke FROM w WHERE stroke < n_strokes
+""")
+def q_stroke_segments(spark, sf):
+    """Pen strokes of each writer (events: value = pen move, 'error' = pen up)."""
+    ev = table(spark, sf, "events")
+    pts = ev.select(F.col("user_id").alias("word_id"), F.col("event_id").alias("seq"),
+                    F.round(F.col("value") * 100).cast("long").alias("dx"), F.lit(1).cast("long").alias("dy"),
+                    (F.col("event_type") == "error").cast("int").alias("pen_up"))
+    out = BX.stroke_segments(pts)
+    return out.select("word_id", "seq", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "stroke")
