@@ -604,3 +604,52 @@ def q_stroke_segments(spark, sf):
                     (F.col("event_type") == "error").cast("int").alias("pen_up"))
     out = BX.stroke_segments(pts)
     return out.select("word_id", "seq", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "stroke")
+
+
+# ---------------------------------------------------------------------------------------
+# Links in stored pages
+# ---------------------------------------------------------------------------------------
+
+from linecraft.operators import links as LK  # noqa: E402
+
+_ANCHORS_SQL = f"""
+WITH body AS (SELECT page_id, url, regexp_replace(html, {O.lit(LK.NON_MARKUP_RE)}, '', 'g') AS b FROM pages),
+tags AS (SELECT page_id, url, regexp_extract_all(b, {O.lit(LK.ANCHOR_RE)}) AS ts FROM body),
+a AS (SELECT page_id, url, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS anchor_no, unnest(ts) AS tag FROM tags),
+h AS (SELECT page_id, url, anchor_no,
+      CASE WHEN regexp_matches(tag, {O.lit(LK.HREF_RE)})
+           THEN regexp_extract(tag, {O.lit(LK.HREF_RE)}, 1) || regexp_extract(tag, {O.lit(LK.HREF_RE)}, 2)
+                || regexp_extract(tag, {O.lit(LK.HREF_RE)}, 3) END AS href FROM a)"""
+
+
+@register("page_links", _ANCHORS_SQL + """
+SELECT page_id, anchor_no, href, string_split(href, '/')[-1] AS file_name FROM h
+WHERE href IS NOT NULL AND starts_with(href, '/')
+""")
+def q_page_links(spark, sf):
+    """A15 + B18: anchors whose href starts with '/', with the last path segment as file name."""
+    return LK.visible_links(table(spark, sf, "pages"), prefix="/").select("page_id", "anchor_no", "href", "file_name")
+
+
+@register("follow_links", _ANCHORS_SQL + f""",
+c AS (SELECT page_id, anchor_no,
+      CASE WHEN regexp_matches(tag, {O.lit(LK.CLASS_RE)})
+           THEN list_filter(regexp_split_to_array(trim(regexp_extract(tag, {O.lit(LK.CLASS_RE)}, 1) || regexp_extract(tag, {O.lit(LK.CLASS_RE)}, 2)
+                || regexp_extract(tag, {O.lit(LK.CLASS_RE)}, 3)), '[ \t\n\r\f]+'), lambda x: x <> '')
+           ELSE [] END AS classes FROM a),
+hc AS (SELECT h.*, c.classes FROM h JOIN c USING (page_id, anchor_no) WHERE h.href IS NOT NULL),
+res AS (SELECT page_id AS src, classes, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
+             WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || href
+             WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href
+             ELSE regexp_extract(url, '^([^?#]*/)', 1) || href END AS dst FROM hc),
+h1 AS (SELECT DISTINCT r.src AS start_id, p.page_id AS item_id FROM res r JOIN pages p ON p.url = r.dst),
+h2 AS (SELECT DISTINCT r.src AS item_id, p.page_id AS target_id FROM res r JOIN pages p ON p.url = r.dst
+       WHERE list_contains(r.classes, 'btn-success') AND r.src IN (SELECT item_id FROM h1)),
+dl AS (SELECT page_id AS target_id, arg_min(href, anchor_no) AS download_url FROM hc
+       WHERE starts_with(href, 'https://') AND page_id IN (SELECT target_id FROM h2) GROUP BY page_id)
+SELECT h1.start_id, h1.item_id, h2.target_id, dl.download_url, string_split(dl.download_url, '/')[-1] AS file_name
+FROM h1 JOIN h2 USING (item_id) JOIN dl USING (target_id)
+""")
+def q_follow_links(spark, sf):
+    """Listing -> item (class btn-success) -> download link; the fixture has no internal links."""
+    return LK.follow_links(table(spark, sf, "pages"))
