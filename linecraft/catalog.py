@@ -18,7 +18,7 @@ from linecraft.operators import metrics as M
 from linecraft.operators.chunk import word_positions
 from linecraft.plans import corpus as C
 from linecraft.plans import scoring as S
-from linecraft.session import table
+from linecraft.session import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,10 +26,14 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql.strip()
-        return fn
+        return run
     return deco
 
 
@@ -653,3 +657,17 @@ FROM h1 JOIN h2 USING (item_id) JOIN dl USING (target_id)
 def q_follow_links(spark, sf):
     """Listing -> item (class btn-success) -> download link; the fixture has no internal links."""
     return LK.follow_links(table(spark, sf, "pages"))
+
+
+# ---------------------------------------------------------------------------------------
+# Images (rows-only: pixel kernels have no SQL statement; goldens in tests/)
+# ---------------------------------------------------------------------------------------
+
+from linecraft.plans import images as PI  # noqa: E402
+
+
+@register("augment_images")
+def q_augment_images(spark, sf):
+    """F-images: I12 assembly, I1-I9 augmentation and the B15 contrast filter for every corpus line."""
+    lines = PI.corpus_lines(C.build_corpus(_docs(spark, sf)))
+    return PI.image_stats(PI.image_set(spark, lines))

@@ -1,0 +1,72 @@
+"""F-images: corpus sentences -> render plan -> glyph layout -> text images -> augmented images.
+
+This is the reference's image-set generation as one Spark plan: the render plan (recipes,
+fonts, drawn parameters, names) is decided on text columns, then text images are assembled
+per line from a glyph table (applyInPandas, groups bounded by the line length) and augmented
+per row (mapInPandas). Nothing is collected; images stay in the image struct.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linecraft.functions import kernels as K
+from linecraft.functions.rng import h
+from linecraft.operators import images as IM
+from linecraft.operators.ordering import global_index
+from linecraft.operators.render import render_plan
+from linecraft.plans.render import FIXTURE_TEXT_COLOR, fonts_table
+
+GLYPH_SEED = 11
+ROWS_PER_IMAGE_TASK = 256
+
+
+def corpus_lines(sentences: DataFrame, order: str = "chunk") -> DataFrame:
+    """The corpus file as lines: (line_no, text) in chunk order."""
+    return global_index(sentences.select(order, F.col("sentence").alias("text")), [order], "line_no") \
+        .select("line_no", "text")
+
+
+def font_glyphs(lines: DataFrame, text: str = "text") -> DataFrame:
+    """A glyph table standing in for a 48-pixel font: advance 20-31, height 40-47, by rule."""
+    chars = lines.select(F.explode(F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0)).alias("ch")).distinct()
+    return chars.select("ch", (F.lit(20) + F.pmod(h(GLYPH_SEED, "adv", F.col("ch")), F.lit(12))).cast("int").alias("advance"),
+                        (F.lit(40) + F.pmod(h(GLYPH_SEED, "ht", F.col("ch")), F.lit(8))).cast("int").alias("height"))
+
+
+def fixture_background(h_: int = 128, w: int = 512) -> np.ndarray:
+    """The picture used for background kind 3 with the fixture tables (a constant asset)."""
+    return K.quasicrystal_background(h_, w, 31.0, 1.0, 13)
+
+
+def text_images(lines: DataFrame, key: str = "line_no", spacing: int = 0) -> DataFrame:
+    glyphs = font_glyphs(lines)
+    return IM.assemble_lines(lines, IM.glyph_bitmaps(glyphs, GLYPH_SEED), key, "text", spacing)
+
+
+def image_set(spark: SparkSession, lines: DataFrame, fonts: DataFrame | None = None,
+              seed: int = 42) -> DataFrame:
+    # Image rows are large: small Arrow batches keep a batch well inside worker memory.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    fonts = fonts if fonts is not None else fonts_table(spark)
+    plan = render_plan(lines, fonts, seed, text_color=FIXTURE_TEXT_COLOR)
+    plan = plan.select("line_no", "text", "block", "background", "distortion", "distortion_orientation",
+                       "angle", "blur_radius", "fill", "image_name")
+    # Text rows are small in bytes but each makes an image: partitions are sized by rows, so
+    # adaptive coalescing (which sizes by bytes) cannot fold the pixel work into few tasks.
+    n = lines.count()
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_IMAGE_TASK))
+    plan = IM.plan_columns(plan.repartition(parts, "line_no"), seed)
+    glyphs = IM.glyph_dict(IM.glyph_bitmaps(font_glyphs(lines), GLYPH_SEED))
+    return IM.augment(plan, background_image=fixture_background(), glyphs=glyphs)
+
+
+def image_stats(images: DataFrame) -> DataFrame:
+    """Per image: kept flag, size, contrast statistics and a content hash."""
+    return images.select("line_no", "block", "image_name", "kept",
+                         F.col("image.width").alias("width"), F.col("image.height").alias("height"),
+                         "text_mean", "bg_mean", F.xxhash64("image.data").alias("image_hash"))

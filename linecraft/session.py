@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +25,41 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Image rows are large; keep Arrow batches small so a batch fits a Python worker.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
 }
 
 
+_SHIPPED: set = set()
+_LOCK = threading.Lock()
+PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``linecraft`` importable in Python workers (pandas UDFs, mapInPandas).
+
+    The package is zipped once on the driver and added with ``addPyFile``, which Spark
+    distributes to every executor; idempotent per SparkContext.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    with _LOCK:
+        if key in _SHIPPED:
+            return
+        fd, path = tempfile.mkstemp(prefix="linecraft-", suffix=".zip")
+        os.close(fd)
+        root = os.path.dirname(PACKAGE_DIR)
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, _, files in os.walk(PACKAGE_DIR):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(d, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(path)
+        _SHIPPED.add(key)
+
+
 def get_session(master: str | None = None, app: str = "linecraft",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -40,6 +73,7 @@ def get_session(master: str | None = None, app: str = "linecraft",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
