@@ -59,6 +59,8 @@ def with_bucket(df: DataFrame, order, n_buckets: int | None = None,
     probs = [i / nb for i in range(1, nb)]
     qs = with_lead.approxQuantile(tmp, probs, 1.0 / (4 * nb)) if probs else []
     splits = sorted({q for q in qs if q is not None and not math.isnan(q)})
+    if not splits:
+        return df.withColumn(_B, F.lit(0))
     splits = [-math.inf] + splits + [math.inf]
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=_B, handleInvalid="keep")
     return b.transform(with_lead).withColumn(_B, F.col(_B).cast("int")).drop(tmp)
@@ -144,7 +146,7 @@ def prefix_split(df: DataFrame, order, test_split: float, out: str = "split") ->
             .drop("_lc_i"))
 
 
-def test_size(n: int, test_split: float) -> int:
+def exact_test_size(n: int, test_split: float) -> int:
     """Exact test-set size of a seeded split: ceil(t * n)."""
     return int(math.ceil(test_split * n))
 
@@ -153,7 +155,7 @@ def seeded_split(df: DataFrame, key: str, test_split: float, seed: int = 42,
                  out: str = "split") -> DataFrame:
     """Exact-size shuffled split; the first ceil(t*n) rows of the seeded order are test."""
     n = df.count()
-    cut = test_size(n, test_split)
+    cut = exact_test_size(n, test_split)
     return (hashed_index(df, seed, "split", key, "_lc_i")
             .withColumn(out, F.when(F.col("_lc_i") < cut, "test").otherwise("train"))
             .drop("_lc_i"))
