@@ -18,7 +18,7 @@ from linecraft.operators import metrics as M
 from linecraft.operators.chunk import word_positions
 from linecraft.plans import corpus as C
 from linecraft.plans import scoring as S
-from linecraft.session import ship_package, table
+from linecraft.session import ship_package, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,7 +38,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 # ---------------------------------------------------------------------------------------
@@ -632,7 +632,7 @@ WHERE href IS NOT NULL AND starts_with(href, '/')
 """)
 def q_page_links(spark, sf):
     """A15 + B18: anchors whose href starts with '/', with the last path segment as file name."""
-    return LK.visible_links(table(spark, sf, "pages"), prefix="/").select("page_id", "anchor_no", "href", "file_name")
+    return LK.visible_links(spread(table(spark, sf, "pages")), prefix="/").select("page_id", "anchor_no", "href", "file_name")
 
 
 @register("follow_links", _ANCHORS_SQL + f""",
@@ -656,7 +656,7 @@ FROM h1 JOIN h2 USING (item_id) JOIN dl USING (target_id)
 """)
 def q_follow_links(spark, sf):
     """Listing -> item (class btn-success) -> download link; the fixture has no internal links."""
-    return LK.follow_links(table(spark, sf, "pages"))
+    return LK.follow_links(spread(table(spark, sf, "pages")))
 
 
 # ---------------------------------------------------------------------------------------

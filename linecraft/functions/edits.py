@@ -35,6 +35,21 @@ def word_edits_arrays(ref_words, pred_words) -> Column:
     return F.levenshtein(_encode(rw, vocab), _encode(pw, vocab))
 
 
+def with_word_edits(df, ref_words: str, pred_words: str, out: str = "word_edits"):
+    """Add the word edit distance of two array columns.
+
+    The joint vocabulary and the two encodings are separate projections, so each is
+    computed once per row (a lambda that referenced an expression would re-evaluate it for
+    every element).
+    """
+    v, er, ep = f"_{out}_vocab", f"_{out}_ref", f"_{out}_pred"
+    return (df.withColumn(v, F.array_distinct(F.concat(F.col(ref_words), F.col(pred_words))))
+              .withColumn(er, _encode(F.col(ref_words), F.col(v)))
+              .withColumn(ep, _encode(F.col(pred_words), F.col(v)))
+              .withColumn(out, F.levenshtein(F.col(er), F.col(ep)))
+              .drop(v, er, ep))
+
+
 def words_of(col) -> Column:
     """Whitespace words (the published WER definition splits on whitespace)."""
     return tokenise(col)

@@ -104,9 +104,18 @@ def normalise_script(col, mapping: dict | None = None) -> Column:
     return F.translate(_c(col), src, dst)
 
 
+def keep_only(col, class_body: str) -> Column:
+    """Delete every run of characters outside a class, stated positively.
+
+    Concatenating the maximal runs of allowed characters equals deleting the runs of the
+    others; the JVM matches a positive class several times faster than its negation.
+    """
+    return F.array_join(F.regexp_extract_all(_c(col), F.lit(f"[{class_body}]+"), 0), "")
+
+
 def keep_chars(col, chars: str, ranges=()) -> Column:
     """B1: delete every run of characters outside the alphabet and whitespace."""
-    return F.regexp_replace(_c(col), f"[^{keep_class(chars, ranges)}{WS_CLASS}]+", "")
+    return keep_only(col, keep_class(chars, ranges) + WS_CLASS)
 
 
 def strip_urls(col) -> Column:
@@ -141,7 +150,7 @@ def clean_text(col, chars: str = DEFAULT_ALPHABET, ranges=(), mapping: dict | No
 
 def tokenise(col) -> Column:
     """Split on whitespace runs, no empty tokens."""
-    return F.filter(F.split(_c(col), f"[{WS_CLASS}]+"), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(_c(col), f"[{WS_CLASS}]+"), "")
 
 
 def split_lines(col) -> Column:
@@ -201,7 +210,8 @@ nfkc = F.pandas_udf(_nfkc, StringType())
 nfkd_ascii = F.pandas_udf(_nfkd_ascii, StringType())
 
 # Python's `\w` for str patterns: letters, numbers and underscore (marks are not word chars).
-NOT_NAME_CHAR = r"[^\p{L}\p{N}_" + WS_CLASS + r"\-]"
+NAME_CHARS = r"\p{L}\p{N}_" + WS_CLASS + r"\-"
+NOT_NAME_CHAR = "[^" + NAME_CHARS + "]"
 
 
 def safe_file_name(col, allow_unicode: bool = True, assume_normalised: bool = False) -> Column:
@@ -213,7 +223,7 @@ def safe_file_name(col, allow_unicode: bool = True, assume_normalised: bool = Fa
     c = _c(col)
     if not assume_normalised:
         c = nfkc(c) if allow_unicode else nfkd_ascii(c)
-    return F.substring(F.regexp_replace(c, NOT_NAME_CHAR, ""), 1, 200)
+    return F.substring(keep_only(c, NAME_CHARS), 1, 200)
 
 
 def sample_name(text, index, name_format=0, space_width=1.0, allow_unicode: bool = True,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linecraft.functions.edits import char_edits, word_edits_arrays, words_of
+from linecraft.functions.edits import char_edits, with_word_edits, words_of
 
 
 def pair(preds: DataFrame, refs: DataFrame, key: str, check: bool = True) -> DataFrame:
@@ -29,12 +29,13 @@ def pair(preds: DataFrame, refs: DataFrame, key: str, check: bool = True) -> Dat
 
 def with_error_counts(pairs: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
     """Per-pair counts: ref_chars, char_edits, ref_words, word_edits."""
-    rw, pw = words_of(ref), words_of(pred)
-    return (pairs
-            .withColumn("ref_chars", F.length(ref).cast("long"))
-            .withColumn("char_edits", char_edits(ref, pred).cast("long"))
-            .withColumn("ref_words", F.size(rw).cast("long"))
-            .withColumn("word_edits", word_edits_arrays(rw, pw).cast("long")))
+    out = (pairs
+           .withColumn("_rw", words_of(ref)).withColumn("_pw", words_of(pred))
+           .withColumn("ref_chars", F.length(ref).cast("long"))
+           .withColumn("char_edits", char_edits(ref, pred).cast("long"))
+           .withColumn("ref_words", F.size("_rw").cast("long")))
+    return with_word_edits(out, "_rw", "_pw").withColumn(
+        "word_edits", F.col("word_edits").cast("long")).drop("_rw", "_pw")
 
 
 def _rate(num: str, den: str):
