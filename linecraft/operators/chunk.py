@@ -11,10 +11,10 @@ periodic length table:
 Chunk g = c*P + k covers word positions [c*S + st(k), c*S + st(k) + len(k)).
 
 Each document knows the global position of its first word (a distributed prefix sum of
-word counts), so the chunks that lie wholly inside a document are sliced out of its word
-array with no shuffle at all; only the fragments of chunks that straddle a document
-boundary (at most a few per boundary) are shuffled on the chunk id and stitched. The
-final short run is dropped, as in the reference.
+word counts), so every chunk is cut out of its documents' word arrays as one slice per
+document (no per-word rows), and the slices are stitched by one shuffle on the chunk id.
+A chunk id holds at most ``max_len`` words, so no group is hot. The final short run is
+dropped, as in the reference.
 """
 
 from __future__ import annotations
@@ -103,25 +103,21 @@ def chunk_words(docs: DataFrame, key: str, words: str = "words", carry=(),
         lo = F.greatest(st, F.col("off"))
         hi = F.least(st + ln, F.col("off") + F.col("n"))
         return F.struct(g.alias("g"), lo.cast("long").alias("lo"), ln.alias("len"),
-                        ((lo == st) & (hi == st + ln)).alias("whole"),
                         F.slice(F.col(words), (lo - F.col("off") + 1).cast("int"),
                                 (hi - lo).cast("int")).alias("frag"))
 
     pieces = d.select(key, *carry, F.explode(F.transform(F.sequence("_g0", "_g1"), frag)).alias("p")) \
         .select(key, *carry, "p.*")
-    whole = pieces.where("whole").select(
-        F.col("g").alias("chunk"), F.col(key).alias("first_key"), *carry,
-        F.col("frag").alias("words"))
-    # Straddling chunks: only their fragments are shuffled, on the chunk id.
-    parts = (pieces.where(~F.col("whole"))
-             .groupBy("g")
-             .agg(F.array_sort(F.collect_list(F.struct("lo", key, *carry, "frag"))).alias("fs"),
-                  F.max("len").alias("len")))
-    parts = parts.select(
+    # One shuffle on the chunk id. (A union of in-document chunks with stitched straddling
+    # ones would evaluate everything upstream - scan, cleaning, offsets - twice.)
+    grouped = pieces.groupBy("g").agg(
+        F.array_sort(F.collect_list(F.struct("lo", key, *carry, "frag"))).alias("fs"),
+        F.max("len").alias("len"))
+    out = grouped.select(
         F.col("g").alias("chunk"), F.col("fs")[0][key].alias("first_key"),
         *[F.col("fs")[0][c].alias(c) for c in carry],
         F.flatten(F.transform("fs", lambda x: x["frag"])).alias("words"), "len") \
         .where(F.size("words") == F.col("len")).drop("len")
-    out = whole.unionByName(parts).withColumn("sentence", F.array_join("words", " "))
+    out = out.withColumn("sentence", F.array_join("words", " "))
     rep = has_repeated_ngram("words", ngram) if ngram > 0 else F.lit(False)
     return out.withColumn("repeated", rep)
