@@ -671,3 +671,132 @@ def q_augment_images(spark, sf):
     """F-images: I12 assembly, I1-I9 augmentation and the B15 contrast filter for every corpus line."""
     lines = PI.corpus_lines(C.build_corpus(_docs(spark, sf)))
     return PI.image_stats(PI.image_set(spark, lines))
+
+
+# ---------------------------------------------------------------------------------------
+# More operators over the fixture tables
+# ---------------------------------------------------------------------------------------
+
+from linecraft.functions import geometry as GEO  # noqa: E402
+
+
+@register("union_corpora", """
+WITH u AS (SELECT 0 AS corpus_no, doc_id AS src_id, text FROM documents
+           UNION ALL SELECT 1 AS corpus_no, item_id AS src_id, text FROM benchmark)
+SELECT CAST(row_number() OVER (ORDER BY corpus_no, src_id) - 1 AS BIGINT) AS row_no, corpus_no, src_id, text FROM u
+""")
+def q_union_corpora(spark, sf):
+    """A3/G1: documents then benchmark, concatenated in order and renumbered."""
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("src_id"), "text")
+    bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("src_id"), "text")
+    u = C.union_corpora(docs, bench)
+    return ORD.global_index(u, ["corpus_no", "src_id"], "row_no").select("row_no", "corpus_no", "src_id", "text")
+
+
+@register("sample_rows", f"""
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {O.sql_h(42, 'sample', 'doc_id')}, doc_id) - 1 AS k,
+                  count(*) OVER () AS n FROM documents)
+SELECT doc_id FROM r WHERE n <= 500 OR k < 500
+""")
+def q_sample_rows(spark, sf):
+    """a seeded uniform sample of exactly 500 documents (all when there are fewer)."""
+    return ORD.sample_rows(_docs(spark, sf).select("doc_id"), "doc_id", 500, 42)
+
+
+def _random_strings_sql() -> str:
+    pool = GEN.char_pool()
+    plen = len(pool)
+    b = "CAST(floor(idx / 1000) AS BIGINT)"
+    return f"""
+WITH {O.lines_cte()},
+w AS (SELECT line_no AS idx, j FROM lines, range(1, 4) t(j)),
+wl AS (SELECT idx, j, 2 + {O.sql_h(42, 'rnd_seq', b, 'idx', 'j')} % 9 AS sl FROM w),
+c AS (SELECT idx, j, cno FROM wl, LATERAL (SELECT unnest(range(1, sl + 1)) AS cno)),
+ch AS (SELECT idx, j, cno, substr({O.lit(pool)}, CAST(1 + {O.sql_h(42, 'rnd_char', b, 'idx', 'j', 'cno')} % {plen} AS INTEGER), 1) AS ch FROM c),
+words AS (SELECT idx, j, string_agg(ch, '' ORDER BY cno) AS word FROM ch GROUP BY idx, j)
+SELECT idx, string_agg(word, ' ' ORDER BY j) AS text FROM words GROUP BY idx"""
+
+
+@register("random_strings", _random_strings_sql())
+def q_random_strings(spark, sf):
+    """F3 (+E9): three random words of 2-10 pool characters for every line index."""
+    idx = _lines(spark, sf).select(F.col("line_no").alias("idx"))
+    df, _ = GEN.random_strings(idx, length=3)
+    return df
+
+
+@register("epoch_metrics", _PAIRS_SQL.replace(
+    "counted AS (SELECT lang,", "counted AS (SELECT CAST(chunk % 4 AS INTEGER) AS epoch,") + """,
+rates AS (SELECT epoch, CASE WHEN sum(ref_chars) > 0 THEN CAST(sum(char_edits) AS DOUBLE) / CAST(sum(ref_chars) AS DOUBLE) END AS cer,
+                 CASE WHEN sum(ref_words) > 0 THEN CAST(sum(word_edits) AS DOUBLE) / CAST(sum(ref_words) AS DOUBLE) END AS wer
+          FROM counted GROUP BY epoch),
+tr AS (SELECT CAST(event_id % 4 AS INTEGER) AS epoch, sum(value) / count(*) AS train_loss, CAST(count(*) AS BIGINT) AS steps
+       FROM events WHERE event_type <> 'view' GROUP BY 1),
+ev AS (SELECT CAST(event_id % 4 AS INTEGER) AS epoch, avg(value) AS eval_loss FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT COALESCE(tr.epoch, ev.epoch, rates.epoch) AS epoch, train_loss, eval_loss, cer, wer, steps
+FROM tr FULL OUTER JOIN ev ON ev.epoch = tr.epoch FULL OUTER JOIN rates ON rates.epoch = COALESCE(tr.epoch, ev.epoch)
+""".replace("FROM pairs)", "FROM pairs)"))
+def q_epoch_metrics(spark, sf):
+    """Per epoch train loss, eval loss, CER, WER and steps (epoch = chunk / event id mod 4,
+    'view' events are the evaluation losses)."""
+    pairs = S.chunk_pairs(_docs(spark, sf)).withColumn("epoch", F.pmod("chunk", F.lit(4)).cast("int"))
+    ev = table(spark, sf, "events").select(F.pmod("event_id", F.lit(4)).cast("int").alias("epoch"),
+                                           F.col("value").alias("loss"), "event_type")
+    return M.epoch_metrics(pairs, ev.where("event_type <> 'view'"), ev.where("event_type = 'view'"))
+
+
+@register("fit_and_paste", _LAYOUT_SQL + """,
+fit AS (SELECT line_no, text_w, text_h, CAST(trunc(text_w * (CAST(64 - 10 AS DOUBLE) / text_h)) AS INTEGER) AS new_w FROM ext)
+SELECT line_no, new_w AS fit_w, CAST(54 AS INTEGER) AS fit_h, new_w + 10 AS canvas_w, CAST(64 AS INTEGER) AS canvas_h,
+       CAST(5 AS INTEGER) AS x_left, CAST(trunc(CAST(new_w + 10 AS DOUBLE) / 2 - CAST(new_w AS DOUBLE) / 2) AS INTEGER) AS x_centre,
+       CAST(new_w + 10 - new_w - 5 AS INTEGER) AS x_right,
+       CAST(trunc(sin(radians(text_w)) * floor(pow(text_h, 0.5))) AS INTEGER) AS sine_offset,
+       CAST(trunc(cos(radians(text_w)) * floor(pow(text_h, 0.5))) AS INTEGER) AS cosine_offset
+FROM fit
+""")
+def q_fit_and_paste(spark, sf):
+    """G9 + G10 + G11: resize to height 64 with 5-pixel margins, paste positions of the three
+    alignments (fixed width 0 = auto), and the sine/cosine offsets at column text_w."""
+    _, ext = _layout(spark, sf)
+    fs = GEO.fit_size("text_w", "text_h", 64, (5, 5, 5, 5), 0, 0)
+    out = ext.select("line_no", F.col("text_w").alias("src_w"), F.col("text_h").alias("src_h"),
+                     fs["text_w"].alias("fit_w"), fs["text_h"].alias("fit_h"),
+                     fs["canvas_w"].alias("canvas_w"), fs["canvas_h"].alias("canvas_h"))
+    return out.select(
+        "line_no", "fit_w", "fit_h", "canvas_w", "canvas_h",
+        GEO.paste_x(0, "canvas_w", "fit_w", 5, 5, 0).alias("x_left"),
+        GEO.paste_x(1, "canvas_w", "fit_w", 5, 5, 0).alias("x_centre"),
+        GEO.paste_x(2, "canvas_w", "fit_w", 5, 5, 0).alias("x_right"),
+        GEO.wave_offset(1, "src_w", "src_h").alias("sine_offset"),
+        GEO.wave_offset(2, "src_w", "src_h").alias("cosine_offset"))
+
+
+_TESS_SQL = _LAYOUT_SQL + """,
+b AS (SELECT p.image_id, p.n, p.minx, p.miny, e.text_h AS H, greatest(0, p.minx - 1) AS x1,
+      greatest(0, e.text_h - p.maxy - 1) AS y1, least(e.text_w - 1, p.maxx + 1) AS x2,
+      least(e.text_h - 1, e.text_h - p.miny + 1) AS y2
+      FROM pix p JOIN ext e ON e.line_no = p.image_id),
+g AS (SELECT *, n - lag(n, 1, 0) OVER w AS gap, lag(n, 1, 0) OVER w AS prev_n, lag(x2) OVER w AS px2,
+      lag(y1) OVER w AS py1 FROM b WINDOW w AS (PARTITION BY image_id ORDER BY n)),
+s AS (SELECT *, max(CASE WHEN gap >= 3 OR (prev_n = 0 AND gap = 2) THEN 1 ELSE 0 END)
+      OVER (PARTITION BY image_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM g),
+kept AS (SELECT * FROM s WHERE stop = 0),
+boxes AS (
+  SELECT image_id, CAST(n AS INTEGER) AS box_no, x1, y1, x2, y2 FROM kept
+  UNION ALL
+  SELECT image_id, CAST(n - 1 AS INTEGER), least(px2 + 1, minx - 1), least(H - miny + 2, py1 - 1),
+         greatest(px2 + 1, minx - 2), greatest(H - miny + 2, py1 - 1) FROM kept WHERE gap = 2)"""
+
+
+@register("tess_box_lines", _TESS_SQL + """
+SELECT b.image_id, b.box_no, COALESCE(p.piece, ' ') || ' ' || CAST(b.x1 AS VARCHAR) || ' ' || CAST(b.y1 AS VARCHAR) || ' '
+       || CAST(b.x2 AS VARCHAR) || ' ' || CAST(b.y2 AS VARCHAR) || ' 0' AS line
+FROM boxes b LEFT JOIN pcs p ON p.line_no = b.image_id AND p.i + 1 = b.box_no
+""")
+def q_tess_box_lines(spark, sf):
+    """D7 (tess) + A12: `<char> x1 y1 x2 y2 0` lines, y measured from the bottom, labelled by piece."""
+    lines = _lines(spark, sf).select("line_no", "text")
+    boxes = LY.line_boxes(lines, tess=True)
+    labels = BX.line_pieces(lines).select(F.col("line_no").alias("image_id"),
+                                          (F.col("i") + 1).cast("int").alias("box_no"), "piece")
+    return BX.format_boxes(boxes, tess=True, labels=labels)
