@@ -93,12 +93,14 @@ def prefix_sum(df: DataFrame, order, weight: Column | str | None = None, out: st
 
 
 def global_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None,
-                 hash_range: float | None = None, bucket_key: Column | None = None) -> DataFrame:
+                 hash_range: float | None = None, bucket_key: Column | None = None,
+                 total: str | None = None) -> DataFrame:
     """0-based position of every row in the total order ``order``.
 
     ``bucket_key`` is an optional numeric expression, non-decreasing in ``order``, used
     for bucketing instead of the leading column (e.g. when the leading column has few
-    distinct values, such as a count).
+    distinct values, such as a count). ``total`` names an optional column holding the
+    number of rows, taken from the bucket totals (no separate count job).
     """
     order = list(order)
     if bucket_key is not None:
@@ -106,10 +108,11 @@ def global_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None =
     else:
         bdf = with_bucket(df, order, n_buckets, hash_range)
     totals = bdf.groupBy(_B).agg(F.count(F.lit(1)).alias("_lc_tot"))
+    extra = [F.sum("_lc_tot").over(Window.partitionBy()).cast("long").alias(total)] if total else []
     offs = totals.select(
         _B, F.coalesce(F.sum("_lc_tot").over(
             Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .cast("long").alias(_OFF))
+        .cast("long").alias(_OFF), *extra)
     rn = F.row_number().over(Window.partitionBy(_B).orderBy(*_cols(order)))
     return (bdf.join(F.broadcast(offs), _B)
             .withColumn(out, (F.col(_OFF) + rn - 1).cast("long"))
@@ -117,11 +120,11 @@ def global_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None =
 
 
 def hashed_index(df: DataFrame, seed, stream: str, key: str, out: str = "idx",
-                 n_buckets: int | None = None) -> DataFrame:
+                 n_buckets: int | None = None, total: str | None = None) -> DataFrame:
     """Index in the seeded shuffled order (h(seed, stream, key), key)."""
     hc = "_lc_h"
     with_h = df.withColumn(hc, h(seed, stream, F.col(key)))
-    return global_index(with_h, [hc, key], out, n_buckets, hash_range=TWO32).drop(hc)
+    return global_index(with_h, [hc, key], out, n_buckets, hash_range=TWO32, total=total).drop(hc)
 
 
 # Above this many rows a top-n is cut by the index instead of TakeOrderedAndProject,
@@ -139,11 +142,10 @@ def first_n(df: DataFrame, order, n: int) -> DataFrame:
 
 def prefix_split(df: DataFrame, order, test_split: float, out: str = "split") -> DataFrame:
     """train = first int(n*(1-t)) rows in listing order, eval = the rest."""
-    n = df.count()
-    cut = int(n * (1 - test_split))
-    return (global_index(df, order, "_lc_i")
+    cut = F.floor(F.col("_lc_n") * F.lit(1 - test_split))
+    return (global_index(df, order, "_lc_i", total="_lc_n")
             .withColumn(out, F.when(F.col("_lc_i") < cut, "train").otherwise("test"))
-            .drop("_lc_i"))
+            .drop("_lc_i", "_lc_n"))
 
 
 def exact_test_size(n: int, test_split: float) -> int:
@@ -154,19 +156,17 @@ def exact_test_size(n: int, test_split: float) -> int:
 def seeded_split(df: DataFrame, key: str, test_split: float, seed: int = 42,
                  out: str = "split") -> DataFrame:
     """Exact-size shuffled split; the first ceil(t*n) rows of the seeded order are test."""
-    n = df.count()
-    cut = exact_test_size(n, test_split)
-    return (hashed_index(df, seed, "split", key, "_lc_i")
+    # ceil(t * n) from the bucket totals of the same index computation (no count job)
+    cut = F.ceil(F.col("_lc_n") * F.lit(test_split))
+    return (hashed_index(df, seed, "split", key, "_lc_i", total="_lc_n")
             .withColumn(out, F.when(F.col("_lc_i") < cut, "test").otherwise("train"))
-            .drop("_lc_i"))
+            .drop("_lc_i", "_lc_n"))
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """a uniform sample of exactly n rows when the table is larger, else all rows."""
-    if df.count() <= n:
-        return df
-    return (hashed_index(df, seed, "sample", key, "_lc_i")
-            .where(F.col("_lc_i") < n).drop("_lc_i"))
+    return (hashed_index(df, seed, "sample", key, "_lc_i", total="_lc_n")
+            .where((F.col("_lc_n") <= n) | (F.col("_lc_i") < n)).drop("_lc_i", "_lc_n"))
 
 
 def training_batches(df: DataFrame, key: str, batch_size: int, epoch: int = 0,

@@ -32,8 +32,10 @@ def read_lines(src: DataFrame, key: str = "doc_id", text: str = "text",
     """
     carry = list(carry)
     lines = F.filter(T.split_lines(text), lambda x: F.length(x) > 0)
+    # Rows without lines weigh 0; they are not filtered before the prefix sum so that its
+    # bucket-boundary pass reads only the key column.
     per_row = src.select(key, *carry, lines.alias("_lines")) \
-        .withColumn("_n", F.size("_lines").cast("long")).where(F.col("_n") > 0)
+        .withColumn("_n", F.size("_lines").cast("long"))
     off = prefix_sum(per_row, [key], weight="_n", out="_off")
     out = off.select(key, *carry, "_off", F.posexplode("_lines").alias("_i", "_line")) \
         .select((F.col("_off") + F.col("_i")).alias("line_no"), key, *carry,
