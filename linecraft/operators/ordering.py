@@ -92,6 +92,51 @@ def prefix_sum(df: DataFrame, order, weight: Column | str | None = None, out: st
             .drop(_B, _OFF, wcol))
 
 
+def keyed_prefix_sums(df: DataFrame, key: str, seq: str, weights: dict, inclusive: dict | None = None,
+                      totals: dict | None = None, n_buckets: int | None = None) -> DataFrame:
+    """Running sums of several weights within each key, ordered by ``seq``, skew-safe.
+
+    A window partitioned by the key would put a key holding a third of all rows into one
+    task. Here the sums run over the global order (key, seq) with the two-level prefix sum,
+    whose buckets split a hot key across tasks, and each key's starting offset (one row per
+    key, an aggregate) is subtracted. ``weights`` maps output name -> weight column;
+    ``inclusive`` maps output name -> whether the current row counts; ``totals`` maps output
+    name -> weight column summed over the whole key. ``key`` and ``seq`` must be
+    non-negative integers with seq < 2^31 (the bucket key is key * 2^31 + seq).
+    """
+    inclusive = inclusive or {}
+    bk = F.col(key).cast("double") * F.lit(2.0 ** 31) + F.col(seq).cast("double")
+    base = df.withColumn("_lc_bk", bk)
+    bdf = with_bucket(base, ["_lc_bk"], n_buckets)
+    names = list(weights)
+    wcols = {n: f"_lc_w_{i}" for i, n in enumerate(names)}
+    for n in names:
+        w = weights[n]
+        bdf = bdf.withColumn(wcols[n], (F.col(w) if isinstance(w, str) else w).cast("long"))
+    totals_b = bdf.groupBy(_B).agg(*[F.sum(wcols[n]).alias(f"_lc_t_{i}") for i, n in enumerate(names)])
+    before = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals_b.select(_B, *[F.coalesce(F.sum(f"_lc_t_{i}").over(before), F.lit(0)).cast("long")
+                                 .alias(f"_lc_o_{i}") for i, n in enumerate(names)])
+    frame_ex = Window.partitionBy(_B).orderBy(key, seq).rowsBetween(Window.unboundedPreceding, -1)
+    g = bdf.join(F.broadcast(offs), _B)
+    for i, n in enumerate(names):
+        # global exclusive prefix over (key, seq)
+        g = g.withColumn(f"_lc_g_{i}", F.col(f"_lc_o_{i}") + F.coalesce(F.sum(wcols[n]).over(frame_ex), F.lit(0)))
+    # each key's start: the smallest global prefix among its rows (partially aggregated)
+    starts = g.groupBy(key).agg(*[F.min(f"_lc_g_{i}").alias(f"_lc_s_{i}") for i in range(len(names))],
+                                *[F.sum(F.col(c) if isinstance(c, str) else c).cast("long").alias(t)
+                                  for t, c in (totals or {}).items()])
+    out = g.join(starts, key)
+    for i, n in enumerate(names):
+        val = F.col(f"_lc_g_{i}") - F.col(f"_lc_s_{i}")
+        if inclusive.get(n, False):
+            val = val + F.col(wcols[n])
+        out = out.withColumn(n, val.cast("long"))
+    drop = [_B, "_lc_bk"] + list(wcols.values()) + [c for i in range(len(names))
+                                                    for c in (f"_lc_o_{i}", f"_lc_g_{i}", f"_lc_s_{i}")]
+    return out.drop(*drop)
+
+
 def global_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None,
                  hash_range: float | None = None, bucket_key: Column | None = None,
                  total: str | None = None) -> DataFrame:

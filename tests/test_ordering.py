@@ -84,3 +84,20 @@ def test_batches_and_skip(spark):
     assert other == 100
     keep_order = O.training_batches(_ids(spark, 10, 2), "k", 4, shuffle=False).collect()
     assert {r.k: r.batch for r in keep_order} == {3 * i: i // 4 for i in range(10)}
+
+
+def test_keyed_prefix_sums_hot_key(spark):
+    # key 0 holds more than a third of all rows
+    rows = [(0 if i % 2 == 0 else i % 7, i, i % 5, int(i % 3 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, s long, w long, f int").repartition(9)
+    out = O.keyed_prefix_sums(df, "k", "s", {"run": "w", "flags_before": "f"},
+                              inclusive={"run": True}, totals={"tot": "w"}, n_buckets=8).collect()
+    exp = {}
+    for k in {r[0] for r in rows}:
+        acc_w, acc_f = 0, 0
+        tot = sum(r[2] for r in rows if r[0] == k)
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            acc_w += r[2]
+            exp[(k, r[1])] = (acc_w, acc_f, tot)
+            acc_f += r[3]
+    assert {(r.k, r.s): (r.run, r.flags_before, r.tot) for r in out} == exp
