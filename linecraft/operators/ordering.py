@@ -68,10 +68,11 @@ def with_bucket(df: DataFrame, order, n_buckets: int | None = None,
 
 def prefix_sum(df: DataFrame, order, weight: Column | str | None = None, out: str = "idx",
                inclusive: bool = False, n_buckets: int | None = None,
-               hash_range: float | None = None) -> DataFrame:
+               hash_range: float | None = None, total: str | None = None) -> DataFrame:
     """Running total of ``weight`` (default 1) over the total order ``order``.
 
     ``inclusive=False`` gives the sum over strictly earlier rows (an offset / 0-based index).
+    ``total`` names an optional column with the grand total (from the bucket totals).
     """
     order = list(order)
     w = F.lit(1).cast("long") if weight is None else (
@@ -79,11 +80,13 @@ def prefix_sum(df: DataFrame, order, weight: Column | str | None = None, out: st
     wcol = "_lc_w"
     bdf = with_bucket(df.withColumn(wcol, w), order, n_buckets, hash_range)
     totals = bdf.groupBy(_B).agg(F.sum(wcol).alias("_lc_tot"))
+    extra = [F.coalesce(F.sum("_lc_tot").over(Window.partitionBy()), F.lit(0)).cast("long").alias(total)] \
+        if total else []
     # One row per bucket: a bounded table, so a single-partition window is cheap here.
     offs = totals.select(
         _B, F.coalesce(F.sum("_lc_tot").over(
             Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .cast("long").alias(_OFF))
+        .cast("long").alias(_OFF), *extra)
     frame = (Window.partitionBy(_B).orderBy(*_cols(order))
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = F.coalesce(F.sum(wcol).over(frame), F.lit(0)).cast("long")

@@ -81,12 +81,22 @@ def recipe_block(line_no, n_lines: int, setups: int = N_SETUPS):
     return F.least(F.floor(F.col(line_no) / n), F.lit(setups)).cast("int")
 
 
-def assign_recipes(lines: DataFrame, line_no: str = "line_no", setups: int = N_SETUPS) -> DataFrame:
-    """block and recipe of every line, plus its index inside the block."""
-    L = lines.count()
-    n = L // setups
-    out = lines.withColumn("block", recipe_block(line_no, L, setups)) \
-        .withColumn("index", (F.col(line_no) - F.col("block") * F.lit(n)).cast("long"))
+def assign_recipes(lines: DataFrame, line_no: str = "line_no", setups: int = N_SETUPS,
+                   n_lines: str | None = None) -> DataFrame:
+    """block and recipe of every line, plus its index inside the block.
+
+    ``n_lines`` names a column holding the number of lines (e.g. from ``read_lines(total=)``);
+    without it the lines are counted first.
+    """
+    if n_lines is None:
+        L = lines.count()
+        n = F.lit(L // setups)
+    else:
+        n = F.floor(F.col(n_lines) / setups)
+    block = F.when(n == 0, F.lit(setups)).otherwise(
+        F.least(F.floor(F.col(line_no) / F.greatest(n, F.lit(1))), F.lit(setups))).cast("int")
+    out = lines.withColumn("block", block) \
+        .withColumn("index", (F.col(line_no) - F.col("block") * n).cast("long"))
     return out.join(F.broadcast(recipes_table(lines.sparkSession)), "block")
 
 
@@ -141,7 +151,7 @@ def render_plan(lines: DataFrame, fonts: DataFrame, seed: int = 42, line_no: str
                 text: str = "text", text_color: str = "#282828", extension: str = "jpg",
                 assume_normalised: bool = True) -> DataFrame:
     """F-plan: every line with block, recipe, font, drawn parameters and names."""
-    plan = assign_recipes(lines, line_no)
+    plan = assign_recipes(lines, line_no, n_lines="n_lines" if "n_lines" in lines.columns else None)
     plan = assign_font(plan, fonts, seed, line_no)
     plan = draw_params(plan, seed, line_no, text_color)
     plan = plan.withColumn("size", F.lit(RECIPE_SIZE))

@@ -23,7 +23,7 @@ def fonts_table(spark: SparkSession, paths=FIXTURE_FONTS) -> DataFrame:
 
 def plan_lines(spark: SparkSession, docs: DataFrame, fonts: DataFrame | None = None,
                seed: int = 42) -> DataFrame:
-    lines = read_lines(docs, "doc_id", "text", 200)
+    lines = read_lines(docs, "doc_id", "text", 200, total="n_lines")
     fonts = fonts if fonts is not None else fonts_table(spark)
     plan = render_plan(lines, fonts, seed, text_color=FIXTURE_TEXT_COLOR)
     return plan.select(

@@ -25,10 +25,11 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(src: DataFrame, key: str = "doc_id", text: str = "text",
-               max_chars: int = 200, carry=()) -> DataFrame:
+               max_chars: int = 200, carry=(), total: str | None = None) -> DataFrame:
     """A1: non-empty lines cut to ``max_chars``, numbered in (key, position) order.
 
-    Returns (line_no, key, carry..., text). Raises when no line is left.
+    Returns (line_no, key, carry..., text[, total]); ``total`` names an optional column with
+    the number of lines, taken from the prefix sum's bucket totals (no count job).
     """
     carry = list(carry)
     lines = F.filter(T.split_lines(text), lambda x: F.length(x) > 0)
@@ -36,10 +37,11 @@ def read_lines(src: DataFrame, key: str = "doc_id", text: str = "text",
     # bucket-boundary pass reads only the key column.
     per_row = src.select(key, *carry, lines.alias("_lines")) \
         .withColumn("_n", F.size("_lines").cast("long"))
-    off = prefix_sum(per_row, [key], weight="_n", out="_off")
-    out = off.select(key, *carry, "_off", F.posexplode("_lines").alias("_i", "_line")) \
+    off = prefix_sum(per_row, [key], weight="_n", out="_off", total=total)
+    tot = [total] if total else []
+    out = off.select(key, *carry, "_off", *tot, F.posexplode("_lines").alias("_i", "_line")) \
         .select((F.col("_off") + F.col("_i")).alias("line_no"), key, *carry,
-                F.substring("_line", 1, max_chars).alias("text"))
+                F.substring("_line", 1, max_chars).alias("text"), *tot)
     return out
 
 
