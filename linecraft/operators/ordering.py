@@ -213,8 +213,11 @@ def seeded_split(df: DataFrame, key: str, test_split: float, seed: int = 42,
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """a uniform sample of exactly n rows when the table is larger, else all rows."""
-    return (hashed_index(df, seed, "sample", key, "_lc_i", total="_lc_n")
-            .where((F.col("_lc_n") <= n) | (F.col("_lc_i") < n)).drop("_lc_i", "_lc_n"))
+    # a count (cheap, no shuffle of the rows) decides whether sampling is needed at all
+    if df.count() <= n:
+        return df
+    return (hashed_index(df, seed, "sample", key, "_lc_i")
+            .where(F.col("_lc_i") < n).drop("_lc_i"))
 
 
 def training_batches(df: DataFrame, key: str, batch_size: int, epoch: int = 0,
