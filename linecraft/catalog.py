@@ -168,15 +168,6 @@ _RECIPES_SQL = "(VALUES " + ", ".join(
 ) + ") AS r(" + ", ".join(R.RECIPE_COLUMNS) + ")"
 
 
-def _colour_sql(ch_lo: int, ch_hi: int, stream: str) -> str:
-    lo, hi = min(ch_lo, ch_hi), max(ch_lo, ch_hi)
-    return O.randint(str(lo), str(hi), 42, stream, "line_no")
-
-
-_C1 = (0, 0, 0)
-_C2 = (0x88, 0x88, 0x88)
-
-
 @register("render_plan", f"""
 WITH {O.lines_cte()},
 cnt AS (SELECT count(*) // 7 AS n FROM lines),
@@ -735,7 +726,7 @@ tr AS (SELECT CAST(event_id % 4 AS INTEGER) AS epoch, sum(value) / count(*) AS t
 ev AS (SELECT CAST(event_id % 4 AS INTEGER) AS epoch, avg(value) AS eval_loss FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT COALESCE(tr.epoch, ev.epoch, rates.epoch) AS epoch, train_loss, eval_loss, cer, wer, steps
 FROM tr FULL OUTER JOIN ev ON ev.epoch = tr.epoch FULL OUTER JOIN rates ON rates.epoch = COALESCE(tr.epoch, ev.epoch)
-""".replace("FROM pairs)", "FROM pairs)"))
+""")
 def q_epoch_metrics(spark, sf):
     """Per epoch train loss, eval loss, CER, WER and steps (epoch = chunk / event id mod 4,
     'view' events are the evaluation losses)."""

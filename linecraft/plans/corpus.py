@@ -1,13 +1,13 @@
 """F-corpus: raw text -> clean sentence corpus (A3 -> F1 -> B6 -> B7 -> D1 -> E1 -> D10 -> E6 -> B8).
 
-Shuffles: one small aggregation for the per-document word offsets (counts only), and one
-on the chunk id for the fragments of chunks that straddle documents. Neither the driver
-nor a single task ever holds the word stream.
+Shuffles: the two-level prefix sum of per-document word counts (a bucket-total aggregate
+and a bucket-partitioned window), and one on the chunk id that stitches the per-document
+slices of every chunk. Neither the driver nor a single task ever holds the word stream.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -8,7 +8,6 @@ counter is the distributed index of the kept rows in their original order.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from linecraft.operators.labels import keep_existing, renumber
 from linecraft.operators.ordering import prefix_split, seeded_split

@@ -1,7 +1,6 @@
 """String sources: cycles, dictionary, random and article strings."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from linecraft.operators import generate as GEN
 

@@ -1,7 +1,6 @@
 """Recipes, vocabulary, encoding and padding."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from linecraft.functions.arrays import pad_labels
 from linecraft.operators import labels as LB

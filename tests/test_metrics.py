@@ -1,7 +1,6 @@
 """Error rates against a brute-force Levenshtein."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from linecraft.functions.edits import char_edits, word_edits
 from linecraft.operators import metrics as M

@@ -4,7 +4,6 @@ import os
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from linecraft.functions import kernels as K

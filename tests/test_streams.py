@@ -3,7 +3,6 @@
 import os
 import time
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
