@@ -212,10 +212,28 @@ def seeded_split(df: DataFrame, key: str, test_split: float, seed: int = 42,
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """a uniform sample of exactly n rows when the table is larger, else all rows."""
-    # a count (cheap, no shuffle of the rows) decides whether sampling is needed at all
-    if df.count() <= n:
+    """a uniform sample of exactly n rows when the table is larger, else all rows.
+
+    The sample is the first n rows of the seeded order (h(seed, 'sample', key), key). For a
+    small n out of a large table nothing is sorted globally: rows whose hash falls below a
+    threshold expected to keep about 2n rows are filtered out where they lie, and the exact
+    first n are taken from those candidates (a prefix of the order, so the result is exact;
+    the threshold doubles in the rare case that fewer than n rows pass). Large n uses the
+    bucketed global index.
+    """
+    total = df.count()
+    if total <= n:
         return df
+    hc = "_lc_h"
+    with_h = df.withColumn(hc, h(seed, "sample", F.col(key)))
+    if n <= TOP_N_IN_ONE_TASK:
+        frac = min(1.0, 2.0 * n / total)
+        while True:
+            cut = int(TWO32 * frac) + 1
+            cand = with_h.where(F.col(hc) < cut)
+            if frac >= 1.0 or cand.count() >= n:
+                return cand.orderBy(hc, key).limit(n).drop(hc)
+            frac = min(1.0, frac * 2)
     return (hashed_index(df, seed, "sample", key, "_lc_i")
             .where(F.col("_lc_i") < n).drop("_lc_i"))
 

@@ -100,3 +100,12 @@ def test_keyed_prefix_sums_hot_key(spark):
             exp[(k, r[1])] = (acc_w, acc_f, tot)
             acc_f += r[3]
     assert {(r.k, r.s): (r.run, r.flags_before, r.tot) for r in out} == exp
+
+
+@pytest.mark.parametrize("n", [1, 3, 37])
+def test_sample_rows_is_first_n_of_seeded_order(spark, n):
+    from linecraft.functions.rng import h_py
+    df = _ids(spark, 1000, 5)
+    got = sorted(r.k for r in O.sample_rows(df, "k", n, seed=7).collect())
+    exp = sorted(sorted(range(0, 3000, 3), key=lambda k: (h_py(7, "sample", k), k))[:n])
+    assert got == exp
