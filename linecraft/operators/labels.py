@@ -19,7 +19,7 @@ from linecraft.operators.ordering import global_index
 # Special tokens of the decoder, ids 0-3 (begin, padding, end, unknown).
 SPECIALS = ("<s>", "<pad>", "</s>", "<unk>")
 BOS, PAD, EOS, UNK = 0, 1, 2, 3
-MAP_VOCAB = 10_000
+MAP_VOCAB = 1_000  # map lookups are linear scans; larger vocabularies are joined
 
 
 def keep_existing(labels: DataFrame, files: DataFrame, key: str = "file_name") -> DataFrame:
@@ -32,9 +32,13 @@ def missing_files(labels: DataFrame, files: DataFrame, key: str = "file_name") -
     return labels.join(files.select(key), key, "left_anti")
 
 
-def renumber(df: DataFrame, order, ext: str = "jpg", out: str = "file_name") -> DataFrame:
-    """E2 + G7: a running counter over ``order`` and its 8-digit file name."""
-    idx = global_index(df, order, "idx")
+def renumber(df: DataFrame, order, ext: str = "jpg", out: str = "file_name", bucket=None) -> DataFrame:
+    """E2 + G7: a running counter over ``order`` and its 8-digit file name.
+
+    ``bucket`` optionally gives a bucket expression monotone in ``order`` (see
+    ``ordering.global_index``), which saves the boundary pass.
+    """
+    idx = global_index(df, order, "idx", bucket=bucket)
     return idx.withColumn(out, T.numbered_name("idx", ext))
 
 

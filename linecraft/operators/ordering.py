@@ -142,16 +142,20 @@ def keyed_prefix_sums(df: DataFrame, key: str, seq: str, weights: dict, inclusiv
 
 def global_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None,
                  hash_range: float | None = None, bucket_key: Column | None = None,
-                 total: str | None = None) -> DataFrame:
+                 total: str | None = None, bucket: Column | None = None) -> DataFrame:
     """0-based position of every row in the total order ``order``.
 
     ``bucket_key`` is an optional numeric expression, non-decreasing in ``order``, used
     for bucketing instead of the leading column (e.g. when the leading column has few
     distinct values, such as a count). ``total`` names an optional column holding the
-    number of rows, taken from the bucket totals (no separate count job).
+    number of rows, taken from the bucket totals (no separate count job). ``bucket`` is an
+    optional integer expression already monotone in ``order`` (e.g. equal-width ranges of a
+    dense position), used as the bucket directly: no boundary pass.
     """
     order = list(order)
-    if bucket_key is not None:
+    if bucket is not None:
+        bdf = df.withColumn(_B, bucket.cast("int"))
+    elif bucket_key is not None:
         bdf = with_bucket(df.withColumn("_lc_bk", bucket_key), ["_lc_bk"], n_buckets).drop("_lc_bk")
     else:
         bdf = with_bucket(df, order, n_buckets, hash_range)
@@ -167,6 +171,12 @@ def global_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None =
             .drop(_B, _OFF))
 
 
+def dense_bucket(pos: str, n: str, n_buckets: int) -> Column:
+    """Equal-width bucket of a dense 0..n-1 position (balanced because positions are dense)."""
+    return F.least(F.floor(F.col(pos) * F.lit(n_buckets) / F.greatest(F.col(n), F.lit(1))),
+                   F.lit(n_buckets - 1))
+
+
 def hashed_index(df: DataFrame, seed, stream: str, key: str, out: str = "idx",
                  n_buckets: int | None = None, total: str | None = None) -> DataFrame:
     """Index in the seeded shuffled order (h(seed, stream, key), key)."""
