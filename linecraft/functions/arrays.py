@@ -18,9 +18,27 @@ def word_ngrams(words, n: int = 2) -> Column:
         .otherwise(F.array().cast("array<array<string>>"))
 
 
-def has_repeated_ngram(words, n: int = 2) -> Column:
-    """D10 (+G2): true when some n-gram of words occurs twice."""
-    g = word_ngrams(words, n)
+def joined_ngrams(words, n: int = 2, sep: str = " ") -> Column:
+    """G4 as strings: n-grams joined by ``sep``; exact when no word contains ``sep``
+    (true for B7 tokens and a space). Strings hash and compare faster than arrays."""
+    w = _c(words)
+    k = F.size(w) - F.lit(n - 1)
+    if n == 1:
+        return w
+    parts = [F.slice(w, i + 1, F.greatest(k, F.lit(0))) for i in range(n)]
+    zipped = parts[0]
+    for p in parts[1:]:
+        zipped = F.zip_with(zipped, p, lambda a, b: F.concat(a, F.lit(sep), b))
+    return F.when(k >= 1, zipped).otherwise(F.array().cast("array<string>"))
+
+
+def has_repeated_ngram(words, n: int = 2, sep: str | None = " ") -> Column:
+    """D10 (+G2): true when some n-gram of words occurs twice.
+
+    With ``sep`` (default: a space, which B7 tokens never contain) n-grams are compared as
+    joined strings; ``sep=None`` compares them as arrays (any words).
+    """
+    g = word_ngrams(words, n) if sep is None else joined_ngrams(words, n, sep)
     return F.size(g) != F.size(F.array_distinct(g))
 
 

@@ -33,7 +33,7 @@ def corpus_lines(sentences: DataFrame, order: str = "chunk") -> DataFrame:
 
 def font_glyphs(lines: DataFrame, text: str = "text") -> DataFrame:
     """A glyph table standing in for a 48-pixel font: advance 20-31, height 40-47, by rule."""
-    chars = lines.select(F.explode(F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0)).alias("ch")).distinct()
+    chars = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0))).alias("ch")).distinct()
     return chars.select("ch", (F.lit(20) + F.pmod(h(GLYPH_SEED, "adv", F.col("ch")), F.lit(12))).cast("int").alias("advance"),
                         (F.lit(40) + F.pmod(h(GLYPH_SEED, "ht", F.col("ch")), F.lit(8))).cast("int").alias("height"))
 
