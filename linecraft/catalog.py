@@ -120,23 +120,28 @@ def q_join_regions(spark, sf):
     return M.join_regions(conv)
 
 
+# Sums of doubles depend on the summation order, which differs between engines and
+# partitionings; loss columns are reported to 9 decimals so results compare exactly.
+LOSS_DIGITS = 9
+
+
 @register("eval_loss", """
-SELECT event_type AS epoch, avg(value) AS eval_loss FROM events GROUP BY event_type
+SELECT event_type AS epoch, round(avg(value), 9) AS eval_loss FROM events GROUP BY event_type
 """)
 def q_eval_loss(spark, sf):
     """Mean loss per group (events.value by event_type)."""
     ev = table(spark, sf, "events").select(F.col("event_type").alias("epoch"), F.col("value").alias("loss"))
-    return M.mean_eval_loss(ev)
+    return M.mean_eval_loss(ev).withColumn("eval_loss", F.round("eval_loss", LOSS_DIGITS))
 
 
 @register("train_loss", """
-SELECT event_type AS epoch, sum(value) / count(*) AS train_loss, CAST(count(*) AS BIGINT) AS steps
+SELECT event_type AS epoch, round(sum(value) / count(*), 9) AS train_loss, CAST(count(*) AS BIGINT) AS steps
 FROM events GROUP BY event_type
 """)
 def q_train_loss(spark, sf):
     """Sum of step losses / number of batches per group."""
     ev = table(spark, sf, "events").select(F.col("event_type").alias("epoch"), F.col("value").alias("loss"))
-    return M.mean_train_loss(ev)
+    return M.mean_train_loss(ev).withColumn("train_loss", F.round("train_loss", LOSS_DIGITS))
 
 
 # ---------------------------------------------------------------------------------------
@@ -724,7 +729,8 @@ rates AS (SELECT epoch, CASE WHEN sum(ref_chars) > 0 THEN CAST(sum(char_edits) A
 tr AS (SELECT CAST(event_id % 4 AS INTEGER) AS epoch, sum(value) / count(*) AS train_loss, CAST(count(*) AS BIGINT) AS steps
        FROM events WHERE event_type <> 'view' GROUP BY 1),
 ev AS (SELECT CAST(event_id % 4 AS INTEGER) AS epoch, avg(value) AS eval_loss FROM events WHERE event_type = 'view' GROUP BY 1)
-SELECT COALESCE(tr.epoch, ev.epoch, rates.epoch) AS epoch, train_loss, eval_loss, cer, wer, steps
+SELECT COALESCE(tr.epoch, ev.epoch, rates.epoch) AS epoch, round(train_loss, 9) AS train_loss,
+       round(eval_loss, 9) AS eval_loss, cer, wer, steps
 FROM tr FULL OUTER JOIN ev ON ev.epoch = tr.epoch FULL OUTER JOIN rates ON rates.epoch = COALESCE(tr.epoch, ev.epoch)
 """)
 def q_epoch_metrics(spark, sf):
@@ -733,7 +739,9 @@ def q_epoch_metrics(spark, sf):
     pairs = S.chunk_pairs(_docs(spark, sf)).withColumn("epoch", F.pmod("chunk", F.lit(4)).cast("int"))
     ev = table(spark, sf, "events").select(F.pmod("event_id", F.lit(4)).cast("int").alias("epoch"),
                                            F.col("value").alias("loss"), "event_type")
-    return M.epoch_metrics(pairs, ev.where("event_type <> 'view'"), ev.where("event_type = 'view'"))
+    out = M.epoch_metrics(pairs, ev.where("event_type <> 'view'"), ev.where("event_type = 'view'"))
+    return (out.withColumn("train_loss", F.round("train_loss", LOSS_DIGITS))
+            .withColumn("eval_loss", F.round("eval_loss", LOSS_DIGITS)))
 
 
 @register("fit_and_paste", _LAYOUT_SQL + """,
