@@ -525,8 +525,14 @@ boxes AS (
          CAST(greatest(px2 + 1, minx - 2) AS INTEGER), CAST(greatest(py2 + 1, miny - 2) AS INTEGER), 'space' FROM kept WHERE gap = 2)"""
 
 
+def _glyphs(spark, sf):
+    # the rule table over the characters of the source texts (a superset of the lines'
+    # characters; unused glyphs change nothing), without the line numbering
+    return LY.glyph_table(_docs(spark, sf))
+
+
 def _layout(spark, sf):
-    return LY.layout(_lines(spark, sf).select("line_no", "doc_id", "text"))
+    return LY.layout(_lines(spark, sf).select("line_no", "doc_id", "text"), glyphs=_glyphs(spark, sf))
 
 
 @register("layout_extents", _LAYOUT_SQL + """
@@ -552,7 +558,7 @@ SELECT image_id, box_no, x1, y1, x2, y2, kind FROM boxes
 """)
 def q_layout_boxes(spark, sf):
     """D7 + E4 + G13: boxes from the line masks, space boxes for single gaps, stop at double gaps."""
-    return LY.line_boxes(_lines(spark, sf).select("line_no", "text"))
+    return LY.line_boxes(_lines(spark, sf).select("line_no", "text"), glyphs=_glyphs(spark, sf))
 
 
 @register("box_file_lines", _BOXES_SQL + """
@@ -561,7 +567,7 @@ FROM boxes
 """)
 def q_box_file_lines(spark, sf):
     """`x1 y1 x2 y2` box-file lines."""
-    return BX.format_boxes(LY.line_boxes(_lines(spark, sf).select("line_no", "text")))
+    return BX.format_boxes(LY.line_boxes(_lines(spark, sf).select("line_no", "text"), glyphs=_glyphs(spark, sf)))
 
 
 @register("tight_boxes", _LAYOUT_SQL + """
@@ -795,7 +801,7 @@ FROM boxes b LEFT JOIN pcs p ON p.line_no = b.image_id AND p.i + 1 = b.box_no
 def q_tess_box_lines(spark, sf):
     """D7 (tess) + A12: `<char> x1 y1 x2 y2 0` lines, y measured from the bottom, labelled by piece."""
     lines = _lines(spark, sf).select("line_no", "text")
-    boxes = LY.line_boxes(lines, tess=True)
+    boxes = LY.line_boxes(lines, tess=True, glyphs=_glyphs(spark, sf))
     labels = BX.line_pieces(lines).select(F.col("line_no").alias("image_id"),
                                           (F.col("i") + 1).cast("int").alias("box_no"), "piece")
     return BX.format_boxes(boxes, tess=True, labels=labels)
