@@ -805,3 +805,22 @@ def q_tess_box_lines(spark, sf):
     labels = BX.line_pieces(lines).select(F.col("line_no").alias("image_id"),
                                           (F.col("i") + 1).cast("int").alias("box_no"), "piece")
     return BX.format_boxes(boxes, tess=True, labels=labels)
+
+
+@register("region_rects", """
+SELECT conv_id AS image_id, CAST(turn AS INTEGER) AS box_no, CAST(0 AS INTEGER) AS x1,
+       CAST(trunc(turn * 20.5) AS INTEGER) AS y1, CAST(trunc(length(text) * 1.5 + 0.7) AS INTEGER) AS x2,
+       CAST(trunc(turn * 20.5 + 19.6) AS INTEGER) AS y2
+FROM conversations
+""")
+def q_region_rects(spark, sf):
+    """Crop rectangles (ints of corners 0 and 2) of detected regions; each conversation is
+    an image whose turns are regions laid out as quadrilaterals from the turn and text length."""
+    conv = table(spark, sf, "conversations")
+    t = F.col("turn").cast("double")
+    w = F.length("text").cast("double") * 1.5
+    pts = F.array(F.array(F.lit(0.0), t * 20.5), F.array(w, t * 20.5),
+                  F.array(w + 0.7, t * 20.5 + 19.6), F.array(F.lit(0.0), t * 20.5 + 19.0))
+    rect = GEO.region_rect(pts)
+    return conv.select(F.col("conv_id").alias("image_id"), F.col("turn").cast("int").alias("box_no"),
+                       *[v.alias(k) for k, v in rect.items()])
