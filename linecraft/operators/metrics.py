@@ -68,13 +68,27 @@ def mean_train_loss(losses: DataFrame, by=("epoch",), loss: str = "loss") -> Dat
                                    F.count(F.lit(1)).alias("steps"))
 
 
+REGION_BLOCK = 1024
+
+
 def join_regions(regions: DataFrame, image: str = "image_id", box: str = "box_no",
                  text: str = "text", out: str = "text") -> DataFrame:
-    """Texts of one image's boxes joined by newline in box order."""
-    return regions.groupBy(image).agg(
+    """Texts of one image's boxes joined by newline in box order.
+
+    Two levels, so an image with a huge number of regions is not sorted and collected in one
+    task: runs of ``REGION_BLOCK`` consecutive box numbers are joined first (spread over
+    tasks), then the runs of an image are joined in order. The result of an image is one
+    string, so its final assembly is necessarily one task.
+    """
+    blk = F.floor(F.col(box) / REGION_BLOCK)
+    runs = regions.withColumn("_blk", blk).groupBy(image, "_blk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(box, text))),
-                                 lambda s: s[text]), "\n").alias(out),
-        F.count(F.lit(1)).alias("n_regions"))
+                                 lambda s: s[text]), "\n").alias("_run"),
+        F.count(F.lit(1)).alias("_n"))
+    return runs.groupBy(image).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_run"))),
+                                 lambda s: s["_run"]), "\n").alias(out),
+        F.sum("_n").alias("n_regions"))
 
 
 def epoch_metrics(pairs: DataFrame, train_losses: DataFrame, eval_losses: DataFrame,

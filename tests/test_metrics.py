@@ -75,3 +75,11 @@ def test_losses_regions_and_epoch_table(spark):
     pairs = spark.createDataFrame([(0, "a b", "a c"), (1, "x", "x")], "epoch int, ref string, pred string")
     table = {r.epoch: r for r in M.epoch_metrics(pairs, losses, losses).collect()}
     assert table[1].wer == 0.0 and table[0].wer == 0.5 and table[0].steps == 2
+
+
+def test_join_regions_many_boxes_in_order(spark):
+    rows = [(1, b, f"t{b}") for b in range(3000)] + [(2, 5, "only")]
+    df = spark.createDataFrame(rows, "image_id int, box_no int, text string").repartition(7)
+    got = {r.image_id: (r.text, r.n_regions) for r in M.join_regions(df).collect()}
+    assert got[1] == ("\n".join(f"t{b}" for b in range(3000)), 3000)
+    assert got[2] == ("only", 1)
