@@ -27,10 +27,17 @@ def pair(preds: DataFrame, refs: DataFrame, key: str, check: bool = True) -> Dat
     return preds.join(refs, key, "inner")
 
 
-def with_error_counts(pairs: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
-    """Per-pair counts: ref_chars, char_edits, ref_words, word_edits."""
+def with_error_counts(pairs: DataFrame, ref: str = "ref", pred: str = "pred",
+                      ref_words: str | None = None, pred_words: str | None = None) -> DataFrame:
+    """Per-pair counts: ref_chars, char_edits, ref_words, word_edits.
+
+    ``ref_words`` / ``pred_words`` name columns already holding the whitespace words of the
+    texts (skips tokenising them again).
+    """
+    rw = F.col(ref_words) if ref_words else words_of(ref)
+    pw = F.col(pred_words) if pred_words else words_of(pred)
     out = (pairs
-           .withColumn("_rw", words_of(ref)).withColumn("_pw", words_of(pred))
+           .withColumn("_rw", rw).withColumn("_pw", pw)
            .withColumn("ref_chars", F.length(ref).cast("long"))
            .withColumn("char_edits", char_edits(ref, pred).cast("long"))
            .withColumn("ref_words", F.size("_rw").cast("long")))
@@ -42,9 +49,10 @@ def _rate(num: str, den: str):
     return F.when(F.col(den) > 0, F.col(num) / F.col(den))
 
 
-def error_rates(pairs: DataFrame, by=(), ref: str = "ref", pred: str = "pred") -> DataFrame:
+def error_rates(pairs: DataFrame, by=(), ref: str = "ref", pred: str = "pred",
+                ref_words: str | None = None, pred_words: str | None = None) -> DataFrame:
     """D2 + D3 (+D9): CER and WER per group (global when ``by`` is empty)."""
-    counted = with_error_counts(pairs, ref, pred)
+    counted = with_error_counts(pairs, ref, pred, ref_words, pred_words)
     agg = counted.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.sum("ref_chars").alias("ref_chars"), F.sum("char_edits").alias("char_edits"),

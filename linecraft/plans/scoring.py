@@ -14,19 +14,29 @@ from linecraft.operators.metrics import error_rates
 from linecraft.plans.corpus import LATIN, CorpusConfig, corpus_chunks
 
 
-def corrupt(words) -> F.Column:
-    """Deterministic stand-in prediction: drop words 3, 6, 9, ... and map a->o, e->é."""
+def corrupt_words(words) -> F.Column:
+    """Deterministic stand-in prediction as words: drop words 3, 6, 9, ... and map a->o, e->é."""
     w = F.col(words) if isinstance(words, str) else words
     kept = F.filter(w, lambda x, i: F.pmod(i, F.lit(3)) != 2)
-    return F.translate(F.array_join(kept, " "), "ae", "oé")
+    return F.transform(kept, lambda x: F.translate(x, "ae", "oé"))
+
+
+def corrupt(words) -> F.Column:
+    """The stand-in prediction as text."""
+    return F.array_join(corrupt_words(words), " ")
 
 
-def chunk_pairs(docs: DataFrame, cfg: CorpusConfig = LATIN) -> DataFrame:
-    """(chunk, lang, ref, pred) over every complete chunk of the corpus."""
+def chunk_pairs(docs: DataFrame, cfg: CorpusConfig = LATIN, with_words: bool = False) -> DataFrame:
+    """(chunk, lang, ref, pred[, ref_words, pred_words]) over every complete chunk."""
     chunks = corpus_chunks(docs, cfg, carry=("lang",))
-    return chunks.select("chunk", "lang", F.col("sentence").alias("ref"),
-                         corrupt("words").alias("pred"))
+    out = chunks.select("chunk", "lang", F.col("sentence").alias("ref"), F.col("words").alias("ref_words"),
+                        corrupt_words("words").alias("pred_words"))
+    out = out.withColumn("pred", F.array_join("pred_words", " "))
+    cols = ["chunk", "lang", "ref", "pred"] + (["ref_words", "pred_words"] if with_words else [])
+    return out.select(*cols)
 
 
 def score_by(docs: DataFrame, by=("lang",), cfg: CorpusConfig = LATIN) -> DataFrame:
-    return error_rates(chunk_pairs(docs, cfg), list(by))
+    # the chunk words are the reference words; the prediction's words are known too
+    return error_rates(chunk_pairs(docs, cfg, with_words=True), list(by),
+                       ref_words="ref_words", pred_words="pred_words")
