@@ -109,3 +109,12 @@ def test_sample_rows_is_first_n_of_seeded_order(spark, n):
     got = sorted(r.k for r in O.sample_rows(df, "k", n, seed=7).collect())
     exp = sorted(sorted(range(0, 3000, 3), key=lambda k: (h_py(7, "sample", k), k))[:n])
     assert got == exp
+
+
+def test_spread_only_when_scan_is_narrow(spark):
+    from linecraft.session import spread
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == cores
+    many = spark.range(0, 100, 1, cores * 2)
+    assert spread(many).rdd.getNumPartitions() == cores * 2
