@@ -32,14 +32,9 @@ def missing_files(labels: DataFrame, files: DataFrame, key: str = "file_name") -
     return labels.join(files.select(key), key, "left_anti")
 
 
-def renumber(df: DataFrame, order, ext: str = "jpg", out: str = "file_name", bucket=None) -> DataFrame:
-    """E2 + G7: a running counter over ``order`` and its 8-digit file name.
-
-    ``bucket`` optionally gives a bucket expression monotone in ``order`` (see
-    ``ordering.global_index``), which saves the boundary pass.
-    """
-    idx = global_index(df, order, "idx", bucket=bucket)
-    return idx.withColumn(out, T.numbered_name("idx", ext))
+def renumber(df: DataFrame, order, ext: str = "jpg", out: str = "file_name") -> DataFrame:
+    """E2 + G7: a running counter over ``order`` and its 8-digit file name."""
+    return global_index(df, order, "idx").withColumn(out, T.numbered_name("idx", ext))
 
 
 def tokens_of(col, unit: str = "char"):
@@ -55,11 +50,7 @@ def build_vocab(df: DataFrame, col: str = "text", unit: str = "char") -> DataFra
     counts = (df.select(F.explode(tokens_of(col, unit)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     counts = counts.where(~F.col("token").isin(*SPECIALS))
-    # Buckets follow (-count, token): count dominates, the token's first bytes split ties.
-    prefix = F.conv(F.rpad(F.hex(F.substring(F.encode("token", "UTF-8"), 1, 5)), 10, "0"), 16, 10) \
-        .cast("double")
-    bk = (-F.col("count")).cast("double") * F.lit(2.0 ** 40) + prefix
-    ranked = global_index(counts, [F.desc("count"), F.col("token")], "rank", bucket_key=bk)
+    ranked = global_index(counts, [-F.col("count"), F.col("token")], "rank")
     body = ranked.select("token", (F.col("rank") + len(SPECIALS)).alias("token_id"), "count")
     spark = df.sparkSession
     specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)],

@@ -1,200 +1,166 @@
 """Global order without single-task windows.
 
-A bare ``Window.orderBy`` moves every row into one task. Here a global running total is
-computed in two levels:
-
-1. every row gets a *bucket*: a column that is monotone in the order key. For hash keys
-   the bucket is the high part of the hash; otherwise boundaries come from
-   ``approxQuantile`` on the leading key and a JVM ``Bucketizer`` (binary search) assigns
-   them. Buckets are never ``spark_partition_id()``, so retries and AQE cannot move rows.
-2. per-bucket totals (one row per bucket, a bounded table) are turned into offsets and
-   broadcast back; inside a bucket a partitioned window adds the local running total.
-
-The leading order column should be close to unique (ids, positions, hashes); ties in it
-are legal but share a bucket.
+A bare ``Window.orderBy`` moves every row into one task. Here an index takes three steps:
+
+1. the input is evaluated once and written to the shared checkpoint folder with a row number;
+2. its order key and row number (narrow) are dealt out in ranges of the *whole* key and a
+   tie-breaker, sorted, numbered within each range and written. The number is stored, so a
+   retry or another plan can't move a row. Null keys are ordinary keys in Spark's sort order;
+   a key with two values, a common prefix or many equal rows still spreads over all ranges;
+3. totals of the ranges (a row each) become offsets, broadcast to the rows.
+
+The index then meets the wide rows on the row number. Tables without wide columns skip that join.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import (BooleanType, ByteType, DateType, DoubleType, FloatType, IntegerType, LongType,
+                               ShortType, TimestampType)
 
-from linecraft.functions.rng import TWO32, h
+from linecraft.functions.rng import h
+from linecraft.session import ensure_checkpoint_dir
 
-_B = "_lc_bucket"
-_OFF = "_lc_bucket_off"
+_ROW, _ID, _RANGE = "_lc_row", "_lc_id", "_lc_range"
+_FIXED = (BooleanType, ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, DateType, TimestampType)
 
 
-def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
-    if n_buckets:
-        return n_buckets
-    sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, 4 * sp)
+def written(df: DataFrame, name: str = "ordered") -> DataFrame:
+    """Evaluate once: written under the shared checkpoint folder and read back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _cols(order):
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def with_bucket(df: DataFrame, order, n_buckets: int | None = None,
-                hash_range: float | None = None) -> DataFrame:
-    """Attach a bucket column monotone in the leading order column."""
-    nb = _n_buckets(df, n_buckets)
-    lead = order[0]
-    lead_c = F.col(lead) if isinstance(lead, str) else lead
-    if hash_range:
-        return df.withColumn(_B, F.least(F.floor(lead_c / F.lit(hash_range / nb)),
-                                          F.lit(nb - 1)).cast("int"))
-    tmp = "_lc_lead"
-    if isinstance(df.select(lead_c).schema.fields[0].dataType, StringType):
-        # First 7 UTF-8 bytes as a big-endian number: monotone in Spark's (bytewise)
-        # string order, so quantile buckets of it are ranges of the string order.
-        lead_c = F.conv(F.rpad(F.hex(F.substring(F.encode(lead_c, "UTF-8"), 1, 7)), 14, "0"),
-                        16, 10).cast("long")
-    with_lead = df.withColumn(tmp, lead_c.cast("double"))
-    probs = [i / nb for i in range(1, nb)]
-    qs = with_lead.approxQuantile(tmp, probs, 1.0 / (4 * nb)) if probs else []
-    splits = sorted({q for q in qs if q is not None and not math.isnan(q)})
-    if not splits:
-        return df.withColumn(_B, F.lit(0))
-    splits = [-math.inf] + splits + [math.inf]
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=_B, handleInvalid="keep")
-    return b.transform(with_lead).withColumn(_B, F.col(_B).cast("int")).drop(tmp)
+def _ranges(df: DataFrame, n_buckets: int | None) -> int:
+    return n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def _sorted_keys(df: DataFrame, order, weights: dict[str, Column], n_buckets: int | None):
+    """(wide rows or None, narrow sorted rows with ``_lc_id``).
+
+    ``_lc_id`` holds the range in its upper bits and the place within it in the lower 33, as
+    ``monotonically_increasing_id`` defines it, stored when the sorted rows are written.
+    """
+    narrow = all(isinstance(f.dataType, _FIXED) for f in df.schema.fields)
+    base = df if narrow else written(df.withColumn(_ROW, F.monotonically_increasing_id()))
+    keys = [c.alias(f"_lc_o{i}") for i, c in enumerate(_cols(order))]
+    carried = df.columns if narrow else [_ROW]
+    # equal keys: by a hash of the row, or where that would read wide columns by the stored row number
+    tie = F.xxhash64(*df.columns) if narrow else F.col(_ROW)
+    k = base.select(*carried, *keys, *[w.cast("long").alias(n) for n, w in weights.items()],
+                    tie.alias("_lc_tie"))
+    by = [f"_lc_o{i}" for i in range(len(keys))] + ["_lc_tie"]
+    out = (k.repartitionByRange(_ranges(df, n_buckets), *by).sortWithinPartitions(*by)
+           .withColumn(_ID, F.monotonically_increasing_id()).drop(*by))
+    out = written(out)
+    return (None if narrow else base), out.withColumn(_RANGE, F.shiftright(_ID, 33).cast("int"))
+
+
+def _offsets(rows: DataFrame, sums: dict[str, Column], totals: dict[str, str]) -> DataFrame:
+    """Per range, the sums over all earlier ranges; ``totals`` are over all. A row per range."""
+    per = rows.groupBy(_RANGE).agg(*[c.alias(n) for n, c in sums.items()])
+    # One row per range: a table of at most as many rows as ranges were asked for.
+    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(_RANGE, *[F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long").alias(n) for n in sums],
+                      *[F.coalesce(F.sum(n).over(Window.partitionBy()), F.lit(0)).cast("long").alias(t)
+                        for t, n in totals.items()])
+
+
+def _joined(base: DataFrame | None, index: DataFrame, columns, added) -> DataFrame:
+    if base is None:
+        return index.select(*columns, *added)
+    return base.join(index.select(_ROW, *added), _ROW).select(*columns, *added)
 
 
 def prefix_sum(df: DataFrame, order, weight: Column | str | None = None, out: str = "idx",
-               inclusive: bool = False, n_buckets: int | None = None,
-               hash_range: float | None = None, total: str | None = None) -> DataFrame:
+               inclusive: bool = False, n_buckets: int | None = None, total: str | None = None) -> DataFrame:
     """Running total of ``weight`` (default 1) over the total order ``order``.
 
     ``inclusive=False`` gives the sum over strictly earlier rows (an offset / 0-based index).
-    ``total`` names an optional column with the grand total (from the bucket totals).
+    ``total`` names an optional column with the grand total. A null weight counts as 0.
     """
-    order = list(order)
-    w = F.lit(1).cast("long") if weight is None else (
-        F.col(weight) if isinstance(weight, str) else weight).cast("long")
-    wcol = "_lc_w"
-    bdf = with_bucket(df.withColumn(wcol, w), order, n_buckets, hash_range)
-    totals = bdf.groupBy(_B).agg(F.sum(wcol).alias("_lc_tot"))
-    extra = [F.coalesce(F.sum("_lc_tot").over(Window.partitionBy()), F.lit(0)).cast("long").alias(total)] \
-        if total else []
-    # One row per bucket: a bounded table, so a single-partition window is cheap here.
-    offs = totals.select(
-        _B, F.coalesce(F.sum("_lc_tot").over(
-            Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .cast("long").alias(_OFF), *extra)
-    frame = (Window.partitionBy(_B).orderBy(*_cols(order))
-             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    local = F.coalesce(F.sum(wcol).over(frame), F.lit(0)).cast("long")
-    return (bdf.join(F.broadcast(offs), _B)
-            .withColumn(out, (F.col(_OFF) + local).cast("long"))
-            .drop(_B, _OFF, wcol))
+    w = F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight
+    base, rows = _sorted_keys(df, list(order), {"_lc_w": F.coalesce(w, F.lit(0))}, n_buckets)
+    offs = _offsets(rows, {"_lc_off": F.sum("_lc_w")}, {total: "_lc_off"} if total else {})
+    frame = Window.partitionBy(_RANGE).orderBy(_ID).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = F.coalesce(F.sum("_lc_w").over(frame), F.lit(0))
+    index = rows.withColumn("_lc_local", local).join(F.broadcast(offs), _RANGE).withColumn(
+        "_lc_out", (F.col("_lc_off") + F.col("_lc_local")).cast("long"))
+    added = [F.col("_lc_out").alias(out)] + ([total] if total else [])
+    return _joined(base, index.select(*[c for c in index.columns if c != "_lc_out"], added[0]),
+                   [c for c in df.columns if c not in (out, total)], [out] + added[1:])
 
 
 def keyed_prefix_sums(df: DataFrame, key: str, seq: str, weights: dict, inclusive: dict | None = None,
                       totals: dict | None = None, n_buckets: int | None = None) -> DataFrame:
     """Running sums of several weights within each key, ordered by ``seq``, skew-safe.
 
-    A window partitioned by the key would put a key holding a third of all rows into one
-    task. Here the sums run over the global order (key, seq) with the two-level prefix sum,
-    whose buckets split a hot key across tasks, and each key's starting offset (one row per
-    key, an aggregate) is subtracted. ``weights`` maps output name -> weight column;
+    Rows are dealt out in ranges of (key, seq), so a hot key is split over many tasks and
+    ``seq`` may be any ordered value. A window sums within (range, key); what a key has in
+    earlier ranges (one row per range and key, an aggregate) is added by a join on the same
+    pair, which no hot key can crowd. ``weights`` maps output name -> weight column;
     ``inclusive`` maps output name -> whether the current row counts; ``totals`` maps output
-    name -> weight column summed over the whole key. ``key`` and ``seq`` must be
-    non-negative integers with seq < 2^31 (the bucket key is key * 2^31 + seq).
+    name -> weight column summed over the whole key. Null keys are one key.
     """
-    inclusive = inclusive or {}
-    bk = F.col(key).cast("double") * F.lit(2.0 ** 31) + F.col(seq).cast("double")
-    base = df.withColumn("_lc_bk", bk)
-    bdf = with_bucket(base, ["_lc_bk"], n_buckets)
-    names = list(weights)
-    wcols = {n: f"_lc_w_{i}" for i, n in enumerate(names)}
-    for n in names:
-        w = weights[n]
-        bdf = bdf.withColumn(wcols[n], (F.col(w) if isinstance(w, str) else w).cast("long"))
-    totals_b = bdf.groupBy(_B).agg(*[F.sum(wcols[n]).alias(f"_lc_t_{i}") for i, n in enumerate(names)])
-    before = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals_b.select(_B, *[F.coalesce(F.sum(f"_lc_t_{i}").over(before), F.lit(0)).cast("long")
-                                 .alias(f"_lc_o_{i}") for i, n in enumerate(names)])
-    frame_ex = Window.partitionBy(_B).orderBy(key, seq).rowsBetween(Window.unboundedPreceding, -1)
-    g = bdf.join(F.broadcast(offs), _B)
-    for i, n in enumerate(names):
-        # global exclusive prefix over (key, seq)
-        g = g.withColumn(f"_lc_g_{i}", F.col(f"_lc_o_{i}") + F.coalesce(F.sum(wcols[n]).over(frame_ex), F.lit(0)))
-    # each key's start: the smallest global prefix among its rows (partially aggregated)
-    starts = g.groupBy(key).agg(*[F.min(f"_lc_g_{i}").alias(f"_lc_s_{i}") for i in range(len(names))],
-                                *[F.sum(F.col(c) if isinstance(c, str) else c).cast("long").alias(t)
-                                  for t, c in (totals or {}).items()])
-    out = g.join(starts, key)
-    for i, n in enumerate(names):
-        val = F.col(f"_lc_g_{i}") - F.col(f"_lc_s_{i}")
-        if inclusive.get(n, False):
-            val = val + F.col(wcols[n])
-        out = out.withColumn(n, val.cast("long"))
-    drop = [_B, "_lc_bk"] + list(wcols.values()) + [c for i in range(len(names))
-                                                    for c in (f"_lc_o_{i}", f"_lc_g_{i}", f"_lc_s_{i}")]
-    return out.drop(*drop)
+    inclusive, totals = inclusive or {}, totals or {}
+    as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    sums = {f"_lc_w{i}": as_col(w) for i, w in enumerate([*weights.values(), *totals.values()])}
+    base, rows = _sorted_keys(df, [key, seq], {**sums, "_lc_one": F.lit(1)}, n_buckets)
+    if base is not None:  # the key itself, which may be wide, comes back by the row number
+        rows = rows.join(base.select(_ROW, key), _ROW)
+    rows = rows.withColumnRenamed(key, "_lc_key") if base is not None else rows.withColumn("_lc_key", F.col(key))
+    per = rows.groupBy(_RANGE, "_lc_key").agg(*[F.sum(c).alias(c) for c in sums])
+    earlier = Window.partitionBy("_lc_key").orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("_lc_key")
+    n = len(weights)
+    carry = per.select(
+        F.col(_RANGE).alias("_lc_r"), F.col("_lc_key").alias("_lc_k"),
+        *[F.coalesce(F.sum(f"_lc_w{i}").over(earlier), F.lit(0)).cast("long").alias(f"_lc_c{i}") for i in range(n)],
+        *[F.sum(f"_lc_w{n + i}").over(every).cast("long").alias(t) for i, t in enumerate(totals)])
+    local = Window.partitionBy(_RANGE, "_lc_key").orderBy(_ID).rowsBetween(Window.unboundedPreceding, -1)
+    named = rows.select("*", *[(F.coalesce(F.sum(f"_lc_w{i}").over(local), F.lit(0))
+                               + (F.col(f"_lc_w{i}") if inclusive.get(name) else F.lit(0))).alias(f"_lc_l{i}")
+                               for i, name in enumerate(weights)])
+    met = named.join(carry, (F.col(_RANGE) == F.col("_lc_r")) & F.col("_lc_key").eqNullSafe(F.col("_lc_k")))
+    outs = [(F.col(f"_lc_l{i}") + F.col(f"_lc_c{i}")).cast("long").alias(name) for i, name in enumerate(weights)]
+    new = [*weights, *totals]
+    index = met.select(*([_ROW] if base is not None else [c for c in df.columns if c not in new]), *outs, *totals)
+    return _joined(base, index, [c for c in df.columns if c not in new], new)
 
 
 def global_index(df: DataFrame, order, out: str = "idx", n_buckets: int | None = None,
-                 hash_range: float | None = None, bucket_key: Column | None = None,
-                 total: str | None = None, bucket: Column | None = None) -> DataFrame:
+                 total: str | None = None) -> DataFrame:
     """0-based position of every row in the total order ``order``.
 
-    ``bucket_key`` is an optional numeric expression, non-decreasing in ``order``, used
-    for bucketing instead of the leading column (e.g. when the leading column has few
-    distinct values, such as a count). ``total`` names an optional column holding the
-    number of rows, taken from the bucket totals (no separate count job). ``bucket`` is an
-    optional integer expression already monotone in ``order`` (e.g. equal-width ranges of a
-    dense position), used as the bucket directly: no boundary pass.
+    Equal keys keep one of their orders. ``total`` names an optional column holding
+    the number of rows.
     """
-    order = list(order)
-    if bucket is not None:
-        bdf = df.withColumn(_B, bucket.cast("int"))
-    elif bucket_key is not None:
-        bdf = with_bucket(df.withColumn("_lc_bk", bucket_key), ["_lc_bk"], n_buckets).drop("_lc_bk")
-    else:
-        bdf = with_bucket(df, order, n_buckets, hash_range)
-    totals = bdf.groupBy(_B).agg(F.count(F.lit(1)).alias("_lc_tot"))
-    extra = [F.sum("_lc_tot").over(Window.partitionBy()).cast("long").alias(total)] if total else []
-    offs = totals.select(
-        _B, F.coalesce(F.sum("_lc_tot").over(
-            Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .cast("long").alias(_OFF), *extra)
-    rn = F.row_number().over(Window.partitionBy(_B).orderBy(*_cols(order)))
-    return (bdf.join(F.broadcast(offs), _B)
-            .withColumn(out, (F.col(_OFF) + rn - 1).cast("long"))
-            .drop(_B, _OFF))
-
-
-def dense_bucket(pos: str, n: str, n_buckets: int) -> Column:
-    """Equal-width bucket of a dense 0..n-1 position (balanced because positions are dense)."""
-    return F.least(F.floor(F.col(pos) * F.lit(n_buckets) / F.greatest(F.col(n), F.lit(1))),
-                   F.lit(n_buckets - 1))
+    base, rows = _sorted_keys(df, list(order), {}, n_buckets)
+    offs = _offsets(rows, {"_lc_off": F.count(F.lit(1))}, {total: "_lc_off"} if total else {})
+    index = rows.join(F.broadcast(offs), _RANGE).withColumn(
+        "_lc_out", F.col("_lc_off") + F.col(_ID).bitwiseAND((1 << 33) - 1))
+    keep = [c for c in df.columns if c not in (out, total)]
+    index = index.drop(out).withColumnRenamed("_lc_out", out)
+    return _joined(base, index, keep, [out] + ([total] if total else []))
 
 
 def hashed_index(df: DataFrame, seed, stream: str, key: str, out: str = "idx",
                  n_buckets: int | None = None, total: str | None = None) -> DataFrame:
     """Index in the seeded shuffled order (h(seed, stream, key), key)."""
-    hc = "_lc_h"
-    with_h = df.withColumn(hc, h(seed, stream, F.col(key)))
-    return global_index(with_h, [hc, key], out, n_buckets, hash_range=TWO32, total=total).drop(hc)
-
-
-# Above this many rows a top-n is cut by the index instead of TakeOrderedAndProject,
-# which would gather all n rows into one task.
-TOP_N_IN_ONE_TASK = 100_000
+    return global_index(df, [h(seed, stream, F.col(key)), key], out, n_buckets, total=total)
 
 
 def first_n(df: DataFrame, order, n: int) -> DataFrame:
     """The first n rows in ``order`` (a count limit is the feature here)."""
-    order = list(order)
-    if n <= TOP_N_IN_ONE_TASK:
-        return df.orderBy(*_cols(order)).limit(n)
     return global_index(df, order, "_lc_i").where(F.col("_lc_i") < n).drop("_lc_i")
 
 
@@ -206,15 +172,10 @@ def prefix_split(df: DataFrame, order, test_split: float, out: str = "split") ->
             .drop("_lc_i", "_lc_n"))
 
 
-def exact_test_size(n: int, test_split: float) -> int:
-    """Exact test-set size of a seeded split: ceil(t * n)."""
-    return int(math.ceil(test_split * n))
-
-
 def seeded_split(df: DataFrame, key: str, test_split: float, seed: int = 42,
                  out: str = "split") -> DataFrame:
     """Exact-size shuffled split; the first ceil(t*n) rows of the seeded order are test."""
-    # ceil(t * n) from the bucket totals of the same index computation (no count job)
+    # ceil(t * n) from the range totals of the same index computation (no count job)
     cut = F.ceil(F.col("_lc_n") * F.lit(test_split))
     return (hashed_index(df, seed, "split", key, "_lc_i", total="_lc_n")
             .withColumn(out, F.when(F.col("_lc_i") < cut, "test").otherwise("train"))
@@ -224,28 +185,9 @@ def seeded_split(df: DataFrame, key: str, test_split: float, seed: int = 42,
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """a uniform sample of exactly n rows when the table is larger, else all rows.
 
-    The sample is the first n rows of the seeded order (h(seed, 'sample', key), key). For a
-    small n out of a large table nothing is sorted globally: rows whose hash falls below a
-    threshold expected to keep about 2n rows are filtered out where they lie, and the exact
-    first n are taken from those candidates (a prefix of the order, so the result is exact;
-    the threshold doubles in the rare case that fewer than n rows pass). Large n uses the
-    bucketed global index.
+    The sample is the first n rows of the seeded order (h(seed, 'sample', key), key).
     """
-    total = df.count()
-    if total <= n:
-        return df
-    hc = "_lc_h"
-    with_h = df.withColumn(hc, h(seed, "sample", F.col(key)))
-    if n <= TOP_N_IN_ONE_TASK:
-        frac = min(1.0, 2.0 * n / total)
-        while True:
-            cut = int(TWO32 * frac) + 1
-            cand = with_h.where(F.col(hc) < cut)
-            if frac >= 1.0 or cand.count() >= n:
-                return cand.orderBy(hc, key).limit(n).drop(hc)
-            frac = min(1.0, frac * 2)
-    return (hashed_index(df, seed, "sample", key, "_lc_i")
-            .where(F.col("_lc_i") < n).drop("_lc_i"))
+    return hashed_index(df, seed, "sample", key, "_lc_i").where(F.col("_lc_i") < n).drop("_lc_i")
 
 
 def training_batches(df: DataFrame, key: str, batch_size: int, epoch: int = 0,

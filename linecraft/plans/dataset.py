@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from linecraft.operators.labels import keep_existing, renumber
-from linecraft.operators.ordering import dense_bucket, prefix_split, seeded_split
+from linecraft.operators.ordering import prefix_split, seeded_split
 from linecraft.sources.textfiles import read_lines
 
 
@@ -21,9 +21,7 @@ def merged_labels(docs: DataFrame, existing: DataFrame) -> DataFrame:
     """
     lines = read_lines(docs, "doc_id", "text", 200, total="n_lines")
     kept = keep_existing(lines, existing, key="doc_id")
-    # line numbers are dense 0..n-1, so equal-width ranges of them are balanced buckets
-    nb = max(16, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    return renumber(kept, ["line_no"], "jpg", bucket=dense_bucket("line_no", "n_lines", nb)).drop("n_lines")
+    return renumber(kept, ["line_no"], "jpg").drop("n_lines")
 
 
 def split_labels(meta: DataFrame, test_split: float = 0.05, seed: int = 42,

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from linecraft.operators import ordering as O
 
@@ -65,10 +66,8 @@ def test_sample_rows_exact(spark):
     assert a == b
 
 
-def test_first_n_both_paths(spark, monkeypatch):
+def test_first_n(spark):
     df = _ids(spark, 50, 3)
-    assert [r.k for r in O.first_n(df, ["k"], 5).collect()] == [0, 3, 6, 9, 12]
-    monkeypatch.setattr(O, "TOP_N_IN_ONE_TASK", 2)
     assert sorted(r.k for r in O.first_n(df, ["k"], 5).collect()) == [0, 3, 6, 9, 12]
 
 
@@ -118,3 +117,60 @@ def test_spread_only_when_scan_is_narrow(spark):
     assert spread(one).rdd.getNumPartitions() == cores
     many = spark.range(0, 100, 1, cores * 2)
     assert spread(many).rdd.getNumPartitions() == cores * 2
+
+
+def _shares(spark, df, order):
+    _, rows = O._sorted_keys(df, order, {}, 16)
+    return [r["count"] for r in rows.groupBy(O._RANGE).count().collect()]
+
+
+def test_null_keys_are_kept_and_first(spark):
+    df = spark.createDataFrame([(None if i % 10 == 0 else i, f"t{i}") for i in range(200)], "k long, t string")
+    rows = sorted((r.idx, r.k) for r in O.global_index(df.repartition(5), ["k"], "idx").collect())
+    assert [i for i, _ in rows] == list(range(200))
+    assert all(k is None for _, k in rows[:20]) and [k for _, k in rows[20:]] == sorted(k for _, k in rows[20:])
+
+
+def test_two_valued_leading_key_spreads(spark):
+    df = spark.range(4000).select((F.col("id") % 2).alias("c"), F.col("id").alias("s"))
+    counts = _shares(spark, df, ["c", "s"])
+    assert len(counts) >= 12 and max(counts) < 4000 / 5
+    got = [tuple(r) for r in O.global_index(df, ["c", "s"], "idx").orderBy("idx").select("c", "s").collect()]
+    assert got == sorted(got)
+
+
+def test_long_common_prefix_spreads(spark):
+    df = spark.range(1000).select(F.format_string("file:///store/data/part/%06d.txt", "id").alias("path"))
+    assert max(_shares(spark, df, ["path"])) < 200
+    got = [r.path for r in O.global_index(df, ["path"], "idx").orderBy("idx").collect()]
+    assert got == sorted(got)
+
+
+def test_one_key_with_all_rows_spreads(spark):
+    df = spark.range(2000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
+    assert max(_shares(spark, df, ["k"])) < 400
+
+
+def test_keyed_prefix_sums_above_two_to_31(spark):
+    step = 1 << 33
+    rows = [(None if i % 3 == 0 else i % 5, i * step, 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, s long, w long").repartition(7)
+    out = O.keyed_prefix_sums(df, "k", "s", {"run": "w"}, {"run": True}, {"tot": "w"}).collect()
+    seen, exp = {}, {}
+    for k, s, _ in rows:
+        seen[k] = seen.get(k, 0) + 1
+        exp[(k, s)] = seen[k]
+    assert {(r.k, r.s): r.run for r in out} == exp
+    assert all(r.tot == seen[r.k] for r in out)
+
+
+def test_keyed_prefix_sums_carries_wide_columns(spark):
+    df = spark.createDataFrame([("a", 2, 5, "x"), ("a", 1, 3, "y"), (None, 1, 4, "z")], "k string, s long, w long, t string")
+    out = {r.t: r.before for r in O.keyed_prefix_sums(df, "k", "s", {"before": "w"}).collect()}
+    assert out == {"x": 3, "y": 0, "z": 0}
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "k long, t string")
+    assert O.global_index(df, ["k"], "idx", total="n").count() == 0
+    assert O.prefix_sum(df, ["k"], None, "off").count() == 0
