@@ -19,6 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 # Control strings of public chat templates and of this one.
 RESERVED = ("[TURN]", "[SAYS]", "[/TURN]", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>",
@@ -91,7 +92,8 @@ def format_turns(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """
     keep = df.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                      F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
-    schema = keep.schema.add("formatted", "string").add("escaped", "boolean")
+    schema = StructType([*keep.schema.fields, StructField("formatted", StringType()),
+                         StructField("escaped", BooleanType())])
 
     def render(batches):
         for batch in batches:
