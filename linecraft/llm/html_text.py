@@ -51,7 +51,6 @@ FURNITURE = frozenset(
     "recommendations widget widgets comment comments commentlist comments-area disqus respond replies "
     "reply pagination pager search hidden complementary contentinfo".split())
 _NAME = re.compile(r"[^0-9a-z]+")
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -81,6 +80,9 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def _close(self, names, limit=frozenset()) -> None:
         node = self.at
         while node.parent is not None and node.tag not in limit:
@@ -103,7 +105,7 @@ class _Builder(HTMLParser):
                     break
         if tag == "body":
             self.at = self.root
-        node = Node(tag, self.at, is_furniture(tag, dict(attrs)))
+        node = Node(tag, self.at, is_furniture(tag, dict(attrs)) if attrs else tag in DROPPED)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -148,7 +150,7 @@ def measure(root: Node) -> list[Node]:
     """Fill in the counts, densities and density sums of all kept nodes."""
     nodes = _nodes(root)
     for n in reversed(nodes):
-        own = sum(len(_SPACE.sub("", c)) for c in n.children if isinstance(c, str))
+        own = sum(sum(map(len, c.split())) for c in n.children if isinstance(c, str))
         kids = [c for c in n.children if isinstance(c, Node) and not c.drop]
         n.chars = own + sum(c.chars for c in kids)
         n.tags = sum(1 + c.tags for c in kids)
@@ -210,7 +212,7 @@ def blocks(node: Node, inside_article: bool) -> list[str]:
     out, run = [], []
 
     def flush():
-        text = _SPACE.sub(" ", "".join(run)).strip()
+        text = " ".join("".join(run).split())
         run.clear()
         if text:
             out.append(text)
