@@ -65,7 +65,7 @@ def words_of_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if held < _CHARS and k + 1 < len(texts):
             continue
         raw = [t.lower().encode("utf-8", "surrogatepass") for t in some]
-        w, start = hash_words(b" ".join(raw), _SEPARATOR)
+        w, start, _ = hash_words(b" ".join(raw), _SEPARATOR)
         ends = np.cumsum([len(r) + 1 for r in raw])
         hashes.append(w)
         sizes.append(np.diff(np.searchsorted(start, ends), prepend=0))

@@ -42,16 +42,16 @@ def spans(buf: np.ndarray, separators: np.ndarray = SPACE):
     return edge[::2], edge[1::2]
 
 
-def hash_words(raw: bytes, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of a UTF-8 text, A-Z folded, and the byte at which it starts."""
+def hash_words(raw: bytes, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of every word of a UTF-8 text, A-Z folded, and the bytes where it starts and ends."""
     buf = np.frombuffer(raw, np.uint8)
     if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     up, down = _power(len(buf) + 1)
     start, end = spans(buf, separators)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(FOLD[buf] * up[:len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start]), start
+    return mix((total[end] - total[start]) * down[start]), start, end
 
 
 def word_hashes(text: str, separators: np.ndarray = SPACE) -> np.ndarray:

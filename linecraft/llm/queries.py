@@ -8,6 +8,7 @@ from linecraft.llm.doc_fingerprint import op3_doc_fingerprint
 from linecraft.llm.html_text import op4_html_extraction
 from linecraft.llm.license_scan import op2_license_scan
 from linecraft.llm.line_dedup import op8_line_dedup
+from linecraft.llm.lm_score import op7_lm_score
 from linecraft.llm.mixing import OP5_SQL, op5_mixing
 from linecraft.llm.quality import op10_quality_classifier
 from linecraft.llm.simhash_dedup import op6_simhash_dedup
@@ -24,6 +25,6 @@ def _shipped(fn):
 
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_chat_format, op2_license_scan, op3_doc_fingerprint, op4_html_extraction, op5_mixing,
-    op6_simhash_dedup, op8_line_dedup, op9_decontamination, op10_quality_classifier)}
+    op6_simhash_dedup, op7_lm_score, op8_line_dedup, op9_decontamination, op10_quality_classifier)}
 
 ORACLE = {"op5_mixing": OP5_SQL.strip()}
