@@ -39,10 +39,10 @@ BUCKETS = 48
 TABLE = 1 << 19
 CLASSES = 24        # of about equal probability, before
 CLASS_TOKENS = 40   # larger ones are cut
-EMBED = 12
-HIDDEN = 16
+EMBED = 8
+HIDDEN = 12
 WINDOW = 32
-TRAIN_EVERY = 16
+TRAIN_EVERY = 24
 ROUNDS = 2
 BATCH = 48
 RATE = 0.005
@@ -137,31 +137,43 @@ class Lexicon:
         return np.where(out >= 0, out, self.buckets[bucket]).astype(np.int32), np.where(hit, self.counts[at], -1)
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def forward(net: Net, ids: np.ndarray, state: np.ndarray, keep: bool = False):
-    """States of the gated unit before each of the (time, batch) tokens, and after the last."""
+    """States of the gated unit, (time + 1, batch, HIDDEN): before the first of the (time, batch)
+    inputs and after each; with ``keep`` also the gates of each step."""
     p, h = net.p, HIDDEN
-    x = p["E"][ids] @ p["W"].T + p["b"]
-    states, gates = [state], []
+    x = (p["E"] @ p["W"].T + p["b"])[ids]
+    gate, inner = np.ascontiguousarray(p["U"][:2 * h].T), np.ascontiguousarray(p["U"][2 * h:].T)
+    states = np.empty((len(ids) + 1, *state.shape), state.dtype)
+    states[0] = state
+    gates = []
     for t in range(len(ids)):
-        u = state @ p["U"][:2 * h].T
-        zr = _sigmoid(x[t, :, :2 * h] + u)
+        zr = states[t] @ gate
+        zr += x[t, :, :2 * h]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :h], zr[:, h:]
-        c = np.tanh(x[t, :, 2 * h:] + (r * state) @ p["U"][2 * h:].T)
-        new = z * state + (1 - z) * c
+        c = (r * states[t]) @ inner
+        c += x[t, :, 2 * h:]
+        np.tanh(c, out=c)
+        np.subtract(states[t], c, out=states[t + 1])
+        states[t + 1] *= z
+        states[t + 1] += c
         if keep:
             gates.append((z, r, c))
-        state = new
-        states.append(state)
     return states, gates
 
 
-def log_softmax(x):
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _chosen(states, weights, bias, mine, want_rest: bool):
+    """Log probability of the outputs ``mine`` under one softmax; with it the probabilities."""
+    x = states @ weights.T
+    x += bias
+    picked = x[np.arange(len(mine)), mine].astype(np.float64)
+    np.minimum(x, 60, out=x)  # far above any trained value; keeps the sum finite
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return picked - np.log(total), (x / total[:, None] if want_rest else None)
 
 
 def token_logs(net: Net, states: np.ndarray, ids: np.ndarray, grads: dict | None = None):
@@ -172,11 +184,9 @@ def token_logs(net: Net, states: np.ndarray, ids: np.ndarray, grads: dict | None
     """
     p = net.p
     cls = net.of[ids]
-    logs = log_softmax(states @ p["C"].T + p["cb"])
-    out = logs[np.arange(len(ids)), cls].astype(np.float64)
+    out, d = _chosen(states, p["C"], p["cb"], cls, grads is not None)
     back = None
     if grads is not None:
-        d = np.exp(logs)
         d[np.arange(len(ids)), cls] -= 1
         grads["C"] += d.T @ states
         grads["cb"] += d.sum(axis=0)
@@ -189,11 +199,10 @@ def token_logs(net: Net, states: np.ndarray, ids: np.ndarray, grads: dict | None
         if not len(at) or hi - lo < 2:
             continue
         s = states[at]
-        inner = log_softmax(s @ p["O"][lo:hi].T + p["ob"][lo:hi])
         mine = ids[at] - lo
-        out[at] += inner[np.arange(len(at)), mine]
+        logs, d = _chosen(s, p["O"][lo:hi], p["ob"][lo:hi], mine, grads is not None)
+        out[at] += logs
         if grads is not None:
-            d = np.exp(inner)
             d[np.arange(len(at)), mine] -= 1
             grads["O"][lo:hi] += d.T @ s
             grads["ob"][lo:hi] += d.sum(axis=0)
@@ -208,7 +217,7 @@ def gradients(net: Net, ids: np.ndarray, state: np.ndarray) -> tuple[dict, float
     inputs, targets = ids[:-1], ids[1:]
     steps, batch = inputs.shape
     states, gates = forward(net, inputs, state, keep=True)
-    after = np.stack(states[1:]).reshape(steps * batch, h)
+    after = states[1:].reshape(steps * batch, h)
     logs, back = token_logs(net, after, targets.ravel(), g)
     back = back.reshape(steps, batch, h)
     d = np.zeros((batch, h), np.float32)
@@ -293,7 +302,7 @@ def train_round(docs: DataFrame, net: Net, lexicon: Lexicon) -> Net:
                net.first, net.of)
 
 
-_LANES = 256
+_LANES = 384
 
 
 def score_texts(net: Net, ids: list[np.ndarray], start: int) -> np.ndarray:
@@ -318,10 +327,10 @@ def score_texts(net: Net, ids: list[np.ndarray], start: int) -> np.ndarray:
                 inputs[:len(piece), j] = np.concatenate((before, piece[:-1]))
             states, _ = forward(net, inputs, state[live])
             use = targets.ravel() >= 0
-            logs, _ = token_logs(net, np.stack(states[1:]).reshape(-1, HIDDEN)[use], targets.ravel()[use])
+            logs, _ = token_logs(net, states[1:].reshape(-1, HIDDEN)[use], targets.ravel()[use])
             who = np.broadcast_to(live, targets.shape).ravel()[use]
             out[[lane[i] for i in live]] += np.bincount(who, logs, len(lane))[live]
-            state[live] = states[-1]
+            state[live] = states[len(inputs)]
             at += steps
     return out
 

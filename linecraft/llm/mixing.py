@@ -98,14 +98,15 @@ def take(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     return out.withColumn("taken", F.col("taken").cast("long")).drop("_whole", "_slice", "_edge", "_need", "_o")
 
 
-def mix(docs: DataFrame, seed: int = 17, budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+def mix(docs: DataFrame, seed: int = 17, budget_share: float = 1.5, max_epochs: int = 2,
+        carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, carried columns, size, source_size, target, taken) for every row of ``docs``.
 
     ``taken`` counts words, repetitions included: taken // size whole repetitions, and the
     first taken % size words once more. Empty and null texts have size 0 and take nothing.
     Rows that repeat an id are taken independently, in order of their sizes.
     """
-    sized = materialise(docs.select("doc_id", "source", _size(F.col("text")).alias("size"),
+    sized = materialise(docs.select("doc_id", "source", *carry, _size(F.col("text")).alias("size"),
                                     seeded_order(seed).alias("_o")), "sized")
     return take(sized, source_targets(sized, budget_share, max_epochs), seed)
 
