@@ -155,16 +155,16 @@ from linecraft.sources import textfiles as TF  # noqa: E402
 
 
 def _lines(spark, sf):
-    return TF.read_lines(_docs(spark, sf), "doc_id", "text", 200)
+    return TF.read_lines(_docs(spark, sf), "doc_id", "text")
 
 
 @register("read_lines", f"""
-WITH {O.lines_cte()}
+WITH {O.lines_cte(max_chars=200)}
 SELECT line_no, doc_id, text FROM lines
 """)
 def q_read_lines(spark, sf):
     """A1: non-empty lines of every document, cut to 200 characters, globally numbered."""
-    return _lines(spark, sf)
+    return TF.read_lines(_docs(spark, sf), "doc_id", "text", 200)
 
 
 _FONTS_SQL = "(VALUES " + ", ".join(f"({i}, {O.lit(p)})" for i, p in enumerate(PR.FIXTURE_FONTS)) + ") AS f(font_no, font)"
@@ -174,7 +174,7 @@ _RECIPES_SQL = "(VALUES " + ", ".join(
 
 
 @register("render_plan", f"""
-WITH {O.lines_cte()},
+WITH {O.lines_cte(max_chars=200)},
 cnt AS (SELECT count(*) // 7 AS n FROM lines),
 blocked AS (SELECT line_no, text,
             CAST(CASE WHEN (SELECT n FROM cnt) = 0 THEN 7 ELSE least(line_no // (SELECT n FROM cnt), 7) END AS INTEGER) AS block
@@ -661,20 +661,6 @@ def q_follow_links(spark, sf):
     return LK.follow_links(spread(table(spark, sf, "pages")))
 
 
-# ---------------------------------------------------------------------------------------
-# Images (rows-only: pixel kernels have no SQL statement; goldens in tests/)
-# ---------------------------------------------------------------------------------------
-
-from linecraft.plans import images as PI  # noqa: E402
-
-
-@register("augment_images")
-def q_augment_images(spark, sf):
-    """F-images: I12 assembly, I1-I9 augmentation and the B15 contrast filter for every corpus line."""
-    lines = PI.corpus_lines(C.build_corpus(_docs(spark, sf)))
-    return PI.image_stats(PI.image_set(spark, lines))
-
-
 # ---------------------------------------------------------------------------------------
 # More operators over the fixture tables
 # ---------------------------------------------------------------------------------------

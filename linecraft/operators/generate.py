@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from linecraft.functions import text as T
 from linecraft.functions.rng import h, randint
-from linecraft.operators.ordering import first_n, hashed_index
+from linecraft.operators.ordering import first_n, global_index, hashed_index, written
 
 # Character pools of the random-string generator.
 ASCII_SYMBOLS = "!\"#$%&'()*+,-./:;?@[\\]^_`{|}~"
@@ -24,10 +24,6 @@ CN_RANGES = ((19968, 40908),)
 JA_RANGES = ((12288, 12351), (12352, 12447), (12448, 12543), (65280, 65519), (19968, 40908))
 REGEN_BATCH = 1000
 
-# A broadcast side must stay below this many rows; larger lookup tables are joined
-# with a shuffle.
-BROADCAST_ROWS = 1_000_000
-
 
 def _batch(i):
     return F.floor(i / REGEN_BATCH)
@@ -35,28 +31,23 @@ def _batch(i):
 
 def lookup_by_index(df: DataFrame, table: DataFrame, index_col: str, table_key: str,
                     n_rows: int | None = None) -> DataFrame:
-    """C4: equi-join on a computed index; the table is broadcast when its size is checked."""
-    n = table.count() if n_rows is None else n_rows
-    side = F.broadcast(table) if n <= BROADCAST_ROWS else table
-    return df.join(side, df[index_col] == side[table_key], "inner").drop(side[table_key])
+    """C4: equi-join on a computed index; how to join is left to adaptive execution."""
+    return df.join(table, df[index_col] == table[table_key], "inner").drop(table[table_key])
 
 
 def skip_take_cycle(lines: DataFrame, count: int, skip: int = 0, line_no: str = "line_no") -> DataFrame:
     """E5: drop ``skip`` lines, then repeat the rest until ``count`` strings.
 
-    Each remaining line emits the output indices congruent to its position, so the cycle
-    needs neither a join nor a shuffle. Returns (idx, <line columns>).
+    Lines are numbered in the order of ``line_no``, which need not be dense. Output i meets line
+    skip + i mod (lines left) by an equi-join. Returns (idx, <line columns>).
     """
-    total = lines.count()
-    rem = total - skip
+    placed = written(global_index(lines, [line_no], "_pos"), "cycle")
+    rem = placed.count() - skip
     if rem <= 0:
         raise ValueError("skip_lines is past the end of the input (the reference loops forever)")
-    r = F.col(line_no) - F.lit(skip)
-    live = lines.where((r >= 0) & (r < min(rem, count)))
-    if rem >= count:
-        return live.withColumn("idx", r.cast("long"))
-    return live.withColumn("idx", F.explode(F.sequence(r, F.lit(count - 1), F.lit(rem)))) \
-        .withColumn("idx", F.col("idx").cast("long"))
+    live = placed.where(F.col("_pos") >= skip).withColumn("_p", F.col("_pos") - skip).drop("_pos", "idx")
+    asked = lines.sparkSession.range(count).select(F.col("id").alias("idx"), F.pmod("id", F.lit(rem)).alias("_p"))
+    return asked.join(live, "_p").drop("_p")
 
 
 def sample_source(spark: SparkSession, strings: DataFrame, fonts: DataFrame, count: int,

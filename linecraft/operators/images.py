@@ -1,14 +1,6 @@
-"""Image-table jobs: assemble, augment, draw, crop, model inputs.
+"""Image tables: brightness statistics (D8), the contrast filter (B15) and region crops (for J2).
 
-Every step that needs pixels runs in ``mapInPandas`` (per row) or ``applyInPandas`` (per
-line, for assembly) with the numpy kernels of ``functions.kernels``. All decisions - angle,
-blur radius, colours, sizes, paste position, background kind and its random key - are
-columns computed before the image bytes enter the plan, so kernels receive numbers. No step
-shuffles image bytes except the per-line grouping of glyph pieces, whose groups are bounded by
-the line length.
-
-Images use the field names of Spark's image schema
-(origin, height, width, nChannels, mode, data); data is row-major H x W x C, RGB(A) order.
+An image is Spark's image struct (origin, height, width, nChannels, mode, data).
 """
 
 from __future__ import annotations
@@ -19,242 +11,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BinaryType, BooleanType, DoubleType, IntegerType, LongType,
-                               StringType, StructField, StructType)
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from linecraft.functions import geometry as G
-from linecraft.functions import kernels as K
-from linecraft.functions.rng import h
 
 IMAGE = StructType([StructField("origin", StringType()), StructField("height", IntegerType()),
                     StructField("width", IntegerType()), StructField("nChannels", IntegerType()),
                     StructField("mode", IntegerType()), StructField("data", BinaryType())])
 
+# The mode numbers of Spark's image schema for 8-bit channels.
+MODES = {1: 0, 3: 16, 4: 24}
 
-def _img(row_val) -> np.ndarray | None:
-    if row_val is None or (isinstance(row_val, float) and np.isnan(row_val)):
-        return None
-    return K.from_struct(row_val)
-
-
-def _schema_with(df: DataFrame, extra: list[StructField], drop=()) -> StructType:
-    fields = [f for f in df.schema.fields if f.name not in drop and f.name not in {e.name for e in extra}]
-    return StructType(fields + extra)
-
-
-# ---------------------------------------------------------------------------------------
-# Assemble text images from a glyph table.
-# ---------------------------------------------------------------------------------------
-
-MAX_GLYPHS = 100_000
-
-def glyph_bitmaps(glyphs: DataFrame, seed: int = 7) -> DataFrame:
-    """Glyph alpha bitmaps by rule, for tables without a font: ink inside a 1-pixel inset,
-    with a per-character diagonal pattern. (ch, advance, height, bitmap binary)."""
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            bms = []
-            for ch, w, hh, key in zip(pdf["ch"], pdf["advance"], pdf["height"], pdf["_k"]):
-                a = np.zeros((int(hh), int(w)), np.uint8)
-                if ch.strip() and w > 2 and hh > 2:
-                    yy, xx = np.mgrid[0:hh, 0:w]
-                    ink = ((xx + yy + int(key)) % 3 != 0)
-                    ink[0, :] = ink[-1, :] = False
-                    ink[:, 0] = ink[:, -1] = False
-                    a[ink] = 255
-                bms.append(a.tobytes())
-            out = pdf.drop(columns=["_k"])
-            out["bitmap"] = bms
-            yield out
-    base = glyphs.select("ch", "advance", "height", h(seed, "glyph", F.col("ch")).alias("_k"))
-    schema = StructType([StructField("ch", StringType()), StructField("advance", IntegerType()),
-                         StructField("height", IntegerType()), StructField("bitmap", BinaryType())])
-    return base.mapInPandas(fn, schema)
-
-
-def glyph_dict(bitmaps: DataFrame) -> dict:
-    """The glyph table of one font as a dict ch -> (advance, height, bitmap); bounded and checked."""
-    n = bitmaps.count()
-    if n > MAX_GLYPHS:
-        raise ValueError(f"glyph table of {n} rows is larger than {MAX_GLYPHS}")
-    return {r["ch"]: (int(r["advance"]), int(r["height"]), r["bitmap"]) for r in bitmaps.collect()}
-
-
-def line_drawer(table: dict, spacing: int = 0, space_width: float = 1.0):
-    """I12 kernel (+C7, E3 for one line): text -> (RGBA text image, RGB piece mask).
-
-    Piece i (a character) starts at x = sum of earlier advances + spacing * i; a space
-    advances int(advance(' ') * space_width); zero-width marks advance 0. The mask colours
-    piece i with G13's colour of n = i + 1.
-    """
-    from linecraft.operators.boxes import ZERO_WIDTH_MARKS
-    zero = set(ZERO_WIDTH_MARKS)
-    space_adv = int(table.get(" ", (0, 0, b""))[0] * space_width)
-
-    def draw(s: str):
-        xs, ws, hs, x = [], [], [], 0
-        for i, ch in enumerate(s):
-            adv, hh, _ = table.get(ch, (0, 0, b""))
-            if ch == " ":
-                adv = space_adv
-            elif ch in zero:
-                adv = 0
-            xs.append(x + i * spacing)
-            ws.append(adv)
-            hs.append(hh)
-            x += adv
-        W = max(1, (xs[-1] + ws[-1]) if xs else 1)
-        H = max([1] + hs)
-        img = np.zeros((H, W, 4), np.uint8)
-        mask = np.zeros((H, W, 3), np.uint8)
-        for i, ch in enumerate(s):
-            g = table.get(ch)
-            if g is None or ch == " " or not g[0] or not g[1]:
-                continue
-            a = np.frombuffer(g[2], np.uint8).reshape(g[1], g[0])
-            x0 = xs[i]
-            ww = min(a.shape[1], W - x0)
-            if ww <= 0:
-                continue
-            a = a[:H, :ww]
-            sel = a > 0
-            reg = img[:a.shape[0], x0:x0 + ww]
-            reg[sel, :3] = 40
-            reg[sel, 3] = a[sel]
-            n_ = i + 1
-            mask[:a.shape[0], x0:x0 + ww][sel] = (n_ // 65025, n_ // 255, n_ % 255)
-        return img, mask
-
-    return draw
-
-
-def assemble_lines(lines: DataFrame, bitmaps: DataFrame, key: str = "line_no", text: str = "text",
-                   spacing: int = 0, space_width: float = 1.0) -> DataFrame:
-    """Text images of every line -> (key, text_image, text_mask).
-
-    The glyph table of a font is bounded, so it travels with the function and every line is
-    assembled where it lies: no shuffle.
-    """
-    draw = line_drawer(glyph_dict(bitmaps), spacing, space_width)
-    out_schema = StructType([StructField(key, LongType()), StructField("text_image", IMAGE),
-                             StructField("text_mask", IMAGE)])
 
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            imgs, masks = [], []
-            for s in pdf[text]:
-                img, mask = draw(s or "")
-                imgs.append(K.to_struct(img))
-                masks.append(K.to_struct(mask))
-            yield pd.DataFrame({key: pdf[key].astype("int64"), "text_image": imgs, "text_mask": masks})
+def to_struct(pixels: np.ndarray, origin: str = "") -> dict:
+    """An image struct from a (height, width, channels) array."""
+    height, width, channels = pixels.shape
+    return {"origin": origin, "height": height, "width": width, "nChannels": channels,
+            "mode": MODES[channels], "data": pixels.tobytes()}
 
-    return lines.select(key, text).mapInPandas(fn, out_schema)
 
+def from_struct(image) -> np.ndarray:
+    return np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
 
-# ---------------------------------------------------------------------------------------
-# The augmentation job.
-# ---------------------------------------------------------------------------------------
-
-def plan_columns(df: DataFrame, seed: int = 42, key: str = "line_no") -> DataFrame:
-    """Random keys of the kernels (noise, distortion, background crop) and quasicrystal
-    parameters, as columns."""
-    k = F.col(key)
-    out = (df.withColumn("noise_key", h(seed, "bg_noise", k))
-             .withColumn("wave_key", h(seed, "wave", k))
-             .withColumn("crop_key", h(seed, "bg_crop", k)))
-    for name, col in G.quasicrystal_params(seed, k).items():
-        out = out.withColumn(name, col)
-    return out
-
-
-def augment(df: DataFrame, size: int = 64, margins=(5, 5, 5, 5), alignment: int = 1,
-            width: int = -1, orientation: int = 0, image_mode: str = "RGB", min_contrast: float = 15.0,
-            background_image: np.ndarray | None = None, literal_distortion: bool = False,
-            fair_contrast: bool = False, glyphs: dict | None = None, text: str = "text") -> DataFrame:
-    """I1-I9 with the B15 contrast filter: one output row per input row.
-
-    With ``glyphs`` (a :func:`glyph_dict`), the text image is drawn from the ``text`` column in
-    the same task (I12 fused with I1-I9, no image bytes before this step). Otherwise the
-    input columns are text_image, text_mask (IMAGE structs). Also needed: angle, distortion,
-    distortion_orientation, background, blur_radius and the columns of :func:`plan_columns`.
-    Adds image, mask (IMAGE, null when dropped), kept, text_mean, bg_mean and the boxes are
-    taken from the mask before blur (Q2) by the caller if needed.
-    """
-    top, left, bottom, right = margins
-    extra = [StructField("image", IMAGE), StructField("mask", IMAGE), StructField("kept", BooleanType()),
-             StructField("text_mean", DoubleType()), StructField("bg_mean", DoubleType()),
-             StructField("paste_x", IntegerType())]
-    schema = _schema_with(df, extra, drop=("text_image", "text_mask"))
-    names = [f.name for f in schema.fields]
-    draw = line_drawer(glyphs) if glyphs is not None else None
-
-    def one(r) -> dict:
-        if draw is not None:
-            img, mask = draw(r[text] or "")
-        else:
-            img, mask = _img(r["text_image"]), _img(r["text_mask"])
-        if "fill" in r.index and r["fill"] is not None:
-            img = img.copy()
-            img[img[:, :, 3] > 0, :3] = np.asarray(list(r["fill"])[:3], np.uint8)
-        rot_i, rot_m = K.rotate_pair(img, mask, float(r["angle"]))
-        o = int(r["distortion_orientation"])
-        rng = K.rng_for(int(r["wave_key"]))
-        dis_i, dis_m = K.distort(rot_i, rot_m, int(r["distortion"]), o in (0, 2), o in (1, 2), rng,
-                                 literal_distortion)
-        hh, ww = dis_i.shape[:2]
-        if orientation == 0:
-            new_w = int(ww * (float(size - top - bottom) / float(hh)))
-            new_h = size - top - bottom
-            bw = width if width > 0 else new_w + left + right
-            bh = size
-        else:
-            new_h = int(float(hh) * (float(size - left - right) / float(ww)))
-            new_w = size - left - right
-            bw, bh = size, new_h + top + bottom
-        res_i = K.resize(dis_i, new_w, new_h, smooth=True)
-        res_m = K.resize(dis_m, new_w, new_h, smooth=False)
-        kind = int(r["background"])
-        if kind == 0:
-            bg = K.gaussian_background(bh, bw, K.rng_for(int(r["noise_key"])))
-        elif kind == 1:
-            bg = K.white_background(bh, bw)
-        elif kind == 2:
-            bg = K.quasicrystal_background(bh, bw, float(r["qc_frequency"]), float(r["qc_phase"]),
-                                           int(r["qc_rotations"]))
-        else:
-            if background_image is None:
-                raise ValueError("background 3 needs background_image")
-            bg = K.image_background(background_image, bh, bw, K.rng_for(int(r["crop_key"])))
-        stats = K.brightness(res_i, res_m, bg, fair_contrast)
-        out = {n: r[n] for n in names if n in r.index}
-        out.update(text_mean=None if stats is None else stats[0], bg_mean=None if stats is None else stats[1])
-        if not K.keeps_contrast(stats, min_contrast):
-            out.update(image=None, mask=None, kept=False, paste_x=None)
-            return out
-        if alignment == 0 or width == -1:
-            x = left
-        elif alignment == 1:
-            x = int(bw / 2 - new_w / 2)
-        else:
-            x = bw - new_w - right
-        comp = K.composite(bg, res_i, x, top)
-        cmask = K.paste(np.zeros((bh, bw, 3), np.uint8), res_m, x, top)
-        final = K.gaussian_blur(K.convert_mode(comp, image_mode), float(r["blur_radius"]))
-        fmask = K.gaussian_blur(K.convert_mode(cmask, image_mode), float(r["blur_radius"]))
-        out.update(image=K.to_struct(final), mask=K.to_struct(fmask), kept=True, paste_x=x)
-        return out
-
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [one(r) for _, r in pdf.iterrows()]
-            yield pd.DataFrame(rows, columns=names)
-
-    return df.mapInPandas(fn, schema)
-
-
-# ---------------------------------------------------------------------------------------
-# Pixel-table statistics (D8 as an aggregate), drawing, cropping, model inputs.
-# ---------------------------------------------------------------------------------------
 
 def brightness_table(text_px: DataFrame, bg_px: DataFrame, image: str = "image_id",
                      fair: bool = False) -> DataFrame:
@@ -275,28 +53,8 @@ def contrast_filter(stats: DataFrame, min_diff: float = 15.0) -> DataFrame:
     return stats.where(F.abs(F.col("text_mean") - F.col("bg_mean")) >= min_diff)
 
 
-def draw_boxes(df: DataFrame, image: str = "image", boxes: str = "boxes", colour=(0, 255, 0),
-               out: str = "boxed") -> DataFrame:
-    """Outline the boxes (array<struct<x1,y1,x2,y2>>) on each image."""
-    schema = _schema_with(df, [StructField(out, IMAGE)])
-    names = [f.name for f in schema.fields]
-
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            res = []
-            for _, r in pdf.iterrows():
-                a = _img(r[image])
-                bx = [(b["x1"], b["y1"], b["x2"], b["y2"]) for b in (r[boxes] if r[boxes] is not None else [])]
-                d = {n: r[n] for n in names if n in r.index}
-                d[out] = None if a is None else K.to_struct(K.draw_boxes(a, bx, colour))
-                res.append(d)
-            yield pd.DataFrame(res, columns=names)
-
-    return df.mapInPandas(fn, schema)
-
-
 def crop_regions(df: DataFrame, image: str = "image", points: str = "points", key: str = "image_id") -> DataFrame:
-    """I11 (+G12): one row per detected region with the crop of its rectangle.
+    """G12 for every region: one row per detected region with the slice of its rectangle.
 
     ``points`` is array<array<array<double>>> (regions x 4 corners x (x, y)); corners 0 and 2
     give the rectangle. Returns (key, box_no, x1, y1, x2, y2, crop).
@@ -304,33 +62,14 @@ def crop_regions(df: DataFrame, image: str = "image", points: str = "points", ke
     ex = df.select(key, image, F.posexplode(points).alias("box_no", "_pts"))
     rect = G.region_rect(F.col("_pts"))
     ex = ex.select(key, image, "box_no", *[v.alias(k) for k, v in rect.items()])
-    schema = StructType([StructField(key, df.schema[key].dataType), StructField("box_no", IntegerType()),
-                         StructField("x1", IntegerType()), StructField("y1", IntegerType()),
-                         StructField("x2", IntegerType()), StructField("y2", IntegerType()),
-                         StructField("crop", IMAGE)])
-
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            crops = [K.to_struct(K.crop(_img(im), int(a), int(b), int(c), int(d)))
-                     for im, a, b, c, d in zip(pdf[image], pdf["x1"], pdf["y1"], pdf["x2"], pdf["y2"])]
-            yield pd.DataFrame({key: pdf[key], "box_no": pdf["box_no"], "x1": pdf["x1"], "y1": pdf["y1"],
-                                "x2": pdf["x2"], "y2": pdf["y2"], "crop": crops})
-
-    return ex.mapInPandas(fn, schema)
-
-
-def model_inputs(df: DataFrame, image: str = "image", size: int = 384, mean=(0.5, 0.5, 0.5),
-                 std=(0.5, 0.5, 0.5), out: str = "pixel_values") -> DataFrame:
-    """Resized, rescaled and normalised channel-first float array per image."""
-    from pyspark.sql.types import ArrayType, FloatType
-    schema = _schema_with(df, [StructField(out, ArrayType(FloatType()))])
-    names = [f.name for f in schema.fields]
+    ints = [StructField(k, IntegerType()) for k in ("box_no", "x1", "y1", "x2", "y2")]
+    schema = StructType([StructField(key, df.schema[key].dataType), *ints, StructField("crop", IMAGE)])
 
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            vals = [K.model_input(_img(v), size, mean, std).ravel() for v in pdf[image]]
-            o = pdf.copy()
-            o[out] = vals
-            yield o[names]
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            corners = zip(b["x1"], b["y1"], b["x2"], b["y2"])
+            b["crop"] = [to_struct(from_struct(im)[max(0, y1):max(0, y2), max(0, x1):max(0, x2)].copy())
+                         for im, (x1, y1, x2, y2) in zip(b[image], corners)]
+            yield b[schema.names]
 
-    return df.mapInPandas(fn, schema)
+    return ex.mapInPandas(cut, schema)

@@ -1,9 +1,7 @@
 """Labels: existence filter, renumbering, vocabulary, encoding and padding.
 
-Vocabulary-sized lookups go through a literal map when the vocabulary is small (checked on
-the driver: at most ``MAP_VOCAB`` entries), so encoding is a per-row expression with no
-shuffle; larger vocabularies are joined (broadcast when checked under
-``generate.BROADCAST_ROWS``) and regrouped per row.
+Tokens are looked up in the vocabulary by a join, whatever its size, and put back in order per
+row; whether the vocabulary is broadcast is left to adaptive execution.
 """
 
 from __future__ import annotations
@@ -13,13 +11,11 @@ from pyspark.sql import functions as F
 
 from linecraft.functions import text as T
 from linecraft.functions.arrays import drop_special, pad_labels, unmask_labels
-from linecraft.operators.generate import BROADCAST_ROWS
-from linecraft.operators.ordering import global_index
+from linecraft.operators.ordering import global_index, written
 
 # Special tokens of the decoder, ids 0-3 (begin, padding, end, unknown).
 SPECIALS = ("<s>", "<pad>", "</s>", "<unk>")
 BOS, PAD, EOS, UNK = 0, 1, 2, 3
-MAP_VOCAB = 1_000  # map lookups are linear scans; larger vocabularies are joined
 
 
 def keep_existing(labels: DataFrame, files: DataFrame, key: str = "file_name") -> DataFrame:
@@ -58,34 +54,28 @@ def build_vocab(df: DataFrame, col: str = "text", unit: str = "char") -> DataFra
     return specials.unionByName(body)
 
 
-def _small_map(vocab: DataFrame, k: str, v: str):
-    n = vocab.count()
-    if n > MAP_VOCAB:
-        return None
-    rows = vocab.select(k, v).collect()
-    return F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))])
+def _per_row(df: DataFrame, tokens, vocab: DataFrame, found: str, wanted: str, fallback, finish, out: str) -> DataFrame:
+    """Look up every token of every row in ``vocab`` by a join and put the results back in order.
+
+    Rows are told apart by a stored row number, so ids may repeat. Only the tokens of one row
+    are gathered. A row whose tokens are null keeps a null result.
+    """
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_tokens", tokens), "labels")
+    each = rows.select("_row", F.posexplode("_tokens").alias("_pos", found))
+    met = each.join(vocab.select(found, wanted), found, "left").withColumn("_v", F.coalesce(wanted, fallback))
+    whole = met.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))),
+                                                lambda s: s["_v"]).alias("_body"))
+    back = rows.join(whole, "_row", "left")
+    kind = whole.schema["_body"].dataType.simpleString()
+    body = F.coalesce("_body", F.array().cast(kind))
+    return back.withColumn(out, F.when(F.col("_tokens").isNotNull(), finish(body))).drop("_row", "_tokens", "_body")
 
 
 def encode(df: DataFrame, vocab: DataFrame, col: str = "text", key: str = "id",
            unit: str = "char", out: str = "ids") -> DataFrame:
-    """Text -> [<s>, ids..., </s>]; unknown tokens map to <unk>."""
-    m = _small_map(vocab, "token", "token_id")
-    if m is not None:
-        ids = F.transform(tokens_of(col, unit), lambda t: F.coalesce(m[t], F.lit(UNK)).cast("int"))
-        body = ids
-        return df.withColumn(out, F.concat(F.array(F.lit(BOS)), body, F.array(F.lit(EOS))))
-    n = vocab.count()
-    v = vocab.select("token", "token_id")
-    v = F.broadcast(v) if n <= BROADCAST_ROWS else v
-    ex = df.select(key, F.posexplode(tokens_of(col, unit)).alias("pos", "token"))
-    joined = ex.join(v, "token", "left").withColumn("token_id", F.coalesce("token_id", F.lit(UNK)))
-    regrouped = joined.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))),
-                    lambda s: s["token_id"].cast("int")).alias("_body"))
-    return (df.join(regrouped, key, "left")
-            .withColumn(out, F.concat(F.array(F.lit(BOS)), F.coalesce("_body", F.array().cast("array<int>")),
-                                      F.array(F.lit(EOS))))
-            .drop("_body"))
+    """Text -> [<s>, ids..., </s>]; unknown tokens map to <unk>, a null text to null."""
+    return _per_row(df, tokens_of(col, unit), vocab.withColumn("token_id", F.col("token_id").cast("int")), "token",
+                    "token_id", F.lit(UNK), lambda b: F.concat(F.array(F.lit(BOS)), b, F.array(F.lit(EOS))), out)
 
 
 def label_ids(df: DataFrame, vocab: DataFrame, col: str = "text", key: str = "id",
@@ -100,15 +90,6 @@ def decode(df: DataFrame, vocab: DataFrame, col: str = "labels", key: str = "id"
     """G6 + C6 reverse: -100 -> pad, drop special ids, ids -> tokens -> text."""
     sep = "" if unit == "char" else " "
     ids = drop_special(unmask_labels(col, PAD), range(len(SPECIALS)))
-    m = _small_map(vocab.select("token_id", "token"), "token_id", "token")
-    if m is not None:
-        return df.withColumn(out, F.array_join(F.transform(ids, lambda i: m[i.cast("long")]), sep))
-    n = vocab.count()
-    v = vocab.select("token_id", "token")
-    v = F.broadcast(v) if n <= BROADCAST_ROWS else v
-    ex = df.select(key, F.posexplode(ids).alias("pos", "token_id"))
-    joined = ex.join(v, ex["token_id"].cast("long") == v["token_id"], "left").drop(v["token_id"])
-    regrouped = joined.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))),
-                                 lambda s: s["token"]), sep).alias(out))
-    return df.join(regrouped, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    ids = F.transform(ids, lambda i: i.cast("long"))
+    return _per_row(df, ids, vocab, "token_id", "token", F.lit(None).cast("string"),
+                    lambda b: F.array_join(b, sep), out)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from linecraft.operators.images import crop_regions
@@ -38,11 +39,12 @@ def predict(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
 
 def recognise_regions(images: DataFrame, fn, key: str = "image_id", image: str = "image",
                       points: str = "points", text: str = "text") -> DataFrame:
-    """Detect (given regions) -> crop (I11) -> recognise (J1) -> join texts by box.
+    """Detect (given regions) -> crop -> recognise (J1) -> join texts by box.
 
-    ``fn`` receives batches with columns (key, box_no, crop) and must return (key, box_no, text).
+    An image without regions has an empty text. ``fn`` receives batches with columns (key, box_no, crop) and must return (key, box_no, text).
     """
     crops = crop_regions(images, image, points, key)
     schema = f"{key} {images.schema[key].dataType.simpleString()}, box_no int, {text} string"
     texts = predict(crops.select(key, "box_no", "crop"), fn, schema)
-    return join_regions(texts, key, "box_no", text, text)
+    joined = join_regions(texts, key, "box_no", text, text)
+    return images.select(key).distinct().join(joined, key, "left").withColumn(text, F.coalesce(text, F.lit("")))

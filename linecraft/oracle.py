@@ -95,14 +95,15 @@ def uniform(seed, stream: str, *keys: str) -> str:
     return f"(CAST({sql_h(seed, stream, *keys)} AS DOUBLE) / CAST(4294967296 AS DOUBLE))"
 
 
-def lines_cte(source: str = "documents", max_chars: int = 200) -> str:
-    """WITH-list producing ``lines(line_no, doc_id, text)``."""
+def lines_cte(source: str = "documents", max_chars: int | None = None) -> str:
+    """WITH-list producing ``lines(line_no, doc_id, text)``; whole lines unless ``max_chars`` cuts them."""
+    line = f"left(ls[i], {max_chars})" if max_chars else "ls[i]"
     return f"""
 sp AS (SELECT doc_id, list_filter(regexp_split_to_array(text, {lit(T.LINE_BREAK_RE)}), lambda x: length(x) > 0) AS ls
        FROM {source}),
 loffs AS (SELECT doc_id, ls, COALESCE(SUM(len(ls)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
           FROM sp),
-lines AS (SELECT CAST(off + i - 1 AS BIGINT) AS line_no, doc_id, left(ls[i], {max_chars}) AS text
+lines AS (SELECT CAST(off + i - 1 AS BIGINT) AS line_no, doc_id, {line} AS text
           FROM (SELECT doc_id, off, ls, generate_subscripts(ls, 1) AS i FROM loffs))"""
 
 

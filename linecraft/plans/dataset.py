@@ -19,7 +19,7 @@ def merged_labels(docs: DataFrame, existing: DataFrame) -> DataFrame:
 
     Returns (idx, file_name, text, line_no, doc_id).
     """
-    lines = read_lines(docs, "doc_id", "text", 200, total="n_lines")
+    lines = read_lines(docs, "doc_id", "text", total="n_lines")
     kept = keep_existing(lines, existing, key="doc_id")
     return renumber(kept, ["line_no"], "jpg").drop("n_lines")
 

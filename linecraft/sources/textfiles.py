@@ -25,23 +25,23 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(src: DataFrame, key: str = "doc_id", text: str = "text",
-               max_chars: int = 200, carry=(), total: str | None = None) -> DataFrame:
-    """A1: non-empty lines cut to ``max_chars``, numbered in (key, position) order.
+               max_chars: int | None = None, carry=(), total: str | None = None) -> DataFrame:
+    """A1: non-empty lines, numbered in (key, position) order.
+
+    ``max_chars`` cuts them, as the reader of string files does; by default they are whole.
 
     Returns (line_no, key, carry..., text[, total]); ``total`` names an optional column with
-    the number of lines, taken from the prefix sum's bucket totals (no count job).
+    the number of lines, taken from the prefix sum's range totals (no count job).
     """
     carry = list(carry)
     lines = F.filter(T.split_lines(text), lambda x: F.length(x) > 0)
-    # Rows without lines weigh 0; they are not filtered before the prefix sum so that its
-    # bucket-boundary pass reads only the key column.
     per_row = src.select(key, *carry, lines.alias("_lines")) \
         .withColumn("_n", F.size("_lines").cast("long"))
     off = prefix_sum(per_row, [key], weight="_n", out="_off", total=total)
     tot = [total] if total else []
     out = off.select(key, *carry, "_off", *tot, F.posexplode("_lines").alias("_i", "_line")) \
         .select((F.col("_off") + F.col("_i")).alias("line_no"), key, *carry,
-                F.substring("_line", 1, max_chars).alias("text"), *tot)
+                (F.substring("_line", 1, max_chars) if max_chars else F.col("_line")).alias("text"), *tot)
     return out
 
 
@@ -52,7 +52,7 @@ def require_lines(lines: DataFrame) -> DataFrame:
     return lines
 
 
-def read_file_lines(spark: SparkSession, path: str, max_chars: int = 200) -> DataFrame:
+def read_file_lines(spark: SparkSession, path: str, max_chars: int | None = 200) -> DataFrame:
     """A1 for files: lines of the files under ``path``."""
     return read_lines(text_files(spark, path), key="path", max_chars=max_chars)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType, TimestampType, StringType
 
-from linecraft.operators.generate import BROADCAST_ROWS
+from linecraft.operators.ordering import global_index, written
 from linecraft.operators.metrics import with_error_counts
 
 BINARY_FILE_SCHEMA = StructType([StructField("path", StringType()),
@@ -29,11 +29,9 @@ def stream_samples(spark: SparkSession, strings: DataFrame, fonts: DataFrame,
     n, nf = strings.count(), fonts.count()
     if n == 0 or nf == 0:
         raise ValueError("need at least one string and one font")
-    # strings are renumbered 0..n-1 so pmod(value, n) addresses them
-    s = strings.select(F.col(str_key).alias("_sk"), *[c for c in strings.columns if c != str_key])
-    s = F.broadcast(s) if n <= BROADCAST_ROWS else s
-    f = fonts.select(F.col(font_key).alias("_fk"), *[c for c in fonts.columns if c != font_key])
-    f = F.broadcast(f) if nf <= BROADCAST_ROWS else f
+    # both are numbered 0.. in key order and written once, so every micro-batch reads small files
+    s = written(global_index(strings, [str_key], "_sk").drop(str_key), "strings")
+    f = written(global_index(fonts, [font_key], "_fk").drop(font_key), "fonts")
     rate = (spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
             .select(F.col("value").alias("idx"))
             .withColumn("_s", F.pmod("idx", F.lit(n))).withColumn("_f", F.pmod("idx", F.lit(nf))))

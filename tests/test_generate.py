@@ -64,3 +64,9 @@ def test_article_sentences(spark):
     got = GEN.article_sentences(arts, 10, min_words=2).collect()
     assert sorted(r.text for r in got) == ["A b c", "D e f", "Five six seven", "One two three"]
     assert GEN.article_sentences(arts, 2, min_words=2).count() == 2
+
+
+def test_skip_take_cycle_with_gaps(spark):
+    df = spark.createDataFrame([(10, "a"), (20, "b"), (30, "c")], "line_no long, text string")
+    got = sorted((r.idx, r.line_no) for r in GEN.skip_take_cycle(df, 6, 1).collect())
+    assert got == [(0, 20), (1, 30), (2, 20), (3, 30), (4, 20), (5, 30)]

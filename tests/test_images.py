@@ -1,141 +1,11 @@
-"""Pixel kernels (numpy goldens) and the image jobs on small frames."""
+"""Brightness statistics, the contrast filter and region crops on small frames."""
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from linecraft.functions import kernels as K
 from linecraft.operators import images as IM
 
 
-def test_distort_axes():
-    img = np.zeros((9, 6, 4), np.uint8)
-    img[:, :, 3] = 255
-    mask = np.zeros((9, 6, 3), np.uint8)
-    same_i, same_m = K.distort(img, mask, 1, False, False)
-    assert same_i.shape == img.shape and same_m.shape == mask.shape
-    m = int(9 ** 0.5)
-    vi, vm = K.distort(img, mask, 1, True, False)
-    assert vi.shape == (9 + 2 * m, 6, 4)
-    offs = K.wave_offsets(1, 6, m)
-    for col in range(6):
-        rows = np.nonzero(vi[:, col, 3])[0]
-        assert rows.min() == m + offs[col] and len(rows) == 9
-    hi, _ = K.distort(img, mask, 2, False, True)
-    assert hi.shape == (9, 6 + 2 * m, 4)
-    bi, _ = K.distort(img, mask, 3, True, True, K.rng_for(3))
-    m3 = int(9 ** 0.4)
-    assert bi.shape == (9 + 2 * m3, 6 + 2 * m3, 4)
-    assert bi[:, :, 3].sum() == img[:, :, 3].sum()  # every pixel moved, none lost
-    lit, _ = K.distort(img, mask, 3, True, True, K.rng_for(3), literal=True)
-    assert lit[:, :, 3].sum() <= img[:, :, 3].sum()
-
-
-def test_wave_offsets_truncate():
-    assert list(K.wave_offsets(1, 4, 3)) == [int(np.sin(np.radians(i)) * 3) for i in range(4)]
-    r = K.wave_offsets(3, 100, 2, K.rng_for(1))
-    assert r.min() >= 0 and r.max() <= 2
-
-
-def test_rotate_expand_and_identity():
-    a = np.arange(2 * 3 * 1, dtype=np.uint8).reshape(2, 3, 1)
-    assert (K.rotate(a, 0) == a).all()
-    r = K.rotate(a, 90)
-    assert r.shape[:2] == (3, 2)
-    assert (r[:, :, 0] == np.rot90(a[:, :, 0])).all()
-
-
-def test_backgrounds_and_one_pixel_canvas():
-    assert K.white_background(1, 1).tolist() == [[[255, 255, 255, 255]]]
-    g = K.gaussian_background(50, 50, K.rng_for(1))
-    assert abs(g[:, :, 0].mean() - 235) < 3
-    q = K.quasicrystal_background(1, 1, 30.0, 0.0, 10)
-    assert q.shape == (1, 1, 4)
-    q2 = K.quasicrystal_background(8, 9, 30.0, 0.5, 12)
-    assert q2.dtype == np.uint8 and q2.shape == (8, 9, 4)
-    pic = np.full((4, 4, 3), 7, np.uint8)
-    bg = K.image_background(pic, 6, 10, K.rng_for(2))
-    assert bg.shape == (6, 10, 4) and (bg[:, :, :3] == 7).all()
-
-
-@pytest.mark.parametrize("diff,keep", [(14.9, False), (15.0, True), (15.1, True)])
-def test_contrast_threshold(diff, keep):
-    assert K.keeps_contrast((100.0 + diff, 100.0)) is keep
-
-
-def test_brightness_channels_and_empty_mask():
-    text = np.zeros((2, 2, 4), np.uint8)
-    text[..., 0], text[..., 1], text[..., 2] = 30, 60, 90
-    mask = np.zeros((2, 2, 3), np.uint8)
-    bg3 = np.full((2, 2, 3), 90, np.uint8)
-    bg4 = np.full((2, 2, 4), 90, np.uint8)
-    assert K.brightness(text, mask, bg3) is None
-    assert K.keeps_contrast(None) is False
-    mask[0, 0, 2] = 1
-    assert K.brightness(text, mask, bg3) == pytest.approx((30.0, 90.0))
-    assert K.brightness(text, mask, bg4) == pytest.approx((30.0, 120.0))
-    assert K.brightness(text, mask, bg4, fair=True) == pytest.approx((60.0, 90.0))
-
-
-def test_composite_paste_modes_blur_draw_crop_inputs():
-    bg = K.white_background(4, 6)
-    t = np.zeros((2, 2, 4), np.uint8)
-    t[..., :3] = 0
-    t[..., 3] = 255
-    c = K.composite(bg, t, 3, 1)
-    assert (c[1:3, 3:5, :3] == 0).all() and (c[0, :, :3] == 255).all()
-    assert K.composite(bg, t, 10, 10).tolist() == bg.tolist()
-    m = K.paste(np.zeros((4, 6, 3), np.uint8), np.full((2, 2, 3), 5, np.uint8), -1, 0)
-    assert m[0, 0, 0] == 5 and m[0, 1, 0] == 0
-    assert K.convert_mode(c, "L").shape == (4, 6, 1)
-    assert set(np.unique(K.convert_mode(c, "1"))) <= {0, 255}
-    assert (K.gaussian_blur(c, 0) == c).all()
-    assert K.gaussian_blur(c, 1.0).shape == c.shape
-    d = K.draw_boxes(np.zeros((5, 5, 3), np.uint8), [(1, 1, 3, 3)])
-    assert d[1, 1:4, 1].tolist() == [255, 255, 255] and d[2, 2, 1] == 0
-    assert K.crop(c, 1, 0, 3, 2).shape == (2, 2, 4)
-    x = K.model_input(c, 8)
-    assert x.shape == (3, 8, 8) and x.min() >= -1.0 and x.max() <= 1.0
-
-
-def _glyphs(spark):
-    g = spark.createDataFrame([("a", 5, 6), ("b", 4, 7), (" ", 3, 6)], "ch string, advance int, height int")
-    return IM.glyph_bitmaps(g)
-
-
-def test_assemble_lines_mask_colours(spark):
-    lines = spark.createDataFrame([(0, "ab a"), (1, "")], "line_no long, text string")
-    out = {r.line_no: r for r in IM.assemble_lines(lines, _glyphs(spark)).collect()}
-    img, mask = K.from_struct(out[0].text_image), K.from_struct(out[0].text_mask)
-    assert img.shape == (7, 5 + 4 + 3 + 5, 4)
-    ns = {int(g) * 255 + int(b) for g, b in zip(mask[..., 1].ravel(), mask[..., 2].ravel()) if g or b}
-    assert ns == {1, 2, 4}  # the space (piece 3) leaves a gap
-    assert K.from_struct(out[1].text_image).shape == (1, 1, 4)
-
-
-@pytest.mark.parametrize("alignment", [0, 1, 2])
-def test_augment_job(spark, alignment):
-    rows = [(i, "ab ba", a, d, o, bgk, 0.5) for i, (a, d, o, bgk) in
-            enumerate([(0, 0, 0, 1), (2, 1, 2, 0), (-1, 2, 2, 2), (1, 3, 1, 3), (0, 2, -1, 1)])]
-    df = spark.createDataFrame(rows, "line_no long, text string, angle int, distortion int, "
-                                     "distortion_orientation int, background int, blur_radius double")
-    glyphs = IM.glyph_dict(_glyphs(spark))
-    out = IM.augment(IM.plan_columns(df), alignment=alignment, width=200 if alignment else -1,
-                     background_image=np.full((10, 10, 3), 128, np.uint8), glyphs=glyphs).collect()
-    assert len(out) == 5
-    for r in out:
-        assert r.kept == (abs(r.text_mean - r.bg_mean) >= 15)
-        if r.kept:
-            im = K.from_struct(r.image)
-            assert im.shape[0] == 64 and im.shape[2] == 3
-            if alignment:
-                assert im.shape[1] == 200
-    again = IM.augment(IM.plan_columns(df.repartition(3)), alignment=alignment, width=200 if alignment else -1,
-                       background_image=np.full((10, 10, 3), 128, np.uint8), glyphs=glyphs).collect()
-    assert {r.line_no: r.image for r in again} == {r.line_no: r.image for r in out}
-
-
 def test_pixel_table_brightness_and_filter(spark):
     t = spark.createDataFrame([(1, 30, 60, 90, 1), (1, 0, 0, 0, 0), (2, 100, 100, 100, 1)],
                               "image_id int, c0 int, c1 int, c2 int, mask_b int")
@@ -148,19 +18,18 @@ def test_pixel_table_brightness_and_filter(spark):
     assert fair == [1]
 
 
-def test_crop_regions_draw_and_inputs(spark):
-    img = K.to_struct(np.arange(10 * 12 * 3, dtype=np.uint8).reshape(10, 12, 3))
+def test_contrast_threshold(spark):
+    df = spark.createDataFrame([(1, 114.9, 100.0), (2, 115.0, 100.0), (3, 84.9, 100.0), (4, None, 100.0)],
+                               "image_id int, text_mean double, bg_mean double")
+    assert sorted(r.image_id for r in IM.contrast_filter(df).collect()) == [2, 3]
+
+
+def test_crop_regions(spark):
+    pixels = np.arange(10 * 12 * 3, dtype=np.uint8).reshape(10, 12, 3)
     pts = [[[1.0, 2.0], [5.0, 2.0], [5.9, 6.2], [1.0, 6.0]], [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]]]
-    from pyspark.sql.types import ArrayType, DoubleType
     schema = StructType([StructField("image_id", LongType()), StructField("image", IM.IMAGE),
                          StructField("points", ArrayType(ArrayType(ArrayType(DoubleType()))))])
-    df = spark.createDataFrame([(7, img, pts)], schema)
+    df = spark.createDataFrame([(7, IM.to_struct(pixels), pts)], schema)
     crops = {r.box_no: r for r in IM.crop_regions(df).collect()}
     assert (crops[0].x1, crops[0].y1, crops[0].x2, crops[0].y2) == (1, 2, 5, 6)
-    assert K.from_struct(crops[0].crop).shape == (4, 4, 3)
-    boxes = df.select("image_id", "image", F.array(F.struct(F.lit(1).alias("x1"), F.lit(1).alias("y1"),
-                                                            F.lit(3).alias("x2"), F.lit(3).alias("y2"))).alias("boxes"))
-    drawn = K.from_struct(IM.draw_boxes(boxes).first().boxed)
-    assert drawn[1, 2].tolist() == [0, 255, 0]
-    mi = IM.model_inputs(df.select("image_id", "image"), size=8).first().pixel_values
-    assert len(mi) == 3 * 8 * 8
+    assert (IM.from_struct(crops[0].crop) == pixels[2:6, 1:5]).all()

@@ -37,10 +37,14 @@ def test_pad_labels(spark):
     assert got == [[0, 5, 2, -100, -100], [0, 5, 6, 7, 2], [0, -100, 2, 9, 9, 9, 2]]
 
 
-@pytest.mark.parametrize("big", [False, True])
-def test_vocab_encode_decode_roundtrip(spark, monkeypatch, big):
-    if big:
-        monkeypatch.setattr(LB, "MAP_VOCAB", 0)
+def test_null_texts_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "ab"), (1, "b"), (2, None)], "id long, text string")
+    enc = LB.encode(df, LB.build_vocab(df))
+    got = sorted((r.id, r.text or "", r.ids) for r in enc.collect())
+    assert got == [(1, "ab", [0, 5, 4, 2]), (1, "b", [0, 4, 2]), (2, "", None)]
+
+
+def test_vocab_encode_decode_roundtrip(spark):
     texts = ["abc", "cab ", "ßé", ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     vocab = LB.build_vocab(df)

@@ -10,8 +10,6 @@ from conftest import SF001
 from linecraft import catalog
 from linecraft.session import TABLES
 
-SLOW = {"augment_images"}
-
 
 def _norm(v):
     if isinstance(v, float):
@@ -34,7 +32,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF001)
     rows = [tuple(r) for r in df.collect()]

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from linecraft.functions import kernels as K
 from linecraft.operators import images as IM
 from linecraft.operators.predict import per_worker, predict, recognise_regions
 from linecraft.sources import files as FS
@@ -79,10 +78,10 @@ def test_predict_and_recognise_regions(spark):
         model = per_worker("width-reader", lambda: (lambda img: f"w{img.shape[1]}"))
         for pdf in it:
             yield pd.DataFrame({"image_id": pdf["image_id"], "box_no": pdf["box_no"],
-                                "text": [model(K.from_struct(c)) for c in pdf["crop"]]})
+                                "text": [model(IM.from_struct(c)) for c in pdf["crop"]]})
 
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
-    img = K.to_struct(np.zeros((20, 30, 3), np.uint8))
+    img = IM.to_struct(np.zeros((20, 30, 3), np.uint8))
     regions = [[[0.0, 0.0], [5.0, 0.0], [5.0, 4.0], [0.0, 4.0]], [[2.0, 5.0], [12.0, 5.0], [12.0, 9.0], [2.0, 9.0]]]
     schema = StructType([StructField("image_id", LongType()), StructField("image", IM.IMAGE),
                          StructField("points", ArrayType(ArrayType(ArrayType(DoubleType()))))])
@@ -92,5 +91,5 @@ def test_predict_and_recognise_regions(spark):
 
     def shape_of(it):
         for pdf in it:
-            yield pd.DataFrame({"image_id": pdf["image_id"], "h": [K.from_struct(v).shape[0] for v in pdf["image"]]})
+            yield pd.DataFrame({"image_id": pdf["image_id"], "h": [IM.from_struct(v).shape[0] for v in pdf["image"]]})
     assert predict(df, shape_of, "image_id long, h long").select(F.sum("h")).first()[0] == 40
