@@ -20,6 +20,7 @@ from linecraft.llm.common import WORD, materialise
 from linecraft.operators.ordering import global_index
 
 CYCLE = (3, 1, 2)
+PARTS = 32
 SLICES = 4096  # ranges of the seeded order that are summed before any document is ranked
 
 
@@ -86,7 +87,10 @@ def take(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
             .select("source", F.col("_slice").alias("_edge"), (F.col("_rest") - F.col("_before")).alias("_need")))
     plan = (t.join(edge.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
             .drop("_s").withColumnRenamed("source", "_s"))
-    joined = materialise(rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_rest"), "mix")
+    # the plan is repeated for each part of the seeded order, so that a hot source meets it in many tasks
+    spread = plan.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    joined = rows.join(spread, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") % PARTS == F.col("_p")))
+    joined = materialise(joined.drop("_s", "_rest", "_p"), "mix")
     whole = F.col("_whole") * F.col("size")
     clear = joined.where(F.col("_edge").isNull() | (F.col("_slice") != F.col("_edge"))).withColumn(
         "taken", whole + F.when(F.col("_slice") < F.col("_edge"), F.col("size")).otherwise(0))
