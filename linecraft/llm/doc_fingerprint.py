@@ -63,7 +63,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("double").alias("_d"))
     bounds = sorted(set(ids.approxQuantile("_d", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
-    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_d", outputCol=_BUCKET,
+    # a bound below all ids, as there must be one even for a table of a few rows
+    cut = Bucketizer(splits=[-float("inf"), *(bounds or [-1e300]), float("inf")], inputCol="_d", outputCol=_BUCKET,
                      handleInvalid="keep")
 
     def place(df: DataFrame) -> DataFrame:
