@@ -108,6 +108,22 @@ def q_score_by_lang(spark, sf):
     return S.score_by(_docs(spark, sf), ["lang"])
 
 
+@register("pair_documents", """
+WITH refs AS (SELECT doc_id, text AS ref FROM documents),
+     preds AS (SELECT doc_id, translate(text, 'ae', 'oé') AS pred FROM documents)
+SELECT doc_id, CAST(length(ref) AS BIGINT) AS ref_chars, CAST(length(pred) AS BIGINT) AS pred_chars,
+       ref = pred AS exact
+FROM preds JOIN refs USING (doc_id)
+""")
+def q_pair_documents(spark, sf):
+    """A prediction table joined one to one to a reference table by id."""
+    refs = _docs(spark, sf).select("doc_id", F.col("text").alias("ref"))
+    preds = _docs(spark, sf).select("doc_id", F.translate("text", "ae", "oé").alias("pred"))
+    return M.pair(preds, refs, "doc_id").select(
+        "doc_id", F.length("ref").cast("long").alias("ref_chars"),
+        F.length("pred").cast("long").alias("pred_chars"), (F.col("ref") == F.col("pred")).alias("exact"))
+
+
 @register("join_regions", """
 SELECT conv_id AS image_id, string_agg(text, chr(10) ORDER BY turn) AS text,
        CAST(count(*) AS BIGINT) AS n_regions
@@ -618,14 +634,22 @@ def q_stroke_segments(spark, sf):
 
 from linecraft.operators import links as LK  # noqa: E402
 
+
+def _sql_attr(name: str) -> str:
+    """SQL: value of an attribute of ``tag``, null if absent; patterns of its own, not the operator's."""
+    pat = O.lit(rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'>\s]+))""")
+    value = " || ".join(f"regexp_extract(tag, {pat}, {i})" for i in (1, 2, 3))
+    for ref, char in (("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
+        value = f"replace({value}, '{ref}', {char})"
+    return f"CASE WHEN regexp_matches(tag, {pat}) THEN {value} END"
+
+
 _ANCHORS_SQL = f"""
-WITH body AS (SELECT page_id, url, regexp_replace(html, {O.lit(LK.NON_MARKUP_RE)}, '', 'g') AS b FROM pages),
-tags AS (SELECT page_id, url, regexp_extract_all(b, {O.lit(LK.ANCHOR_RE)}) AS ts FROM body),
+WITH body AS (SELECT page_id, url,
+                     regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g') AS b FROM pages),
+tags AS (SELECT page_id, url, regexp_extract_all(b, '(?is)<a\\s[^>]*>') AS ts FROM body),
 a AS (SELECT page_id, url, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS anchor_no, unnest(ts) AS tag FROM tags),
-h AS (SELECT page_id, url, anchor_no,
-      CASE WHEN regexp_matches(tag, {O.lit(LK.HREF_RE)})
-           THEN regexp_extract(tag, {O.lit(LK.HREF_RE)}, 1) || regexp_extract(tag, {O.lit(LK.HREF_RE)}, 2)
-                || regexp_extract(tag, {O.lit(LK.HREF_RE)}, 3) END AS href FROM a)"""
+h AS (SELECT page_id, url, anchor_no, {_sql_attr("href")} AS href FROM a)"""
 
 
 @register("page_links", _ANCHORS_SQL + """
@@ -639,15 +663,15 @@ def q_page_links(spark, sf):
 
 @register("follow_links", _ANCHORS_SQL + f""",
 c AS (SELECT page_id, anchor_no,
-      CASE WHEN regexp_matches(tag, {O.lit(LK.CLASS_RE)})
-           THEN list_filter(regexp_split_to_array(trim(regexp_extract(tag, {O.lit(LK.CLASS_RE)}, 1) || regexp_extract(tag, {O.lit(LK.CLASS_RE)}, 2)
-                || regexp_extract(tag, {O.lit(LK.CLASS_RE)}, 3)), '[ \t\n\r\f]+'), lambda x: x <> '')
-           ELSE [] END AS classes FROM a),
+      coalesce(list_filter(regexp_split_to_array(trim({_sql_attr("class")}), '\\s+'), lambda x: x <> ''), []) AS classes FROM a),
 hc AS (SELECT h.*, c.classes FROM h JOIN c USING (page_id, anchor_no) WHERE h.href IS NOT NULL),
+nf AS (SELECT * REPLACE (regexp_replace(href, '#.*$', '') AS href) FROM hc),
 res AS (SELECT page_id AS src, classes, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
              WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || href
              WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href
-             ELSE regexp_extract(url, '^([^?#]*/)', 1) || href END AS dst FROM hc),
+             WHEN href = '' THEN regexp_replace(url, '#.*$', '')
+             WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || href
+             ELSE regexp_extract(url, '^([^?#]*/)', 1) || href END AS dst FROM nf),
 h1 AS (SELECT DISTINCT r.src AS start_id, p.page_id AS item_id FROM res r JOIN pages p ON p.url = r.dst),
 h2 AS (SELECT DISTINCT r.src AS item_id, p.page_id AS target_id FROM res r JOIN pages p ON p.url = r.dst
        WHERE list_contains(r.classes, 'btn-success') AND r.src IN (SELECT item_id FROM h1)),

@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 _WS = r"[ \t\n\r\f]"
 NON_MARKUP_RE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 ANCHOR_RE = r"(?is)<a" + _WS + r"[^>]*>"
-HREF_RE = r"(?is)\bhref" + _WS + r"*=" + _WS + r"*(?:\"([^\"]*)\"|'([^']*)'|([^\"'> \t\n\r\f]+))"
-CLASS_RE = r"(?is)\bclass" + _WS + r"*=" + _WS + r"*(?:\"([^\"]*)\"|'([^']*)'|([^\"'> \t\n\r\f]+))"
+HREF_RE = r"(?is)" + _WS + r"href" + _WS + r"*=" + _WS + r"*(?:\"([^\"]*)\"|'([^']*)'|([^\"'> \t\n\r\f]+))"
+CLASS_RE = r"(?is)" + _WS + r"class" + _WS + r"*=" + _WS + r"*(?:\"([^\"]*)\"|'([^']*)'|([^\"'> \t\n\r\f]+))"
+
+# Character references of attribute values; the ampersand comes last.
+ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
 def _attr(tag: Column, pattern: str) -> Column:
     vals = [F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]
     found = F.regexp_extract(tag, pattern, 0) != ""
-    return F.when(found, F.concat(*vals))
+    text = F.concat(*vals)
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.when(found, text)
 
 
 def anchors(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
@@ -54,13 +60,32 @@ def visible_links(pages: DataFrame, css_class: str | None = None, prefix: str |
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """Absolute URL of a link: absolute as is, '/x' against the origin, else the base folder."""
+    """Absolute URL of a link, without its fragment: absolute as is, '//x' with the base's scheme,
+    '/x' against the origin, '?x' and '#x' against the page, else the base's folder; '.' and '..'
+    segments are folded."""
+    link = F.regexp_replace(href, r"#.*$", "")
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([^?#]*/)", 1)
-    return (F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-            .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), href))
-            .when(href.startswith("/"), F.concat(origin, href))
-            .otherwise(F.concat(folder, href)))
+    full = (F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+            .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), link))
+            .when(link.startswith("/"), F.concat(origin, link))
+            .when(link == "", F.regexp_replace(base, r"#.*$", ""))
+            .when(link.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), link))
+            .otherwise(F.concat(folder, link)))
+    return F.when(full.rlike(r"^[^?]*/\.{1,2}([/?]|$)"), _fold_dots(full)).otherwise(full)
+
+
+def _fold_dots(url: Column) -> Column:
+    """``url`` with the '.' and '..' segments of its path folded."""
+    head = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*)", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*([^?]*)", 1)
+    query = F.regexp_extract(url, r"(\?.*)$", 1)
+    steps = F.split(F.regexp_replace(path, r"/(\.{1,2})$", "/$1/"), "/")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: (
+        F.when(s == ".", acc)
+        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
+        .otherwise(F.concat(acc, F.array(s)))))
+    return F.concat(head, F.array_join(kept, "/"), query)
 
 
 def follow_links(pages: DataFrame, start: DataFrame | None = None, item_class: str = "btn-success",

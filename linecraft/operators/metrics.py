@@ -16,14 +16,16 @@ from linecraft.functions.edits import char_edits, with_word_edits, words_of
 def pair(preds: DataFrame, refs: DataFrame, key: str, check: bool = True) -> DataFrame:
     """Prediction joined to reference on ``key``.
 
-    With ``check`` the unmatched rows of either side are counted first (two anti joins)
-    and a mismatch raises, so no pair is lost silently.
+    With ``check`` the rows of either side are counted per key first (combined map-side, one
+    join of the counts); a key that is null, repeated or on one side only raises, so no pair is
+    lost or multiplied silently.
     """
     if check:
-        lost_p = preds.join(refs.select(key), key, "left_anti").limit(1).count()
-        lost_r = refs.join(preds.select(key), key, "left_anti").limit(1).count()
-        if lost_p or lost_r:
-            raise ValueError(f"predictions and references do not pair on {key!r}")
+        p = preds.groupBy(key).agg(F.count(F.lit(1)).alias("_p"))
+        r = refs.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
+        odd = p.join(r, key, "full_outer").where((F.coalesce("_p", F.lit(0)) != 1) | (F.coalesce("_r", F.lit(0)) != 1))
+        if odd.take(1):
+            raise ValueError(f"predictions and references do not pair one to one on {key!r}")
     return preds.join(refs, key, "inner")
 
 

@@ -7,6 +7,8 @@ file index.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +52,19 @@ def asset_catalog(spark: SparkSession, root: str, ext: str = ".ttf", kind: str =
 
 
 def attach_images(labels: DataFrame, spark: SparkSession, root: str, key: str = "file_name") -> DataFrame:
-    """Label rows joined with the bytes of their image files (by file name).
+    """Label rows joined with the bytes of their image files.
 
-    The file listing is joined on the name; adaptive execution broadcasts the label side
-    when its measured size is small and splits skewed partitions otherwise.
+    A name with a folder is the path below ``root`` and meets that file alone; a bare name meets
+    the files of that name in any folder. Adaptive execution broadcasts the label side when its
+    measured size is small and splits skewed partitions otherwise.
     """
-    files = list_files(spark, root).select(F.regexp_extract("path", LAST_SEGMENT_RE, 1).alias(key),
-                                           "path", "content")
-    return labels.join(files, key, "inner")
+    top = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+    below = F.regexp_extract("path", rf"^.*?\Q{top}\E/+(.*)$", 1)
+    files = list_files(spark, root).select(
+        F.regexp_extract("path", LAST_SEGMENT_RE, 1).alias("_last"), below.alias("_below"), "path", "content")
+    named = labels.withColumn("_last", F.regexp_extract(key, LAST_SEGMENT_RE, 1))
+    met = named.join(files, "_last").where(~F.contains(F.col(key), F.lit("/")) | (F.col(key) == F.col("_below")))
+    return met.select(*labels.columns, "path", "content")
 
 
 def write_samples(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -1,5 +1,7 @@
 """Golden pages: class selection, prefixes, two hops."""
 
+from pyspark.sql import functions as F
+
 from linecraft.operators import links as LK
 
 PAGES = [
@@ -43,3 +45,14 @@ def test_follow_links_two_hops(spark):
     got = sorted(tuple(r) for r in LK.follow_links(pages, start, download_prefix="https://fonts.example/dl/").collect())
     assert got == [(1, 2, 4, "https://fonts.example/dl/Font1.ttf", "Font1.ttf"),
                    (1, 2, 5, "https://fonts.example/dl/Three.ttf", "Three.ttf")]
+
+
+def test_attribute_names_entities_and_relative_links(spark):
+    html = ('<a data-href="/wrong" data-class="no" href="/right?a=1&amp;b=2" class="yes">x</a>'
+            '<a href="../up">u</a><a href="./same/.">s</a><a href="#part">p</a><a href="?q=1">q</a><a href="//h.example/z">z</a>')
+    pages = spark.createDataFrame([(1, "https://e.example/a/b/c?x=1", html)], "page_id long, url string, html string")
+    rows = LK.anchors(pages).withColumn("to", LK.resolve(F.col("href"), F.col("url"))).orderBy("anchor_no").collect()
+    assert (rows[0].href, rows[0].classes) == ("/right?a=1&b=2", ["yes"])
+    assert [r.to for r in rows] == [
+        "https://e.example/right?a=1&b=2", "https://e.example/a/up", "https://e.example/a/b/same/",
+        "https://e.example/a/b/c?x=1", "https://e.example/a/b/c?q=1", "https://h.example/z"]

@@ -61,6 +61,11 @@ def test_pair_checks_unmatched(spark):
     with pytest.raises(ValueError):
         M.pair(p, r, "k")
     assert M.pair(p.where("k = 1"), r, "k").count() == 1
+    one = p.where("k = 1")
+    for preds, refs in ((one.union(one), r.union(r)), (one, r.union(r)),
+                        (spark.createDataFrame([(None, "a")], "k int, pred string"), r)):
+        with pytest.raises(ValueError):
+            M.pair(preds, refs, "k")
 
 
 def test_losses_regions_and_epoch_table(spark):

@@ -71,6 +71,10 @@ def test_folder_labels_assets_and_attach(spark, tmpdir_path):
     labels = spark.createDataFrame([("x0.png", "x"), ("missing.png", "m")], "file_name string, text string")
     att = FS.attach_images(labels, spark, root).collect()
     assert [(r.file_name, r.content) for r in att] == [("x0.png", b"\x01")]
+    os.makedirs(os.path.join(root, "y"))
+    open(os.path.join(root, "y", "x0.png"), "wb").write(b"y")
+    named = spark.createDataFrame([("y/x0.png", "y"), ("z/x0.png", "z")], "file_name string, text string")
+    assert [(r.text, r.content) for r in FS.attach_images(named, spark, root).collect()] == [("y", b"y")]
 
 
 def test_predict_and_recognise_regions(spark):
