@@ -12,10 +12,10 @@ outputs of the class. Classes are runs of about equal probability in frequency o
 start at the log frequencies, so training begins at the unigram model and adds context.
 
 Training: counts of every token come from all training documents (a shuffle). For the network
-every training document gives the first and each further ``TRAIN_EVERY``-th of its windows of
-``WINDOW`` tokens, so the training text grows with the corpus. Each scan task trains a copy
+every training document gives all its windows of ``WINDOW`` tokens, the last partial one
+included, so every token of the training text is learned from once. Each scan task trains a copy
 on its own windows by backpropagation truncated to a window, and copies are averaged, weighted
-by their windows, on the executors; ``ROUNDS`` rounds over different documents.
+by their windows, on the executors; ``ROUNDS`` rounds over different documents, all of them in one.
 
 Scoring: documents of similar length run side by side; the state is carried from window to
 window through the whole document. Counts of the ``TABLE`` most frequent tokens come with the
@@ -42,7 +42,6 @@ CLASS_TOKENS = 40   # larger ones are cut
 EMBED = 8
 HIDDEN = 12
 WINDOW = 32
-TRAIN_EVERY = 24
 ROUNDS = 2
 BATCH = 48
 RATE = 0.005
@@ -211,14 +210,20 @@ def token_logs(net: Net, states: np.ndarray, ids: np.ndarray, grads: dict | None
 
 
 def gradients(net: Net, ids: np.ndarray, state: np.ndarray) -> tuple[dict, float]:
-    """Gradient of the mean loss of one (time, batch) window; the first token is the context."""
+    """Gradient of the mean loss of one (time, batch) window; the first token is the context.
+
+    Numbers below 0 fill up windows that are shorter: nothing is learned from them.
+    """
     p, h = net.p, HIDDEN
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    inputs, targets = ids[:-1], ids[1:]
+    inputs, targets = np.maximum(ids[:-1], 0), ids[1:]
     steps, batch = inputs.shape
     states, gates = forward(net, inputs, state, keep=True)
     after = states[1:].reshape(steps * batch, h)
-    logs, back = token_logs(net, after, targets.ravel(), g)
+    use = np.flatnonzero(targets.ravel() >= 0)
+    logs, some = token_logs(net, after[use], targets.ravel()[use], g)
+    back = np.zeros_like(after)
+    back[use] = some
     back = back.reshape(steps, batch, h)
     d = np.zeros((batch, h), np.float32)
     dx = np.zeros((steps, batch, 3 * h), np.float32)
@@ -237,10 +242,23 @@ def gradients(net: Net, ids: np.ndarray, state: np.ndarray) -> tuple[dict, float
     g["W"] += flat.T @ p["E"][inputs.ravel()]
     g["b"] += flat.sum(axis=0)
     np.add.at(g["E"], inputs.ravel(), flat @ p["W"])
-    n = targets.size
+    n = max(1, len(use))
     return {k: v / n for k, v in g.items()}, -logs.sum() / n
 
 
+def windows_of(ids: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """(windows, WINDOW + 1) token numbers: of every text each run of WINDOW tokens behind the token
+    before it (``start`` at the beginning); the last one of a text is filled up with -1."""
+    count = -(-sizes // WINDOW)
+    first = np.repeat(np.cumsum(sizes) - sizes, count)  # of the text
+    at = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+    place = at[:, None] + np.arange(-1, WINDOW)
+    out = ids[np.clip(first[:, None] + place, 0, max(0, len(ids) - 1))]
+    out[place < 0] = start
+    out[place >= np.repeat(sizes, count)[:, None]] = -1
+    return out
+
+
 def train(net: Net, windows: np.ndarray) -> Net:
     """One pass of Adam over (windows, WINDOW + 1) token numbers, in batches."""
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -264,22 +282,19 @@ def train_round(docs: DataFrame, net: Net, lexicon: Lexicon) -> Net:
 
     def run(batches):
         net, lexicon = sent.value
-        windows, used = [], 0
+        windows, held, used = [], 0, 0
         for b in batches:
             h, bucket, sizes = tokenise(b["text"].to_pylist())
             ids, _ = lexicon.look_up(h, bucket)
-            for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
-                doc = np.append(np.int32(lexicon.end), ids[end - n:end])
-                for k in range(0, max(1, n + 1 - WINDOW), WINDOW * TRAIN_EVERY):
-                    w = doc[k:k + WINDOW + 1]
-                    windows.append(w if len(w) > WINDOW else np.pad(w, (0, WINDOW + 1 - len(w)), mode="wrap"))
-            if len(windows) >= 40 * BATCH:
-                used += len(windows)
-                net = train(net, np.stack(windows))
-                windows = []
-        if windows:
-            used += len(windows)
-            net = train(net, np.stack(windows))
+            windows.append(windows_of(ids, sizes, lexicon.end))
+            held += len(windows[-1])
+            if held >= 40 * BATCH:
+                used += held
+                net = train(net, np.concatenate(windows))
+                windows, held = [], 0
+        if held:
+            used += held
+            net = train(net, np.concatenate(windows))
         if used:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names), pa.array([used] * len(names), pa.int64()),

@@ -293,6 +293,42 @@ def test_lm_scores(spark, monkeypatch):
     assert LM.score_documents(_odd(spark).limit(0)).count() == 0
 
 
+def test_lm_learns_every_token_once():
+    sizes = np.array([1, LM.WINDOW, LM.WINDOW + 1, 900])
+    ids = np.arange(sizes.sum(), dtype=np.int32)
+    w = LM.windows_of(ids, sizes, 7777)
+    targets = w[:, 1:]
+    assert targets[targets >= 0].tolist() == ids.tolist()
+    begin = np.cumsum(sizes) - sizes
+    for row in w:  # each behind the token before it, a text's first one behind the start
+        assert row[0] == (7777 if row[1] in begin else row[1] - 1)
+    assert len(LM.windows_of(ids[:0], sizes[:0], 7777)) == 0
+
+
+def test_lm_learns_nothing_from_filling():
+    rng = np.random.default_rng(1)
+    net = LM.new_net(np.arange(60, 0, -1.0))
+    net = LM.Net({k: (v + rng.standard_normal(v.shape) * 0.1).astype(np.float64) for k, v in net.p.items()}, net.first, net.of)
+    ids, zero = rng.integers(0, 60, (7, 1)), np.zeros((1, LM.HIDDEN))
+    filled = np.concatenate((ids, np.full((4, 1), -1)))
+    (a, x), (b, y) = LM.gradients(net, ids, zero), LM.gradients(net, filled, zero)
+    assert x == pytest.approx(y) and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_lm_trains_behind_openings(spark):
+    # after "ask" only "yes" ever follows, but far behind the opening of each text
+    opening = " ".join("abcdefgh"[k % 8] for k in range(40))
+    rows = [(i, opening + " ask yes no" * 200) for i in range(400)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts = LM.token_counts(rows)
+    lexicon, masses, _ = LM._lexicon(counts)
+    net = LM.train_round(rows, LM.new_net(masses), lexicon)
+    h, bucket, _ = LM.tokenise(["ask yes no ask yes"])
+    ids = lexicon.look_up(h, bucket)[0][:-1]
+    last = lambda n: LM.score_texts(n, [ids], lexicon.end)[0] - LM.score_texts(n, [ids[:-1]], lexicon.end)[0]
+    assert last(net) > math.log(0.6) > last(LM.new_net(masses))
+
+
 # -- pipeline ----------------------------------------------------------------------------
 
 def test_pipeline_stages(spark):
