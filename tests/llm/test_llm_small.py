@@ -211,6 +211,47 @@ def test_line_dedup(spark):
     assert LD.dedup(df.limit(0)).count() == 0 and got.count() == 8
 
 
+def _runs(line):
+    return {line[k:k + 5] for k in range(max(1, len(line) - 4))}
+
+
+def _near_lines(seed, count):
+    """Lines of 3 to 60 words, each also with one character changed: (number, line)."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzé", k=rnd.randint(2, 9)))
+    out = []
+    for _ in range(count):
+        line = " ".join(word() for _ in range(rnd.randint(3, 60)))
+        k = rnd.randrange(len(line))
+        out += [line, line[:k] + "#" + line[k + 1:]]
+    return out
+
+
+def test_line_dedup_against_all_positions(spark):
+    lines = _near_lines(6, 150)
+    sets = [_runs(x) for x in lines]
+    root = list(range(len(lines)))  # union-find over all pairs
+    for j in range(len(lines)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    gone = {k for k, r in enumerate(root) if r != k}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    mine = {r.doc_id for r in LD.dedup(df).collect() if r.text == ""}
+    assert len(gone) > 100 and mine <= gone  # the check is exact
+    assert len(mine) >= 0.95 * len(gone)     # bands miss few
+
+
+def test_line_shingles(spark):
+    lines = ["a", "abcd", "abcde", "abcdefabcdef", "a\tb c\rd", "\U0001F600bcd\U0001F601f", "é" * 9]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    expect = spark.createDataFrame([(x, r) for x in lines for r in _runs(x)], "line string, r string")
+    expect = {r.line: sorted(r.h) for r in expect.selectExpr("line", "xxhash64(r) h").groupBy("line").agg(
+        {"h": "collect_list"}).toDF("line", "h").collect()}
+    assert {r.line: r._set for r in LD.shingles(df).collect()} == expect
+
+
 # -- decontamination ---------------------------------------------------------------------
 
 def test_leaks(spark):
