@@ -274,6 +274,26 @@ def test_leaks(spark):
     assert DC.find_leaks(docs, tests.limit(0)).count() == 0
 
 
+def test_leaks_of_edited_items():
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=4))
+    items = [[word() for _ in range(rnd.randint(20, 60))] for _ in range(60)]
+    index = DC.build_index([(i, " ".join(w)) for i, w in enumerate(items)])
+    number = {i: k for k, i in enumerate(index.ids)}
+    runs = lambda w: {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+    tried = 0
+    for i, w in enumerate(items):
+        k = rnd.randrange(len(w))
+        for edited in (w[:-1], w[:-2], w[:-3], w[2:], w[:k] + ["other"] + w[k + 1:], w[:k] + w[k + 1:],
+                       w[:k] + ["one", "two", "three"] + w[k:], w[:-3] + ["one", "two", "three"]):
+            text = " ".join([word() for _ in range(70)] + edited + [word() for _ in range(70)])
+            found = number[i] in {h[1] for h in DC.search(index, [text])}
+            if len(runs(w) & runs(edited)) >= 0.8 * len(runs(w)):
+                tried += 1
+                assert found, (i, edited)
+    assert tried > 300
+
+
 # -- quality -----------------------------------------------------------------------------
 
 def test_quality_held_out(spark):
