@@ -11,8 +11,10 @@ text; the smallest density on its path up to the body is the threshold. Every no
 that density adds the subtree of largest density sum under it. What the added subtrees have as
 their lowest common ancestor (or the article element around it) is the main text.
 
-Elements that are never main text (scripts, forms, navigation, ...) and elements whose class,
-id or role names them as page furniture or reader comments are left out beforehand.
+Elements that are never main text (scripts, forms, navigation, ...) are left out beforehand, and so
+are elements whose class, id or role is the name of page furniture or reader comments, as a whole or
+with a known prefix. Unless they hold the main text: the larger part of what articles there are,
+or, on a page without any, most of the characters outside links (comments excepted).
 """
 
 from __future__ import annotations
@@ -50,15 +52,34 @@ FURNITURE = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations widget widgets comment comments commentlist comments-area disqus respond replies "
     "reply pagination pager search hidden complementary contentinfo".split())
+# Words that name furniture with anything behind them (cookie-bar), and with these before them (site-nav).
+LEADS = ("ad ads advert advertisement advertising sponsor sponsored promo cookie cookies consent gdpr newsletter "
+         "sidebar navbar breadcrumb breadcrumbs pagination social share sharing comment comments disqus popup modal "
+         "related-posts related-articles related-links related-stories related-content search-form search-box "
+         "search-bar signup login nav menu footer widget toolbar topbar masthead").split()
+PLACES = "site page main top bottom left right global primary secondary".split()
+_KNOWN = re.compile(f"(?:{'|'.join(LEADS)})(?:[-_].*)?|(?:{'|'.join(PLACES)})[-_](.+)", re.S)
+COMMENTS = re.compile(r"(?:comments?|commentlist|disqus|respond|repl(?:y|ies))(?![0-9a-z])")
 _NAME = re.compile(r"[^0-9a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags",
+    __slots__ = ("tag", "parent", "children", "drop", "named", "chars", "tags", "link_chars", "link_tags",
                  "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False):
-        self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, named: str = ""):
+        self.tag, self.parent, self.children, self.drop, self.named = tag, parent, [], drop, named
+
+
+def furniture_name(tag: str, attrs: dict) -> str:
+    """The class, id or role that names an element as furniture or comments; empty if none does."""
+    if tag in ("html", "body", "article", "main"):
+        return ""
+    for name in " ".join(attrs.get(k) or "" for k in ("class", "id", "role")).lower().split():
+        known = _KNOWN.fullmatch(name)
+        if name in FURNITURE or known and (known[1] is None or known[1] in FURNITURE):
+            return name
+    return ""
 
 
 def is_furniture(tag: str, attrs: dict) -> bool:
@@ -67,10 +88,7 @@ def is_furniture(tag: str, attrs: dict) -> bool:
     if tag in ("html", "body", "article", "main") and attrs.get("role") not in ("comment",):
         names = attrs.get("class") or ""
         return tag == "article" and bool({"comment", "comments"} & set(_NAME.split(names.lower())))
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
-    named = " ".join(attrs.get(k) or "" for k in ("class", "id", "role"))
-    return bool(named) and not FURNITURE.isdisjoint(_NAME.split(named.lower()))
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true"
 
 
 class _Builder(HTMLParser):
@@ -105,7 +123,8 @@ class _Builder(HTMLParser):
                     break
         if tag == "body":
             self.at = self.root
-        node = Node(tag, self.at, is_furniture(tag, dict(attrs)) if attrs else tag in DROPPED)
+        known = dict(attrs)
+        node = Node(tag, self.at, is_furniture(tag, known), furniture_name(tag, known) if attrs else "")
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -135,6 +154,7 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    drop_named(builder.root)
     return builder.root
 
 
@@ -146,6 +166,33 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def drop_named(root: Node) -> None:
+    """Drop the elements named as furniture that don't hold the main text."""
+    nodes = _nodes(root)
+    if not any(n.named for n in nodes):
+        return
+    # characters outside links, and those of articles, below every node
+    size, article = {}, {}
+    for n in reversed(nodes):
+        kids = [c for c in n.children if isinstance(c, Node) and not c.drop]
+        own = sum(sum(map(len, c.split())) for c in n.children if isinstance(c, str))
+        size[id(n)] = 0 if n.tag == "a" else own + sum(size[id(c)] for c in kids)
+        article[id(n)] = size[id(n)] if n.tag in ("article", "main") else sum(article[id(c)] for c in kids)
+    every, articles = size[id(root)], article[id(root)]
+    inside = {id(root): False}
+    for n in nodes[1:]:
+        inside[id(n)] = inside[id(n.parent)] or n.parent.tag in ("article", "main")
+        if not n.named:
+            continue
+        mine, comments = article[id(n)], bool(COMMENTS.match(n.named))
+        if inside[id(n)]:
+            n.drop = comments or 2 * size[id(n)] <= every
+        elif articles:
+            n.drop = mine < articles if comments else 2 * mine <= articles
+        else:
+            n.drop = comments or 2 * size[id(n)] <= every
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in the counts, densities and density sums of all kept nodes."""
     nodes = _nodes(root)

@@ -117,6 +117,26 @@ def test_html(html, text):
     assert HT.extract(html) == text
 
 
+ARTICLE = "<p>Alpha beta gamma delta.</p><p>Epsilon zeta eta theta.</p>"
+PLAIN = "Alpha beta gamma delta.\n\nEpsilon zeta eta theta."
+
+
+@pytest.mark.parametrize("html", [
+    f"<div class='layout has-sidebar'><article>{ARTICLE}</article></div>",
+    f"<div class='post no-comments'><article>{ARTICLE}</article></div>",
+    f"<div class='layout sidebar'><main>{ARTICLE}</main></div><div class='sidebar'><p>Other text here</p></div>",
+    f"<div class='header'><div>{ARTICLE}</div></div><footer>foot</footer>",
+    "<article><section id='related-work'><p>Alpha beta gamma delta.</p></section>"
+    "<div id='search-algorithms'><p>Epsilon zeta eta theta.</p></div></article>",
+    "<article><div class='article-header'><p>Alpha beta gamma delta.</p></div><p>Epsilon zeta eta theta.</p></article>",
+    f"<article>{ARTICLE}</article><div class='comments'><article><p>{'I think so too. ' * 30}</p></article></div>",
+    f"<article>{ARTICLE}</article><div class='site-nav'><p>Places to go</p></div><div id='cookie-bar'><p>We use them</p></div>",
+    f"<div><article>{ARTICLE}</article></div><div class='related-posts'><p>Read this as well</p></div>",
+])
+def test_html_names_of_wrappers(html):
+    assert HT.extract(f"<body>{html}</body>") == PLAIN
+
+
 def test_deep_html():
     assert HT.extract("<div>" * 20_000 + "deep") == "deep"
 
