@@ -272,6 +272,18 @@ def test_line_shingles(spark):
     assert {r.line: r._set for r in LD.shingles(df).collect()} == expect
 
 
+def test_line_dedup_long_runs(spark):
+    rnd = random.Random(9)
+    text = " ".join("".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(50)) + " "
+    url = "http://x.org/" + "abcdefghi" * 3
+    rows = [f"{url}", f"{url}k",                                   # 40 and 41 characters without a space
+            f"{text}http://x.org/{'ab' * 20}", f"{text}",          # with and without a long token
+            "one two three four five six seven eight\tnine ten eleven", "one two three four five six seven eight nine ten eleven"]
+    assert len(rows[0]) == 40
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in LD.dedup(df).collect() if r.text == ""} == {1, 3, 5}
+
+
 # -- decontamination ---------------------------------------------------------------------
 
 def test_leaks(spark):
