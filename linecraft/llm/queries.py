@@ -5,10 +5,12 @@ from __future__ import annotations
 from linecraft.llm.chat_format import op1_chat_format
 from linecraft.llm.decontaminate import op9_decontamination
 from linecraft.llm.doc_fingerprint import op3_doc_fingerprint
+from linecraft.llm.filter_audit import OP13_SQL, op13_filter_audit
 from linecraft.llm.html_text import op4_html_extraction
 from linecraft.llm.license_scan import op2_license_scan
 from linecraft.llm.line_dedup import op8_line_dedup
 from linecraft.llm.lm_score import op7_lm_score
+from linecraft.llm.mask_search import OP12_SQL, op12_ranked_search
 from linecraft.llm.mixing import OP5_SQL, op5_mixing
 from linecraft.llm.quality import op10_quality_classifier
 from linecraft.llm.simhash_dedup import op6_simhash_dedup
@@ -25,6 +27,8 @@ def _shipped(fn):
 
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_chat_format, op2_license_scan, op3_doc_fingerprint, op4_html_extraction, op5_mixing,
-    op6_simhash_dedup, op7_lm_score, op8_line_dedup, op9_decontamination, op10_quality_classifier)}
+    op6_simhash_dedup, op7_lm_score, op8_line_dedup, op9_decontamination, op10_quality_classifier,
+    op12_ranked_search, op13_filter_audit)}
 
-ORACLE = {"op5_mixing": OP5_SQL.strip()}
+ORACLE = {"op5_mixing": OP5_SQL.strip(), "op12_ranked_search": OP12_SQL.strip(),
+          "op13_filter_audit": OP13_SQL.strip()}
