@@ -25,6 +25,12 @@ def _power(n: int):
     return _powers
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base of the word hashes and of its inverse."""
+    up, down = _power(n)
+    return up, down
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed 64-bit scrambler (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(30))

@@ -30,12 +30,14 @@ from linecraft.llm.common import materialise, remainder
 from linecraft.llm.hashing import mix, powers
 
 LONGEST = 5
-MAX_CELLS = 1 << 21   # entries times languages, for the words and for the n-grams
+MAX_CELLS = 1 << 20   # entries times languages, for the words and for the n-grams
 LEAST = 2             # times an entry must occur
 SMOOTH = 0.5
 PIECE = 1 << 19       # code points worked on at a time
 FLUSH = 1 << 20       # distinct counts a task holds before it hands them on
 UND = "und"
+# Keeps words and n-grams of each order apart.
+_SEEDS = np.arange(LONGEST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _TABLES: list = []
 
 
@@ -94,7 +96,7 @@ class Words:
 
     def _hash(self, start, end, order):
         x = (self.total[end] - self.total[start]) * self.down[start]
-        return mix(x + np.uint64(order) * np.uint64(0x9E3779B97F4A7C15))
+        return mix(x + _SEEDS[order])
 
     def grams(self, which, order):
         """(hash, position in ``which``) of all n-grams of some words; single characters leave the edges out."""
@@ -179,6 +181,8 @@ def language_counts(docs: DataFrame, lang: str = "lang", text: str = "text") ->
         def give():
             for name, kinds in held.items():
                 for kind, (keys, counts) in kinds.items():
+                    if not keys:  # no word in its texts
+                        continue
                     distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
                     n = np.bincount(where.reshape(-1), np.concatenate(counts)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -218,7 +222,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", max_cells: int
            .groupBy("kind", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")))
     per = materialise(per, "words")  # a row per distinct word or n-gram; `by` has an entry a language
     sums = per.select("kind", F.explode("by").alias("b")).groupBy("kind", "b.lang").agg(
-        F.sum("b.n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()
+        F.sum("b.n").alias("n")).collect()
     tokens = {(r["kind"], r["lang"]): r["n"] for r in sums}
     languages = sorted({r["lang"] for r in sums}, key=lambda x: (-tokens.get((0, x), 0), x))
     number = {x: k for k, x in enumerate(languages)}
@@ -237,22 +241,20 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", max_cells: int
     none = 1 << 20
     kept = per.where((F.col("total") >= LEAST) & (step >= F.when(words, least.get(True, none))
                                                   .otherwise(least.get(False, none))))
-    rows = kept.select("kind", "key", "by").collect()  # at most max_cells / languages rows twice
-    distinct = np.bincount([r["kind"] for r in rows], minlength=LONGEST + 1)
+    cells = kept.select("kind", "key", F.explode("by").alias("b")).select("kind", "key", "b.lang", "b.n")
+    cells = cells.toArrow()  # at most max_cells rows of words and as many of n-grams
+    kinds, at = cells["kind"].to_numpy(), cells["key"].to_numpy().view(np.uint64)
+    column = np.array([number[x] for x in cells["lang"].to_pylist()], np.int64)
+    n = cells["n"].to_numpy()
     keys, logs = [], []
-    by_kind: list = [[] for _ in range(LONGEST + 1)]
-    for r in rows:
-        by_kind[r["kind"]].append(r)
-    for kind, some in enumerate(by_kind):
-        hashes = np.array([r["key"] for r in some], np.int64).view(np.uint64)
-        table = np.zeros((len(some), len(languages)))
-        for i, r in enumerate(some):
-            for b in r["by"]:
-                table[i, number[b["lang"]]] = b["n"]
-        order = np.argsort(hashes)
+    for kind in range(LONGEST + 1):
+        mine = kinds == kind
+        hashes, row = np.unique(at[mine], return_inverse=True)
+        table = np.zeros((len(hashes), len(languages)))
+        table[row.reshape(-1), column[mine]] = n[mine]
         total = np.array([tokens.get((kind, x), 0) for x in languages], np.float64)
-        keys.append(hashes[order])
-        logs.append(np.log((table[order] + SMOOTH) / (total + SMOOTH * (distinct[kind] + 1))).astype(np.float32))
+        keys.append(hashes)
+        logs.append(np.log((table + SMOOTH) / (total + SMOOTH * (len(hashes) + 1))).astype(np.float32))
     return Model(languages, keys, logs)
 
 

@@ -7,6 +7,7 @@ from linecraft.llm.decontaminate import op9_decontamination
 from linecraft.llm.doc_fingerprint import op3_doc_fingerprint
 from linecraft.llm.filter_audit import OP13_SQL, op13_filter_audit
 from linecraft.llm.html_text import op4_html_extraction
+from linecraft.llm.language_id import op11_language_id
 from linecraft.llm.license_scan import op2_license_scan
 from linecraft.llm.line_dedup import op8_line_dedup
 from linecraft.llm.lm_score import op7_lm_score
@@ -28,7 +29,7 @@ def _shipped(fn):
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_chat_format, op2_license_scan, op3_doc_fingerprint, op4_html_extraction, op5_mixing,
     op6_simhash_dedup, op7_lm_score, op8_line_dedup, op9_decontamination, op10_quality_classifier,
-    op12_ranked_search, op13_filter_audit)}
+    op11_language_id, op12_ranked_search, op13_filter_audit)}
 
 ORACLE = {"op5_mixing": OP5_SQL.strip(), "op12_ranked_search": OP12_SQL.strip(),
           "op13_filter_audit": OP13_SQL.strip()}
