@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from linecraft.functions import text as T
 from linecraft.functions.rng import h, randint
-from linecraft.operators.ordering import first_n, global_index, hashed_index, written
+from linecraft.operators.ordering import first_n, global_index, written
+from linecraft.operators.selection import first_rows
 
 # Character pools of the random-string generator.
 ASCII_SYMBOLS = "!\"#$%&'()*+,-./:;?@[\\]^_`{|}~"
@@ -132,11 +133,19 @@ def article_sentences(articles: DataFrame, count: int, min_words: int = 1, seed:
 
     Articles are taken in a seeded order without replacement; when sentences run out,
     fewer than ``count`` rows return. Returns (article_rank, sent_no, text).
+
+    Only the first articles of that order are ranked and split: an eighth of ``count``, four times
+    as many if they hold too few sentences, and so on.
     """
-    ordered = hashed_index(articles.select(key, text), seed, "article", key, "article_rank")
-    sents = ordered.select(
-        "article_rank", F.posexplode(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), r"\. "))
-        .alias("sent_no", "raw"))
-    kept = sents.select("article_rank", "sent_no", T.py_strip("raw").alias("text")) \
-        .where(T.min_words("text", min_words))
-    return first_n(kept, ["article_rank", "sent_no"], count)
+    order, total, take = [h(seed, "article", F.col(key)), F.col(key)], articles.count(), max(64, count // 8)
+    while True:
+        chosen = first_rows(articles.select(key, text), order, take)
+        sents = global_index(chosen, order, "article_rank").select(
+            "article_rank", F.posexplode(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), r"\. "))
+            .alias("sent_no", "raw"))
+        kept = sents.select("article_rank", "sent_no", T.py_strip("raw").alias("text")) \
+            .where(T.min_words("text", min_words))
+        kept = written(kept, "sentences")
+        if take >= total or kept.count() >= count:
+            return first_n(kept, ["article_rank", "sent_no"], count, rescan=True)
+        take *= 4

@@ -22,6 +22,7 @@ from pyspark.sql.types import (BooleanType, ByteType, DateType, DoubleType, Floa
                                ShortType, TimestampType)
 
 from linecraft.functions.rng import h
+from linecraft.operators.selection import first_rows
 from linecraft.session import ensure_checkpoint_dir
 
 _ROW, _ID, _RANGE = "_lc_row", "_lc_id", "_lc_range"
@@ -159,9 +160,15 @@ def hashed_index(df: DataFrame, seed, stream: str, key: str, out: str = "idx",
     return global_index(df, [h(seed, stream, F.col(key)), key], out, n_buckets, total=total)
 
 
-def first_n(df: DataFrame, order, n: int) -> DataFrame:
-    """The first n rows in ``order`` (a count limit is the feature here)."""
-    return global_index(df, order, "_lc_i").where(F.col("_lc_i") < n).drop("_lc_i")
+def first_n(df: DataFrame, order, n: int, rescan: bool = False) -> DataFrame:
+    """The first n rows in ``order`` (a count limit is the feature here), by selection.
+
+    Nothing but the order columns is written, and with ``rescan`` not even these: the input is
+    read anew for each of about three counts, which suits tables whose keys are cheap to scan.
+    """
+    columns = _cols(order)
+    keys = None if rescan else written(df.select(*[c.alias(f"_k{i}") for i, c in enumerate(columns)]), "keys")
+    return first_rows(df, columns, n, keys)
 
 
 def prefix_split(df: DataFrame, order, test_split: float, out: str = "split") -> DataFrame:
@@ -185,9 +192,10 @@ def seeded_split(df: DataFrame, key: str, test_split: float, seed: int = 42,
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """a uniform sample of exactly n rows when the table is larger, else all rows.
 
-    The sample is the first n rows of the seeded order (h(seed, 'sample', key), key).
+    The sample is the first n rows of the seeded order (h(seed, 'sample', key), key); it is a
+    filter of ``df``, nothing is written.
     """
-    return hashed_index(df, seed, "sample", key, "_lc_i").where(F.col("_lc_i") < n).drop("_lc_i")
+    return first_rows(df, [h(seed, "sample", F.col(key)), F.col(key)], n)
 
 
 def training_batches(df: DataFrame, key: str, batch_size: int, epoch: int = 0,

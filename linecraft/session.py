@@ -97,11 +97,13 @@ def spread(df: DataFrame) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must name a shared filesystem; it is read, never overridden.
-    Only when it is unset (tests, local runs) a fresh local folder is created.
+    On a cluster the setting must name a shared filesystem; it is read, never overridden, and
+    without it an error is raised. Only a local master gets a fresh local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="linecraft-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
