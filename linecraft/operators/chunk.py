@@ -81,10 +81,17 @@ def chunk_words(docs: DataFrame, key: str, words: str = "words", carry=(),
     Returns (chunk long, first_key, <carry of the first document>, words array<string>,
     sentence string, repeated boolean). ``repeated`` is D10 for ``ngram`` (0 disables).
     """
+    placed = with_word_offsets(docs.select(key, words, *carry), key, words)
+    return cut_chunks(placed, key, words, carry, seed, min_len, max_len, ngram)
+
+
+def cut_chunks(placed: DataFrame, key: str, words: str = "words", carry=(), seed: int = 42, min_len: int = 10,
+               max_len: int = 15, ngram: int = 2, until: int | None = None) -> DataFrame:
+    """E1 over rows that know their place (``with_word_offsets``); only chunks below ``until``, if given."""
     t = length_table(seed, min_len, max_len)
     S, P = t.total, t.period
     carry = list(carry)
-    d = with_word_offsets(docs.select(key, words, *carry), key, words).where(F.col("n") > 0)
+    d = placed.where(F.col("n") > 0)
     d = (d.withColumn("_r0", F.pmod(F.col("off"), F.lit(S)).cast("double"))
           .withColumn("_r1", F.pmod(F.col("off") + F.col("n") - 1, F.lit(S)).cast("double")))
     buck = Bucketizer(splitsArray=[list(map(float, t.starts)) + [float(S)]] * 2,
@@ -93,6 +100,8 @@ def chunk_words(docs: DataFrame, key: str, words: str = "words", carry=(),
     d = (d.withColumn("_g0", F.floor(F.col("off") / S) * P + F.col("_k0").cast("long"))
           .withColumn("_g1", F.floor((F.col("off") + F.col("n") - 1) / S) * P
                       + F.col("_k1").cast("long")))
+    if until is not None:
+        d = d.where(F.col("_g0") < until).withColumn("_g1", F.least("_g1", F.lit(until - 1)))
     starts = F.lit(list(t.starts))
     lens = F.lit(list(t.lens))
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linecraft.functions import text as T
-from linecraft.operators.chunk import chunk_words
-from linecraft.operators.ordering import first_n, sample_rows
+from linecraft.operators.chunk import chunk_words, cut_chunks, with_word_offsets
+from linecraft.operators.ordering import first_n, sample_rows, written
 
 
 @dataclass(frozen=True)
@@ -59,9 +59,17 @@ def build_corpus(docs: DataFrame, cfg: CorpusConfig = LATIN, key: str = "doc_id"
     """The sentence corpus: (chunk, sentence)."""
     if cfg.sample_first:
         docs = sample_rows(docs.select(key, text), key, cfg.num_samples, cfg.seed)
-    chunks = corpus_chunks(docs, cfg, key, text)
-    kept = chunks.where(~F.col("repeated")).select("chunk", "sentence")
-    top = first_n(kept, ["chunk"], cfg.num_samples)
+    placed = with_word_offsets(clean_corpus(docs, cfg, key, text).select(key, "words"), key)
+    # chunks are numbered without gaps: the first kept ones lie among the first few more
+    until = max(64, cfg.num_samples * 5 // 4)
+    while True:
+        chunks = written(cut_chunks(placed, key, "words", (), cfg.seed, cfg.min_length, cfg.max_length, cfg.ngram,
+                                    until).select("chunk", "sentence", "repeated"), "chunks")
+        seen, kept = chunks.agg(F.count(F.lit(1)), F.count_if(~F.col("repeated"))).first()
+        if seen < until or kept >= cfg.num_samples:
+            break
+        until *= 4
+    top = first_n(chunks.where(~F.col("repeated")).select("chunk", "sentence"), ["chunk"], cfg.num_samples, rescan=True)
     return T.drop_substring(top, "sentence", cfg.drop_needle)
 
 
