@@ -2,26 +2,20 @@
 
 Tables are the scalable form: a text table (key, text) is split into lines with one
 ``posexplode`` per row and numbered with a prefix sum of per-row line counts (no global
-window). Plain files are read whole per file (``wholetext``), as the reference reads them,
-and then handled as a one-row-per-file table.
+window). Plain files are read by splits (``sources/splits.py``): one large file is read by many
+tasks, and its lines and quoted records are numbered as a sequential reader would.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from linecraft.functions import text as T
 from linecraft.operators.ordering import global_index, prefix_sum
+from linecraft.sources.splits import numbered_lines, quoted_records
 
-METADATA_SCHEMA = StructType([StructField("file_name", StringType()), StructField("text", StringType())])
-
-
-def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: (path, text), files in path order."""
-    return (spark.read.text(path, wholetext=True)
-            .select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+METADATA_SCHEMA = "file_name string, text string"
 
 
 def read_lines(src: DataFrame, key: str = "doc_id", text: str = "text",
@@ -45,24 +39,15 @@ def read_lines(src: DataFrame, key: str = "doc_id", text: str = "text",
     return out
 
 
-def require_lines(lines: DataFrame) -> DataFrame:
-    """Error when no line could be read (the reference raises)."""
-    if lines.limit(1).count() == 0:
-        raise ValueError("No lines could be read")
-    return lines
-
-
 def read_file_lines(spark: SparkSession, path: str, max_chars: int | None = 200) -> DataFrame:
-    """A1 for files: lines of the files under ``path``."""
-    return read_lines(text_files(spark, path), key="path", max_chars=max_chars)
+    """A1 for files: (line_no, path, text) of the files under ``path``; no line at all is an error."""
+    return numbered_lines(spark, path, max_chars)
 
 
 def read_dict(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
-    """A2: non-empty lines of a word file -> (lang, word_no, word). Broadcast-sized."""
-    raw = spark.read.option("encoding", "UTF-8").text(path, wholetext=True)
-    words = raw.select(F.posexplode(F.filter(T.split_lines("value"), lambda x: F.length(x) > 0))
-                       .alias("word_no", "word"))
-    return words.select(F.lit(lang).alias("lang"), F.col("word_no").cast("long"), "word")
+    """A2: non-empty lines of the word files under ``path`` -> (lang, word_no, word), numbered over all files."""
+    return numbered_lines(spark, path).select(
+        F.lit(lang).cast("string").alias("lang"), F.col("line_no").alias("word_no"), F.col("text").alias("word"))
 
 
 def dict_from_words(df: DataFrame, col: str, lang: str | None = None) -> DataFrame:
@@ -119,9 +104,15 @@ def write_metadata(df: DataFrame, path: str, order: str | None = None) -> None:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Read the CSV back with an explicit schema (multi-line labels allowed)."""
-    return (spark.read.schema(METADATA_SCHEMA).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').csv(path))
+    """Read the CSV back with an explicit schema; labels may hold line feeds and quotes.
+
+    Each file begins with the header. Records are cut by splits, so a large file is read by many
+    tasks; a carriage return at the end of a record belongs to its line end.
+    """
+    rows = quoted_records(spark, path).where(F.col("record_no") > 0)
+    record = F.regexp_replace("value", r"\r$", "")
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+    return rows.where(record != "").select(F.from_csv(record, METADATA_SCHEMA, options).alias("r")).select("r.*")
 
 
 def write_corpus(sentences: DataFrame, path: str, order: str = "chunk",
