@@ -834,3 +834,6 @@ def q_region_rects(spark, sf):
     rect = GEO.region_rect(pts)
     return conv.select(F.col("conv_id").alias("image_id"), F.col("turn").cast("int").alias("box_no"),
                        *[v.alias(k) for k, v in rect.items()])
+
+
+from linecraft import catalog_files  # noqa: E402,F401

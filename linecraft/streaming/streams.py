@@ -5,6 +5,10 @@ K1: an endless sample source: the ``rate`` source's counter picks string and fon
 K2: error-rate totals per group maintained as streaming aggregation state (sums only), so
     the rates at any point equal the batch rates over the pairs seen so far.
 K3: files recognised as they arrive: a ``binaryFile`` stream and a per-micro-batch job.
+
+``each_batch_once`` writes every micro-batch to a folder named by its number and overwrites it, so
+a batch that is replayed after a lost executor, driver or commit leaves no second row; the state of
+aggregations and the files already read come back from the checkpoint folder on a restart.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType, Tim
 
 from linecraft.operators.ordering import global_index, written
 from linecraft.operators.metrics import with_error_counts
+from linecraft.operators.predict import predict
 
 BINARY_FILE_SCHEMA = StructType([StructField("path", StringType()),
                                  StructField("modificationTime", TimestampType()),
@@ -24,16 +29,21 @@ BINARY_FILE_SCHEMA = StructType([StructField("path", StringType()),
 
 def stream_samples(spark: SparkSession, strings: DataFrame, fonts: DataFrame,
                    rows_per_second: int = 100, str_key: str = "line_no",
-                   font_key: str = "font_no") -> DataFrame:
-    """K1: endless (idx, text, font) stream; sample i takes string i mod n and font i mod f."""
+                   font_key: str = "font_no", rows_per_batch: int | None = None) -> DataFrame:
+    """K1: endless (idx, text, font) stream; sample i takes string i mod n and font i mod f.
+
+    With ``rows_per_batch`` every micro-batch holds that many samples, whatever the time.
+    """
     n, nf = strings.count(), fonts.count()
     if n == 0 or nf == 0:
         raise ValueError("need at least one string and one font")
     # both are numbered 0.. in key order and written once, so every micro-batch reads small files
     s = written(global_index(strings, [str_key], "_sk").drop(str_key), "strings")
     f = written(global_index(fonts, [font_key], "_fk").drop(font_key), "fonts")
-    rate = (spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-            .select(F.col("value").alias("idx"))
+    source = spark.readStream.format("rate-micro-batch" if rows_per_batch else "rate")
+    source = source.option("rowsPerBatch", rows_per_batch) if rows_per_batch else \
+        source.option("rowsPerSecond", rows_per_second)
+    rate = (source.load().select(F.col("value").alias("idx"))
             .withColumn("_s", F.pmod("idx", F.lit(n))).withColumn("_f", F.pmod("idx", F.lit(nf))))
     return (rate.join(s, rate["_s"] == s["_sk"]).join(f, rate["_f"] == f["_fk"])
             .drop("_s", "_f", "_sk", "_fk"))
@@ -71,3 +81,36 @@ def stream_predict(files: DataFrame, fn, schema, sink_path: str, checkpoint: str
     w = out.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
+
+
+def each_batch_once(stream: DataFrame, folder: str, checkpoint: str, output_mode: str = "append", trigger=None,
+                    job=None):
+    """Start ``stream``; every micro-batch (after ``job``, if given) becomes the folder ``batch=<number>``.
+
+    A replayed batch overwrites its own folder. By default the run ends when all there is has been read;
+    started again with the same folders it goes on from there.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        (job(batch) if job else batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    w = stream.writeStream.foreachBatch(write).outputMode(output_mode).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_batches(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """(columns of ``schema``, batch) of all batches written so far; none gives no rows."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    spark.createDataFrame([], fields).write.mode("overwrite").parquet(f"{folder}/batch=-1")
+    return spark.read.schema(StructType([*fields.fields, StructField("batch", LongType())])).parquet(folder)
+
+
+def latest_by(batches: DataFrame, by) -> DataFrame:
+    """Of every group the row of its last batch: what an updating aggregation holds now."""
+    rest = [c for c in batches.columns if c not in (*by, "batch")]
+    last = batches.groupBy(*by).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*by, "_last.*")
+
+
+def stream_predict_once(files: DataFrame, fn, schema, folder: str, checkpoint: str):
+    """K3 + J1: recognise every file of the stream with ``fn``, each batch's results kept once."""
+    return each_batch_once(files, folder, checkpoint, job=lambda batch: predict(batch, fn, schema))

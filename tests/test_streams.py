@@ -65,3 +65,67 @@ def test_stream_predict_files(spark, tmpdir_path):
     q.awaitTermination(120)
     got = sorted(r.text for r in spark.read.parquet(out).collect())
     assert got == sorted(["len10", "len11", "len12"] * 2)
+
+
+def _drop_last_commit(checkpoint):
+    """As if the driver was lost after a batch's rows were written and before it was committed."""
+    folder = os.path.join(checkpoint, "commits")
+    last = max(int(f) for f in os.listdir(folder) if f.isdigit())
+    for f in (str(last), f".{last}.crc"):
+        if os.path.exists(os.path.join(folder, f)):
+            os.remove(os.path.join(folder, f))
+    return last
+
+
+def test_replayed_batch_leaves_no_second_row(spark, tmpdir_path):
+    def recogniser(it):
+        for pdf in it:
+            yield pd.DataFrame({"path": pdf["path"], "text": pdf["content"].map(lambda b: f"len{len(b)}")})
+
+    root, out, ck = (os.path.join(tmpdir_path, x) for x in ("imgs", "out", "ck"))
+    _fake_png_dir(root)
+    files = ST.stream_files(spark, root + "/*/", glob="*.png", max_files_per_trigger=2)
+    ST.stream_predict_once(files, recogniser, "path string, text string", out, ck).awaitTermination(120)
+    want = sorted(tuple(r) for r in ST.read_batches(spark, out, "path string, text string").collect())
+    assert len(want) == 6 and {b for *_, b in want} == {0, 1, 2}
+    assert _drop_last_commit(ck) == 2
+    ST.stream_predict_once(files, recogniser, "path string, text string", out, ck).awaitTermination(120)
+    assert sorted(tuple(r) for r in ST.read_batches(spark, out, "path string, text string").collect()) == want
+
+
+def test_rates_go_on_after_a_restart_and_a_replay(spark, tmpdir_path):
+    src, out, ck = (os.path.join(tmpdir_path, x) for x in ("pairs", "out", "ck"))
+    pairs = spark.createDataFrame([(i % 3, f"a b c {i}", f"a c {i}" if i % 2 else f"a b c {i}") for i in range(60)],
+                                  "epoch int, ref string, pred string").repartition(3)
+
+    def go_on():
+        stream = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 2).parquet(src)
+        rates = ST.stream_error_rates(stream)
+        ST.each_batch_once(rates, out, ck, "update").awaitTermination(120)
+        return ST.latest_by(ST.read_batches(spark, out, rates.schema), ["epoch"])
+
+    pairs.where("ref like '%1'").write.parquet(src)
+    first = {r.epoch: r.n_pairs for r in go_on().collect()}
+    assert sum(first.values()) == 6
+    pairs.where("ref not like '%1'").write.mode("append").parquet(src)
+    go_on()
+    _drop_last_commit(ck)
+    got = sorted(tuple(r) for r in go_on().collect())
+    want = error_rates(spark.read.parquet(src), ["epoch"])
+    assert got == sorted(tuple(r) for r in want.select(*go_on().columns).collect())
+
+
+def test_no_batches(spark, tmpdir_path):
+    assert ST.read_batches(spark, os.path.join(tmpdir_path, "none"), "a int").count() == 0
+
+
+def test_samples_by_batch_resume(spark, tmpdir_path):
+    strings = spark.createDataFrame([(i, f"s{i}") for i in range(3)], "line_no long, text string")
+    fonts = spark.createDataFrame([(0, "f0"), (1, "f1")], "font_no long, font string")
+    samples = ST.stream_samples(spark, strings, fonts, rows_per_batch=10).select("idx", "text", "font")
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    for _ in range(2):
+        ST.each_batch_once(samples, out, ck, trigger={"once": True}).awaitTermination(120)
+    rows = ST.read_batches(spark, out, samples.schema).collect()
+    assert sorted(r.idx for r in rows) == list(range(20))
+    assert all(r.text == f"s{r.idx % 3}" and r.font == f"f{r.idx % 2}" for r in rows)
