@@ -1,7 +1,7 @@
 """Labels: existence filter, renumbering, vocabulary, encoding and padding.
 
-Tokens are looked up in the vocabulary by a join, whatever its size, and put back in order per
-row; whether the vocabulary is broadcast is left to adaptive execution.
+The distinct tokens of a row are looked up in the vocabulary by a join, whatever its size; whether
+the vocabulary is broadcast is left to adaptive execution. No row per character is made.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from linecraft.operators.ordering import global_index, written
 # Special tokens of the decoder, ids 0-3 (begin, padding, end, unknown).
 SPECIALS = ("<s>", "<pad>", "</s>", "<unk>")
 BOS, PAD, EOS, UNK = 0, 1, 2, 3
+# Distinct tokens of a row up to which they are a dictionary of the row.
+MAX_DICTIONARY = 1_024
 
 
 def keep_existing(labels: DataFrame, files: DataFrame, key: str = "file_name") -> DataFrame:
@@ -55,20 +57,29 @@ def build_vocab(df: DataFrame, col: str = "text", unit: str = "char") -> DataFra
 
 
 def _per_row(df: DataFrame, tokens, vocab: DataFrame, found: str, wanted: str, fallback, finish, out: str) -> DataFrame:
-    """Look up every token of every row in ``vocab`` by a join and put the results back in order.
+    """Look up every token of every row in ``vocab`` and put the results back in its place.
 
-    Rows are told apart by a stored row number, so ids may repeat. Only the tokens of one row
-    are gathered. A row whose tokens are null keeps a null result.
+    A row's distinct tokens meet the vocabulary, once each; what they give is a dictionary of the row,
+    by which its tokens are replaced where they stand. A dictionary is searched from its start, so
+    rows of more than ``MAX_DICTIONARY`` distinct tokens have their tokens put back by position.
+    Rows are told apart by a stored row number, so ids may repeat. A row whose tokens are null keeps
+    a null result.
     """
-    rows = written(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_tokens", tokens), "labels")
-    each = rows.select("_row", F.posexplode("_tokens").alias("_pos", found))
-    met = each.join(vocab.select(found, wanted), found, "left").withColumn("_v", F.coalesce(wanted, fallback))
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "labels").withColumn("_tokens", tokens)
+    rows = rows.withColumn("_distinct", F.array_distinct("_tokens"))
+    few = F.coalesce(F.size("_distinct"), F.lit(0)) <= MAX_DICTIONARY
+    short, long = rows.where(few), rows.where(~few)
+    looked_up = lambda each: each.join(vocab.select(found, wanted), found, "left").withColumn(
+        "_v", F.coalesce(wanted, fallback))
+    met = looked_up(short.select("_row", F.explode("_distinct").alias(found)))
+    by_row = met.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(found, "_v"))).alias("_by"))
+    short = short.join(by_row, "_row", "left").withColumn("_body", F.transform("_tokens", lambda t: F.col("_by")[t]))
+    met = looked_up(long.select("_row", F.posexplode("_tokens").alias("_pos", found)))
     whole = met.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))),
                                                 lambda s: s["_v"]).alias("_body"))
-    back = rows.join(whole, "_row", "left")
-    kind = whole.schema["_body"].dataType.simpleString()
-    body = F.coalesce("_body", F.array().cast(kind))
-    return back.withColumn(out, F.when(F.col("_tokens").isNotNull(), finish(body))).drop("_row", "_tokens", "_body")
+    both = short.drop("_by").unionByName(long.join(whole, "_row", "left"))
+    return both.withColumn(out, F.when(F.col("_tokens").isNotNull(), finish(F.col("_body")))) \
+        .drop("_row", "_tokens", "_distinct", "_body")
 
 
 def encode(df: DataFrame, vocab: DataFrame, col: str = "text", key: str = "id",

@@ -30,11 +30,11 @@ def pair(preds: DataFrame, refs: DataFrame, key: str, check: bool = True) -> Dat
 
 
 def with_error_counts(pairs: DataFrame, ref: str = "ref", pred: str = "pred",
-                      ref_words: str | None = None, pred_words: str | None = None) -> DataFrame:
+                      ref_words: str | None = None, pred_words: str | None = None, short: bool = False) -> DataFrame:
     """Per-pair counts: ref_chars, char_edits, ref_words, word_edits.
 
     ``ref_words`` / ``pred_words`` name columns already holding the whitespace words of the
-    texts (skips tokenising them again).
+    texts (skips tokenising them again). ``short`` promises pairs of a bounded few words.
     """
     rw = F.col(ref_words) if ref_words else words_of(ref)
     pw = F.col(pred_words) if pred_words else words_of(pred)
@@ -43,7 +43,7 @@ def with_error_counts(pairs: DataFrame, ref: str = "ref", pred: str = "pred",
            .withColumn("ref_chars", F.length(ref).cast("long"))
            .withColumn("char_edits", char_edits(ref, pred).cast("long"))
            .withColumn("ref_words", F.size("_rw").cast("long")))
-    return with_word_edits(out, "_rw", "_pw").withColumn(
+    return with_word_edits(out, "_rw", "_pw", short=short).withColumn(
         "word_edits", F.col("word_edits").cast("long")).drop("_rw", "_pw")
 
 
@@ -52,9 +52,9 @@ def _rate(num: str, den: str):
 
 
 def error_rates(pairs: DataFrame, by=(), ref: str = "ref", pred: str = "pred",
-                ref_words: str | None = None, pred_words: str | None = None) -> DataFrame:
+                ref_words: str | None = None, pred_words: str | None = None, short: bool = False) -> DataFrame:
     """D2 + D3 (+D9): CER and WER per group (global when ``by`` is empty)."""
-    counted = with_error_counts(pairs, ref, pred, ref_words, pred_words)
+    counted = with_error_counts(pairs, ref, pred, ref_words, pred_words, short)
     agg = counted.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.sum("ref_chars").alias("ref_chars"), F.sum("char_edits").alias("char_edits"),

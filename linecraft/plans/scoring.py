@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linecraft.functions.edits import SHORT
 from linecraft.operators.metrics import error_rates
 from linecraft.plans.corpus import LATIN, CorpusConfig, corpus_chunks
 
@@ -37,6 +38,6 @@ def chunk_pairs(docs: DataFrame, cfg: CorpusConfig = LATIN, with_words: bool = F
 
 
 def score_by(docs: DataFrame, by=("lang",), cfg: CorpusConfig = LATIN) -> DataFrame:
-    # the chunk words are the reference words; the prediction's words are known too
+    # the chunk words are the reference words; the prediction's words are known too; a chunk has few
     return error_rates(chunk_pairs(docs, cfg, with_words=True), list(by),
-                       ref_words="ref_words", pred_words="pred_words")
+                       ref_words="ref_words", pred_words="pred_words", short=cfg.max_length <= SHORT // 2)

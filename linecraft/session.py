@@ -24,8 +24,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Image rows are large; keep Arrow batches small so a batch fits a Python worker.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    # Texts are small rows; a batch of large ones (images, whole files) ends at its bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
