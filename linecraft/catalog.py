@@ -501,6 +501,7 @@ def q_decode_labels(spark, sf):
 # ---------------------------------------------------------------------------------------
 
 from linecraft.operators import boxes as BX  # noqa: E402
+from linecraft.operators import linelayout as LL  # noqa: E402
 from linecraft.plans import layout as LY  # noqa: E402
 
 _THAI_SQL = ", ".join(f"chr({ord(c)})" for c in BX.ZERO_WIDTH_MARKS)
@@ -547,8 +548,14 @@ def _glyphs(spark, sf):
     return LY.glyph_table(_docs(spark, sf))
 
 
+def _strip_images(spark, sf):
+    _, ext = _layout(spark, sf)
+    return ext.select(F.col("doc_id").alias("line_id"), F.col("line_no").alias("seq"),
+                      F.col("text_w").alias("w"), F.col("text_h").alias("h"))
+
+
 def _layout(spark, sf):
-    return LY.layout(_lines(spark, sf).select("line_no", "doc_id", "text"), glyphs=_glyphs(spark, sf))
+    return LY.layout(_lines(spark, sf).select("line_no", "doc_id", "text"), glyphs=_glyphs(spark, sf), carry=["doc_id"])
 
 
 @register("layout_extents", _LAYOUT_SQL + """
@@ -601,14 +608,55 @@ FROM ext GROUP BY doc_id
 """)
 def q_strip_offsets(spark, sf):
     """Lines of a document joined side by side with a 35-pixel overlap."""
-    _, ext = _layout(spark, sf)
-    ext = ext.join(_lines(spark, sf).select("line_no", "doc_id"), "line_no")
-    imgs = ext.select(F.col("doc_id").alias("line_id"), F.col("line_no").alias("seq"),
-                      F.col("text_w").alias("w"), F.col("text_h").alias("h"))
-    _, tot = BX.strip_offsets(imgs)
+    _, tot = BX.strip_offsets(_strip_images(spark, sf))
     return tot
 
 
+@register("strip_places", _LAYOUT_SQL + """
+SELECT doc_id AS line_id, line_no AS seq,
+       CAST(coalesce(sum(text_w - 35) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS x
+FROM ext
+""")
+def q_strip_places(spark, sf):
+    """Where each line of a document begins when they stand side by side with a 35-pixel overlap."""
+    places, _ = BX.strip_offsets(_strip_images(spark, sf))
+    return places.select("line_id", "seq", "x")
+
+
+_WORDS_SQL = _LAYOUT_SQL + """,
+split AS (SELECT line_no, string_split(text, ' ') AS ws FROM lines),
+wp AS (SELECT line_no, 2 * (k - 1) AS i, ws[k] AS piece FROM (SELECT line_no, ws, unnest(range(1, len(ws) + 1)) AS k FROM split)
+       UNION ALL SELECT line_no, 2 * k - 1, ' ' FROM (SELECT line_no, unnest(range(1, len(ws))) AS k FROM split)),
+wc AS (SELECT line_no, i, piece, unnest(string_split(piece, '')) AS ch FROM wp),
+wm AS (SELECT line_no, i, piece, CAST(CASE WHEN piece = ' ' THEN any_value(advance) ELSE sum(CASE WHEN wc.ch IN (@THAI@) THEN 0
+              ELSE coalesce(advance, 0) END) END AS INTEGER) AS w, CAST(max(coalesce(height, 0)) AS INTEGER) AS h
+       FROM wc LEFT JOIN glyphs USING (ch) GROUP BY line_no, i, piece)
+SELECT line_no, CAST(i AS INTEGER) AS i, piece, w, h,
+       CAST(coalesce(sum(w) OVER (PARTITION BY line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS x,
+       CAST(sum(w) OVER (PARTITION BY line_no) AS INTEGER) AS text_w, CAST(max(h) OVER (PARTITION BY line_no) AS INTEGER) AS text_h
+FROM wm""".replace("@THAI@", _THAI_SQL)
+
+
+@register("word_layout", _WORDS_SQL)
+def q_word_layout(spark, sf):
+    """C7 + E3 + D13 for word pieces: words and the spaces between them, each with its x."""
+    out = LL.lay_pieces(_lines(spark, sf).select("line_no", "text"), _glyphs(spark, sf), word_split=True, spacing=1)
+    return out.withColumnRenamed("at", "x")
+
+
+@register("vertical_layout", _LAYOUT_SQL + """
+SELECT line_no, i, piece, w, h,
+       CAST(coalesce(sum(h) OVER (PARTITION BY line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + i AS INTEGER) AS y,
+       CAST(max(w) OVER (PARTITION BY line_no) AS INTEGER) AS text_w,
+       CAST(sum(h) OVER (PARTITION BY line_no) + count(*) OVER (PARTITION BY line_no) AS INTEGER) AS text_h
+FROM measured
+""")
+def q_vertical_layout(spark, sf):
+    """E3 + D13 down the line: y of every character, width and height of the column."""
+    out = LL.lay_pieces(_lines(spark, sf).select("line_no", "text"), _glyphs(spark, sf), vertical=True, spacing=1)
+    return out.withColumnRenamed("at", "y")
+
+
 @register("stroke_segments", """
 WITH pts AS (SELECT user_id AS word_id, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS dx,
              CAST(1 AS BIGINT) AS dy, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS pen_up FROM events),
@@ -811,7 +859,7 @@ FROM boxes b LEFT JOIN pcs p ON p.line_no = b.image_id AND p.i + 1 = b.box_no
 def q_tess_box_lines(spark, sf):
     """D7 (tess) + A12: `<char> x1 y1 x2 y2 0` lines, y measured from the bottom, labelled by piece."""
     lines = _lines(spark, sf).select("line_no", "text")
-    boxes = LY.line_boxes(lines, tess=True, glyphs=_glyphs(spark, sf))
+    boxes = LY.mask_boxes(lines, tess=True, glyphs=_glyphs(spark, sf))
     labels = BX.line_pieces(lines).select(F.col("line_no").alias("image_id"),
                                           (F.col("i") + 1).cast("int").alias("box_no"), "piece")
     return BX.format_boxes(boxes, tess=True, labels=labels)
