@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 
 from linecraft import oracle as O
 from linecraft.catalog import _FONTS_SQL, _PAIRS_SQL, _PART_DICT_SQL, ORACLE, _docs, _lines, register
+from linecraft.functions import text as T
+from linecraft.operators import images as IM
+from linecraft.operators import links as LK
 from linecraft.operators import predict as PD
+from linecraft.operators import render as R
 from linecraft.plans import render as PR
 from linecraft.plans import scoring as S
-from linecraft.session import scratch_path, table
+from linecraft.session import scratch_path, spread, table
+from linecraft.sources import files as FS
 from linecraft.sources import textfiles as TF
 from linecraft.streaming import streams as ST
 
@@ -173,3 +178,161 @@ def q_recognise_regions(spark, sf):
         return F.array(F.array(F.lit(0.0), y), F.array(x, y), F.array(x, y + 18.0), F.array(F.lit(0.0), y + 18.0))
     images = rows.select("image_id", image.alias("image"), F.transform("rs", region).alias("points"))
     return PD.recognise_regions(images, _read_crops).select("image_id", "text")
+
+
+# ---------------------------------------------------------------------------------------
+# Binary files, samples and metrics
+# ---------------------------------------------------------------------------------------
+
+def _text_folders(spark, sf) -> str:
+    """Files of documents, a line each, in a folder per language."""
+    path = _folder(spark, "folders")
+    table(spark, sf, "documents").select("lang", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")) \
+        .write.partitionBy("lang").option("maxRecordsPerFile", 64).text(path)
+    return path
+
+
+@register("folder_labels", """
+SELECT 'lang=' || lang AS label, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang
+""")
+def q_folder_labels(spark, sf):
+    """Files labelled by their folder (a language), their bytes summed by label."""
+    files = FS.read_folder_labelled(spark, _text_folders(spark, sf))
+    return files.groupBy("label").agg(F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+
+
+@register("attach_images", """
+SELECT 'lang=' || lang AS text, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents
+WHERE lang <> 'de' GROUP BY lang
+""")
+def q_attach_images(spark, sf):
+    """Label rows (folder/name and the folder as label) of all languages but one, with their files' bytes."""
+    root = _text_folders(spark, sf)
+    names = FS.list_files(spark, root).select(
+        F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file_name"),
+        F.regexp_extract("path", FS.LAST_FOLDER_RE, 1).alias("text")).where("text <> 'lang=de'")
+    return FS.attach_images(names, spark, root).groupBy("text").agg(
+        F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+
+
+@register("sample_files", """
+SELECT doc_id, lang, md5(text) AS md5, CAST(length(text) AS BIGINT) AS n_boxes FROM documents
+""")
+def q_sample_files(spark, sf):
+    """Samples (image bytes, boxes) written by language and read back; boxes are one a character."""
+    path = _folder(spark, "samples")
+    chars = F.regexp_extract_all("text", F.lit("(?s)."), 0)
+    FS.write_samples(_docs(spark, sf).select(
+        "doc_id", "lang", F.struct(F.col("text").cast("binary").alias("data")).alias("image"),
+        F.transform(chars, lambda c, i: F.struct((i + 1).alias("box_no"), c.alias("piece"))).alias("boxes")), path, "lang")
+    return spark.read.parquet(path).select("doc_id", "lang", F.md5("image.data").alias("md5"),
+                                           F.size("boxes").cast("long").alias("n_boxes"))
+
+
+@register("metrics_file", _PAIRS_SQL + """
+SELECT CAST(sum(char_edits) AS DOUBLE) / CAST(sum(ref_chars) AS DOUBLE) AS cer,
+       CAST(sum(word_edits) AS DOUBLE) / CAST(sum(ref_words) AS DOUBLE) AS wer FROM counted
+""")
+def q_metrics_file(spark, sf):
+    """Overall error rates written as JSON and read back."""
+    path = _folder(spark, "metrics")
+    FS.write_metrics(S.score_by(_docs(spark, sf), []).select("wer", "cer"), path)
+    return spark.read.schema("cer double, wer double").json(path)
+
+
+# ---------------------------------------------------------------------------------------
+# Cleaning of texts that need it (B2-B5, G3), contrast (B15, D8), colours (F6), scoped links
+# ---------------------------------------------------------------------------------------
+
+# Fixed values of the input: what is put around a document's text.
+_AROUND = ("see http://site.example/a?b=1&c=2 now: ", "نیم‌فاصله ", "۱۲۳ 456 ٧٨٩ ", "«a-b» [c]; d_e، f؟ (g) ")
+
+
+@register("clean_mixed", """
+WITH around(k, a) AS (VALUES (0, 'see http://site.example/a?b=1&c=2 now: '), (1, 'نیم' || chr(8204) || 'فاصله '),
+    (2, '۱۲۳ 456 ٧٨٩ '), (3, '«a-b» [c]; d_e، f؟ (g) ')),
+t AS (SELECT doc_id, a || text || ' ' || a AS t FROM documents JOIN around ON k = doc_id % 4)
+SELECT doc_id, md5(regexp_replace(t, 'http[^ \t\r\n\x0B\f]+', '', 'g')) AS no_url,
+    md5(translate(t, '!"#$%&''()*+,./:;<=>?@[]^_`{|}~' || chr(92) || '،؍؛؟»«', '')) AS no_punct,
+    md5(replace(t, chr(8204), '')) AS no_zwnj,
+    md5(translate(t, '0123456789۰۱۲۳۴۵۶۷۸۹', '٠١٢٣٤٥٦٧٨٩٠١٢٣٤٥٦٧٨٩')) AS digits,
+    md5(regexp_replace(regexp_replace(translate(t, '0123456789۰۱۲۳۴۵۶۷۸۹', '٠١٢٣٤٥٦٧٨٩٠١٢٣٤٥٦٧٨٩'),
+        '[^a-zA-Z٠١٢٣٤٥٦٧٨٩ \t\r\n\x0B\f]+', '', 'g'), 'http[^ \t\r\n\x0B\f]+', '', 'g')) AS clean FROM t
+""")
+def q_clean_mixed(spark, sf):
+    """B2-B5 + G3 and B6 over documents with an address, a zero-width non-joiner, three digit scripts or
+    punctuation around them; digests of every step alone and of all in order."""
+    around = F.element_at(F.array(*[F.lit(a) for a in _AROUND]), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    t = F.concat(around, F.col("text"), F.lit(" "), around)
+    steps = {"no_url": T.strip_urls("t"), "no_punct": T.strip_punct("t", "-\u06d6\u06ed"), "no_zwnj": T.strip_zwnj("t"),
+             "digits": T.normalise_script("t"), "clean": T.clean_text("t", "٠١٢٣٤٥٦٧٨٩", ("a-z", "A-Z"))}
+    return _docs(spark, sf).select("doc_id", t.alias("t")).select("doc_id", *[F.md5(c).alias(n) for n, c in steps.items()])
+
+
+_PIXELS_SQL = """
+WITH px AS (SELECT l_orderkey AS image_id, CAST(l_quantity AS INTEGER) * 5 AS c0, l_partkey % 256 AS c1, l_suppkey % 256 AS c2,
+    l_linenumber % 3 AS mask_b, l_linenumber % 2 AS bg FROM lineitem),
+tm AS (SELECT image_id, (avg(c0) + avg(c1)) / 3 AS text_mean, (avg(c0) + avg(c1) + avg(c2)) / 3 AS fair_mean FROM px
+    WHERE mask_b <> 0 GROUP BY image_id),
+bm AS (SELECT image_id, (avg(c0) + avg(c1) + avg(c2)) / 3 AS bg_mean FROM px WHERE bg = 1 GROUP BY image_id)"""
+
+
+@register("contrast_filter", _PIXELS_SQL + """
+SELECT image_id, round(text_mean, 6) AS text_mean, round(bg_mean, 6) AS bg_mean FROM bm JOIN tm USING (image_id)
+WHERE abs(text_mean - bg_mean) >= 15
+""")
+def q_contrast_filter(spark, sf):
+    """D8 + B15: images whose text and background differ in brightness; an order's lines are its pixels."""
+    px = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("image_id"), (F.col("l_quantity").cast("int") * 5).alias("c0"),
+        F.pmod("l_partkey", F.lit(256)).alias("c1"), F.pmod("l_suppkey", F.lit(256)).alias("c2"),
+        F.pmod("l_linenumber", F.lit(3)).alias("mask_b"), F.pmod("l_linenumber", F.lit(2)).alias("bg"))
+    stats = IM.brightness_table(px, px.where("bg = 1").select("image_id", "c0", "c1", "c2"))
+    return IM.contrast_filter(stats).select("image_id", F.round("text_mean", 6).alias("text_mean"),
+                                            F.round("bg_mean", 6).alias("bg_mean"))
+
+
+@register("drawn_colours", f"""
+WITH {O.lines_cte()}
+SELECT line_no, CAST({O.randint('16', '240', 42, 'stroke0', 'line_no')} AS INTEGER) AS stroke_r,
+       CAST({O.randint('32', '224', 42, 'stroke1', 'line_no')} AS INTEGER) AS stroke_g,
+       CAST({O.randint('48', '208', 42, 'stroke2', 'line_no')} AS INTEGER) AS stroke_b FROM lines
+""")
+def q_drawn_colours(spark, sf):
+    """F6 + G8: the stroke colour of every line, drawn between two colours."""
+    drawn = R.draw_params(R.assign_recipes(_lines(spark, sf)), stroke_fill="#102030,#F0E0D0")
+    return drawn.select("line_no", *[F.col("stroke")[i].cast("int").alias(f"stroke_{c}") for i, c in enumerate("rgb")])
+
+
+@register("follow_listing", """
+WITH p AS (SELECT page_id, url FROM pages),
+h1 AS (SELECT DISTINCT a.page_id AS start_id, i.page_id AS item_id FROM p a JOIN p b ON b.page_id IN (a.page_id + 1, a.page_id + 2)
+       JOIN p i ON i.url = b.url WHERE a.page_id % 10 = 0),
+h2 AS (SELECT DISTINCT i.page_id AS item_id, t.page_id AS target_id FROM p i JOIN p n ON n.page_id = i.page_id + 4
+       JOIN p t ON t.url = n.url WHERE i.page_id % 10 IN (1, 2, 3))
+SELECT start_id, item_id, target_id, 'https://dl.example/f/' || target_id || '.ttf' AS download_url,
+       target_id || '.ttf' AS file_name FROM h1 JOIN h2 USING (item_id)
+""")
+def q_follow_listing(spark, sf):
+    """C5 + B18: links inside the first ul.list-group of a listing, then btn-success links, then the download.
+
+    Pages carry, behind their own html, links to other rows of the table: every tenth lists the next
+    two (one in a nested list) and names the third outside the list; these link to the fourth page
+    after them, with the class and without; every page offers a download."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    for k in (1, 2, 3, 4, 5):
+        ahead = pages.select((F.col("page_id") - k).alias("page_id"), F.col("url").alias(f"u{k}"))
+        pages = pages.join(ahead, "page_id", "left")
+    u = lambda k: F.coalesce(f"u{k}", F.lit("https://none.example/"))
+    q = lambda c: F.replace(c, F.lit("&"), F.lit("&amp;"))
+    kind = F.pmod("page_id", F.lit(10))
+    listing = F.concat(F.lit('<ul class="menu"><li><a href="'), q(u(3)), F.lit('">no</a></ul><UL class="x list-group"><li><a href="'), q(u(1)),
+                       F.lit('">one</a><ul><li><a href="'), q(u(2)), F.lit('">two</a></li></ul></li></UL><ul class="list-group"><a href="'),
+                       q(u(3)), F.lit('">three</a></ul>'))
+    item = F.concat(F.lit('<a class="btn btn-success" href="'), q(u(4)), F.lit('">get</a><a class="btn" href="'), q(u(5)), F.lit('">no</a>'))
+    download = F.concat(F.lit('<a href="https://dl.example/f/'), F.col("page_id").cast("string"), F.lit('.ttf">dl</a>'),
+                        F.lit('<a href="https://dl.example/f/other.ttf">dl2</a>'))
+    more = F.when(kind == 0, listing).when(kind.isin(1, 2, 3), item).otherwise(F.lit(""))
+    pages = pages.select("page_id", "url", F.concat("html", more, download).alias("html"))
+    start = pages.where(F.pmod("page_id", F.lit(10)) == 0)
+    return LK.follow_links(spread(pages), start, download_prefix="https://dl.example/", container=("ul", "list-group"))

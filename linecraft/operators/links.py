@@ -31,15 +31,57 @@ def _attr(tag: Column, pattern: str) -> Column:
     return F.when(found, text)
 
 
-def anchors(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
-    """Every anchor of every page: (key, url, anchor_no, href, classes array<string>)."""
+def _classes(tag: Column) -> Column:
+    found = _attr(tag, CLASS_RE)
+    return F.when(found.isNull(), F.array().cast("array<string>")) \
+        .otherwise(F.filter(F.split(F.trim(found), _WS + "+"), lambda x: x != ""))
+
+
+def inside_first(tags: Column, element: str, css: str) -> Column:
+    """Of the tags of a page, those between the first ``element`` of class ``css`` and its end.
+
+    The tags are folded with the number of open elements of that name: nested ones are passed over,
+    and the end tag that brings the number back is the container's. Only places are kept in the
+    fold, so it takes one step a tag. A container that isn't closed ends with the page.
+    """
+    opens, closes = rf"(?is)^<{element}\b", rf"(?is)^</{element}\b"
+
+    def step(a, tag):
+        begins = (a["begin"] == 0) & tag.rlike(opens) & F.array_contains(_classes(tag), css)
+        within = (a["begin"] > 0) & (a["end"] == 0)
+        depth = (F.when(begins, F.lit(1)).when(within & tag.rlike(opens), a["depth"] + 1)
+                 .when(within & tag.rlike(closes), a["depth"] - 1).otherwise(a["depth"]))
+        ends = within & tag.rlike(closes) & (a["depth"] == 1)
+        return F.struct((a["at"] + 1).alias("at"), depth.alias("depth"),
+                        F.when(begins, a["at"]).otherwise(a["begin"]).alias("begin"),
+                        F.when(ends, a["at"]).otherwise(a["end"]).alias("end"))
+
+    zero = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit(0).alias("end"))
+
+    def cut(a):
+        last = F.when(a["end"] > 0, a["end"]).otherwise(a["at"])
+        return F.struct(a["begin"].alias("begin"), F.greatest(last - a["begin"] - 1, F.lit(0)).alias("n"))
+    place = F.aggregate(tags, zero, step, cut)
+    return F.when(place["begin"] > 0, F.slice(tags, place["begin"] + 1, place["n"])).otherwise(F.array().cast("array<string>"))
+
+
+def anchors(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url",
+            container: tuple[str, str] | None = None) -> DataFrame:
+    """Every anchor of every page: (key, url, anchor_no, href, classes array<string>).
+
+    ``container`` (element, class) keeps the anchors inside the first such element of a page; they are
+    numbered within it.
+    """
     body = F.regexp_replace(F.col(html), NON_MARKUP_RE, "")
-    tags = F.regexp_extract_all(body, F.lit(ANCHOR_RE), 0)
+    if container is None:
+        tags = F.regexp_extract_all(body, F.lit(ANCHOR_RE), 0)
+    else:
+        some = rf"(?is)<a{_WS}[^>]*>|</?{container[0]}\b[^>]*>"
+        pages = pages.withColumn("_tags", F.regexp_extract_all(body, F.lit(some), 0))
+        tags = F.filter(inside_first(F.col("_tags"), *container), lambda t: t.rlike(rf"(?is)^<a{_WS}"))
     a = pages.select(key, url, F.posexplode(tags).alias("anchor_no", "tag"))
-    cls = _attr(F.col("tag"), CLASS_RE)
     return a.select(key, url, "anchor_no", _attr(F.col("tag"), HREF_RE).alias("href"),
-                    F.when(cls.isNull(), F.array().cast("array<string>"))
-                    .otherwise(F.filter(F.split(F.trim(cls), _WS + "+"), lambda x: x != "")).alias("classes"))
+                    _classes(F.col("tag")).alias("classes"))
 
 
 def file_name_of(href) -> Column:
@@ -89,23 +131,25 @@ def _fold_dots(url: Column) -> Column:
 
 
 def follow_links(pages: DataFrame, start: DataFrame | None = None, item_class: str = "btn-success",
-                 download_prefix: str = "https://", key: str = "page_id") -> DataFrame:
+                 download_prefix: str = "https://", key: str = "page_id",
+                 container: tuple[str, str] | None = None) -> DataFrame:
     """Listing page -> linked pages -> anchors of a class -> first download link.
 
-    Returns (start_id, item_id, target_id, download_url, file_name).
+    ``container``: only links inside the first such element of a listing page are followed. Returns (start_id, item_id, target_id, download_url, file_name).
     """
     start = pages if start is None else start
-    pg = pages.select(F.col(key).alias("_pid"), F.col("url").alias("_purl"))
+    # a request carries no fragment, so a page is known by its address without one
+    pg = pages.select(F.col(key).alias("_pid"), F.regexp_replace("url", r"#.*$", "").alias("_purl"))
 
-    def hop(src: DataFrame, src_key: str, css: str | None) -> DataFrame:
-        a = anchors(src.select(F.col(src_key).alias(key), "url", "html"), key) \
+    def hop(src: DataFrame, src_key: str, css: str | None, within=None) -> DataFrame:
+        a = anchors(src.select(F.col(src_key).alias(key), "url", "html"), key, container=within) \
             .where(F.col("href").isNotNull())
         if css is not None:
             a = a.where(F.array_contains("classes", css))
         links = a.select(F.col(key).alias("_src"), resolve(F.col("href"), F.col("url")).alias("_dst")).distinct()
         return links.join(pg, links["_dst"] == pg["_purl"]).select("_src", "_pid")
 
-    h1 = hop(start, key, None).select(F.col("_src").alias("start_id"), F.col("_pid").alias("item_id"))
+    h1 = hop(start, key, None, container).select(F.col("_src").alias("start_id"), F.col("_pid").alias("item_id"))
     items = pages.join(h1.select(F.col("item_id").alias(key)).distinct(), key, "left_semi")
     h2 = hop(items, key, item_class).select(F.col("_src").alias("item_id"), F.col("_pid").alias("target_id"))
     targets = pages.join(h2.select(F.col("target_id").alias(key)).distinct(), key, "left_semi")

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linecraft.operators.ordering import global_index
+from linecraft.operators.ordering import global_index, written
 
 LAST_FOLDER_RE = r"([^/]+)/[^/]+$"
 LAST_SEGMENT_RE = r"([^/]+)$"
@@ -51,20 +51,28 @@ def asset_catalog(spark: SparkSession, root: str, ext: str = ".ttf", kind: str =
     return global_index(files, ["path"], "asset_no").select(F.lit(kind).alias("kind"), "asset_no", "path")
 
 
+MAX_BROADCAST_PATHS = 1 << 20   # rows of a path and a label
+
+
 def attach_images(labels: DataFrame, spark: SparkSession, root: str, key: str = "file_name") -> DataFrame:
     """Label rows joined with the bytes of their image files.
 
     A name with a folder is the path below ``root`` and meets that file alone; a bare name meets
-    the files of that name in any folder. Adaptive execution broadcasts the label side when its
-    measured size is small and splits skewed partitions otherwise.
+    the files of that name in any folder. Labels meet the listing first, which reads no bytes. The
+    files' bytes then meet the labels that were found where they are read: up to
+    ``MAX_BROADCAST_PATHS`` labels (counted) are broadcast, so no byte is shuffled; more go through a
+    shuffle by path.
     """
     top = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
     below = F.regexp_extract("path", rf"^.*?\Q{top}\E/+(.*)$", 1)
-    files = list_files(spark, root).select(
-        F.regexp_extract("path", LAST_SEGMENT_RE, 1).alias("_last"), below.alias("_below"), "path", "content")
+    listed = list_files(spark, root).select(
+        F.regexp_extract("path", LAST_SEGMENT_RE, 1).alias("_last"), below.alias("_below"), "path")
     named = labels.withColumn("_last", F.regexp_extract(key, LAST_SEGMENT_RE, 1))
-    met = named.join(files, "_last").where(~F.contains(F.col(key), F.lit("/")) | (F.col(key) == F.col("_below")))
-    return met.select(*labels.columns, "path", "content")
+    met = named.join(listed, "_last").where(~F.contains(F.col(key), F.lit("/")) | (F.col(key) == F.col("_below")))
+    met = written(met.select(*labels.columns, "path"), "matched")
+    few = met.limit(MAX_BROADCAST_PATHS + 1).count() <= MAX_BROADCAST_PATHS
+    content = list_files(spark, root).select("path", "content")
+    return content.join(F.broadcast(met) if few else met, "path").select(*labels.columns, "path", "content")
 
 
 def write_samples(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -56,3 +56,27 @@ def test_attribute_names_entities_and_relative_links(spark):
     assert [r.to for r in rows] == [
         "https://e.example/right?a=1&b=2", "https://e.example/a/up", "https://e.example/a/b/same/",
         "https://e.example/a/b/c?x=1", "https://e.example/a/b/c?q=1", "https://h.example/z"]
+
+
+def test_only_links_inside_the_first_container(spark):
+    html = ('<a href="/a">no</a><ul class="menu"><a href="/b">no</a></ul><UL id=x class="big list-group"><li><a href="/c">yes</a>'
+            '<ul><a href="/d">yes</a></ul><ul class="list-group"><a href="/e">yes</a></ul><!-- </ul> --></li><a href="/f">yes</a></UL>'
+            '<a href="/g">no</a><ul class="list-group"><a href="/h">no</a></ul>')
+    rows = [(1, "https://x.example/", html), (2, "https://x.example/2#top", '<ul class="list-group"><a href="/c">open'),
+            (3, "https://x.example/3", '<ul class="list-groups"><a href="/c">other class</a></ul></ul>'),
+            (4, "https://x.example/4", ""), (5, "https://x.example/5", None), (6, "https://x.example/6", '<ul class=list-group></ul><a href="/z">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {}
+    for r in LK.anchors(pages, container=("ul", "list-group")).orderBy("page_id", "anchor_no").collect():
+        got.setdefault(r.page_id, []).append((r.anchor_no, r.href))
+    assert got == {1: list(enumerate(["/c", "/d", "/e", "/f"])), 2: [(0, "/c")]}
+
+
+def test_pages_are_met_without_their_fragment(spark):
+    rows = [(1, "https://x.example/1#a", '<ul class="list-group"><a href="/2#b">i</a></ul><a href="/4">no</a>'),
+            (2, "https://x.example/2#top", '<a class="btn-success" href="3">t</a>'),
+            (3, "https://x.example/3", '<a href="https://dl.example/f.ttf">d</a>'),
+            (4, "https://x.example/4", '<a class="btn-success" href="3">t</a>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = LK.follow_links(pages, pages.where("page_id = 1"), container=("ul", "list-group")).collect()
+    assert [tuple(r) for r in got] == [(1, 2, 3, "https://dl.example/f.ttf", "f.ttf")]

@@ -97,3 +97,21 @@ def test_predict_and_recognise_regions(spark):
         for pdf in it:
             yield pd.DataFrame({"image_id": pdf["image_id"], "h": [IM.from_struct(v).shape[0] for v in pdf["image"]]})
     assert predict(df, shape_of, "image_id long, h long").select(F.sum("h")).first()[0] == 40
+
+
+def test_attached_bytes_are_not_shuffled(spark, tmpdir_path, monkeypatch):
+    root = os.path.join(tmpdir_path, "imgs")
+    for folder in ("a", "b"):
+        os.makedirs(os.path.join(root, folder))
+        for name in ("1.png", "2.png"):
+            open(os.path.join(root, folder, name), "wb").write((folder + name).encode())
+    labels = spark.createDataFrame([("a/1.png", "x"), ("2.png", "y"), ("a/1.png", "z"), ("b/9.png", "no")],
+                                   "file_name string, text string")
+    want = [("2.png", "y", b"a2.png"), ("2.png", "y", b"b2.png"), ("a/1.png", "x", b"a1.png"), ("a/1.png", "z", b"a1.png")]
+    out = FS.attach_images(labels, spark, root)
+    assert sorted((r.file_name, r.text, bytes(r.content)) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(FS, "MAX_BROADCAST_PATHS", 1)
+    out = FS.attach_images(labels, spark, root)
+    assert sorted((r.file_name, r.text, bytes(r.content)) for r in out.collect()) == want
