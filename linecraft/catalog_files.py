@@ -19,6 +19,7 @@ from linecraft.operators import images as IM
 from linecraft.operators import links as LK
 from linecraft.operators import predict as PD
 from linecraft.operators import render as R
+from linecraft.operators.ordering import written
 from linecraft.plans import render as PR
 from linecraft.plans import scoring as S
 from linecraft.session import scratch_path, spread, table
@@ -333,6 +334,6 @@ def q_follow_listing(spark, sf):
     download = F.concat(F.lit('<a href="https://dl.example/f/'), F.col("page_id").cast("string"), F.lit('.ttf">dl</a>'),
                         F.lit('<a href="https://dl.example/f/other.ttf">dl2</a>'))
     more = F.when(kind == 0, listing).when(kind.isin(1, 2, 3), item).otherwise(F.lit(""))
-    pages = pages.select("page_id", "url", F.concat("html", more, download).alias("html"))
+    pages = written(pages.select("page_id", "url", F.concat("html", more, download).alias("html")), "pages")
     start = pages.where(F.pmod("page_id", F.lit(10)) == 0)
     return LK.follow_links(spread(pages), start, download_prefix="https://dl.example/", container=("ul", "list-group"))
