@@ -306,7 +306,7 @@ def q_drawn_colours(spark, sf):
 
 
 @register("follow_listing", """
-WITH p AS (SELECT page_id, url FROM pages),
+WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages),  -- a request carries no fragment
 h1 AS (SELECT DISTINCT a.page_id AS start_id, i.page_id AS item_id FROM p a JOIN p b ON b.page_id IN (a.page_id + 1, a.page_id + 2)
        JOIN p i ON i.url = b.url WHERE a.page_id % 10 = 0),
 h2 AS (SELECT DISTINCT i.page_id AS item_id, t.page_id AS target_id FROM p i JOIN p n ON n.page_id = i.page_id + 4
