@@ -65,21 +65,23 @@ def _per_row(df: DataFrame, tokens, vocab: DataFrame, found: str, wanted: str, f
     Rows are told apart by a stored row number, so ids may repeat. A row whose tokens are null keeps
     a null result.
     """
-    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "labels").withColumn("_tokens", tokens)
-    rows = rows.withColumn("_distinct", F.array_distinct("_tokens"))
-    few = F.coalesce(F.size("_distinct"), F.lit(0)) <= MAX_DICTIONARY
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "labels")
+    distinct = F.array_distinct(tokens)
+    few = F.coalesce(F.size(distinct), F.lit(0)) <= MAX_DICTIONARY
     short, long = rows.where(few), rows.where(~few)
     looked_up = lambda each: each.join(vocab.select(found, wanted), found, "left").withColumn(
         "_v", F.coalesce(wanted, fallback))
-    met = looked_up(short.select("_row", F.explode("_distinct").alias(found)))
+    met = looked_up(short.select("_row", F.explode(distinct).alias(found)))
     by_row = met.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(found, "_v"))).alias("_by"))
-    short = short.join(by_row, "_row", "left").withColumn("_body", F.transform("_tokens", lambda t: F.col("_by")[t]))
-    met = looked_up(long.select("_row", F.posexplode("_tokens").alias("_pos", found)))
+    # the tokens are cut anew behind the join: texts are shuffled, not arrays of characters
+    short = short.join(by_row, "_row", "left").withColumn("_tokens", tokens) \
+        .withColumn("_body", F.transform("_tokens", lambda t: F.col("_by")[t])).drop("_by")
+    met = looked_up(long.select("_row", F.posexplode(tokens).alias("_pos", found)))
     whole = met.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))),
                                                 lambda s: s["_v"]).alias("_body"))
-    both = short.drop("_by").unionByName(long.join(whole, "_row", "left"))
+    both = short.unionByName(long.join(whole, "_row", "left").withColumn("_tokens", tokens), allowMissingColumns=False)
     return both.withColumn(out, F.when(F.col("_tokens").isNotNull(), finish(F.col("_body")))) \
-        .drop("_row", "_tokens", "_distinct", "_body")
+        .drop("_row", "_tokens", "_body")
 
 
 def encode(df: DataFrame, vocab: DataFrame, col: str = "text", key: str = "id",
