@@ -263,13 +263,53 @@ def test_line_dedup_against_all_positions(spark):
     assert len(mine) >= 0.95 * len(gone)     # bands miss few
 
 
-def test_line_shingles(spark):
-    lines = ["a", "abcd", "abcde", "abcdefabcdef", "a\tb c\rd", "\U0001F600bcd\U0001F601f", "é" * 9]
-    df = spark.createDataFrame([(x,) for x in lines], "line string")
-    expect = spark.createDataFrame([(x, r) for x in lines for r in _runs(x)], "line string, r string")
-    expect = {r.line: sorted(r.h) for r in expect.selectExpr("line", "xxhash64(r) h").groupBy("line").agg(
-        {"h": "collect_list"}).toDF("line", "h").collect()}
-    assert {r.line: r._set for r in LD.shingles(df).collect()} == expect
+def test_line_shingles():
+    lines = ["a", "abcd", "abcde", "abcdefabcdef", "a\tb c\rd", "\U0001F600bcd\U0001F601f", "é" * 9, "abcdefabcdeg"]
+    owner, hashes = LD.shingle_hashes(lines)
+    name = {}
+    for k, line in enumerate(lines):
+        mine = list(hashes[owner == k])
+        runs = [line[i:i + 5] for i in range(max(1, len(line) - 4))]
+        assert len(mine) == len(runs)
+        for h, r in zip(mine, runs):
+            assert name.setdefault(h, r) == r
+    assert len(name) == len(set().union(*map(_runs, lines)))
+    pairs = [(x, y) for x in lines for y in lines]
+    expect = [len(_runs(x) & _runs(y)) / len(_runs(x) | _runs(y)) for x, y in pairs]
+    assert np.allclose(LD.jaccard([x for x, _ in pairs], [y for _, y in pairs]), expect, atol=1e-15)
+    n, keys = LD.band_keys(lines)
+    assert list(n) == [len(_runs(x)) for x in lines]
+    for k, line in enumerate(lines):  # keys depend on the line only, not on its chunk
+        assert (LD.band_keys([line])[1][0] == keys[k]).all()
+
+
+def test_prefix_pairs(spark):
+    rnd = random.Random(12)
+    lines = []
+    for _ in range(25):
+        base = "".join(rnd.choices("abcde ", k=rnd.randint(3, 150)))
+        lines += [base, base + "x", base[:len(base) // 2] + "#" + base[len(base) // 2:], base[::-1]]
+    lines = sorted(set(lines))
+    rows = [(key, k, len(_runs(x)), k if k % 7 else 0) for key in (1, 2) for k, x in enumerate(lines) if k % key == 0]
+    members = spark.createDataFrame(rows, "key long, a long, n int, comp long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "a long, line string")
+    made = LD.prefix_pairs(members, texts)
+    sets = [_runs(x) for x in lines]
+    comp = {r[1]: r[3] for r in rows}
+    near = {(i, j) for j in range(len(lines)) for i in range(j) if comp[i] != comp[j]
+            and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(near) > 15 and near <= {(r.a, r.b) for r in made.collect()}
+    assert {(r.a, r.b) for r in LD.similar(made, texts).collect()} == near
+
+
+def test_line_dedup_columns(spark):
+    """Columns of any name stay; equal lines go in any order of rows and partitions."""
+    rows = [(3, "same line here\nb", 1, "x"), (1, "same line here", 2, "y"), (2, "c\nsame line here\nsame line here", 3, "z")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, first int, line string")
+    for parts in (1, 3):
+        got = LD.dedup(df.repartition(parts))
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == [(1, "same line here", 2, "y"), (2, "c", 3, "z"), (3, "b", 1, "x")]
 
 
 def test_line_dedup_long_runs(spark):
