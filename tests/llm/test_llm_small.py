@@ -277,7 +277,7 @@ def test_line_shingles():
     pairs = [(x, y) for x in lines for y in lines]
     expect = [len(_runs(x) & _runs(y)) / len(_runs(x) | _runs(y)) for x, y in pairs]
     assert np.allclose(LD.jaccard([x for x, _ in pairs], [y for _, y in pairs]), expect, atol=1e-15)
-    n, keys = LD.band_keys(lines)
+    n, keys, _ = LD.band_keys(lines)
     assert list(n) == [len(_runs(x)) for x in lines]
     for k, line in enumerate(lines):  # keys depend on the line only, not on its chunk
         assert (LD.band_keys([line])[1][0] == keys[k]).all()
@@ -302,6 +302,20 @@ def test_prefix_pairs(spark):
     assert {(r.a, r.b) for r in LD.similar(made, texts).collect()} == near
 
 
+def test_sketches_lose_no_pair(spark):
+    lines = sorted(set(_near_lines(17, 60)) | {"a", "ab", "x" * 300, "xy" * 400, "xy" * 400 + "z"})
+    n, _, sketch = LD.band_keys(lines)
+    for k, line in enumerate(lines):  # a sketch depends on the line only
+        assert (LD.band_keys([line])[2][0] == sketch[k]).all()
+    texts = spark.createDataFrame([(k, int(n[k]), [int(x) for x in sketch[k]], line) for k, line in enumerate(lines)],
+                                  "a long, n int, sketch array<long>, line string")
+    every = [(i, j) for j in range(len(lines)) for i in range(j)]
+    sets = [_runs(x) for x in lines]
+    near = {(i, j) for i, j in every if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    left = {(r.a, r.b) for r in LD.possible(spark.createDataFrame(every, "a long, b long"), texts).collect()}
+    assert len(near) > 40 and near <= left and len(left) < len(every) / 20
+
+
 def test_line_dedup_columns(spark):
     """Columns of any name stay; equal lines go in any order of rows and partitions."""
     rows = [(3, "same line here\nb", 1, "x"), (1, "same line here", 2, "y"), (2, "c\nsame line here\nsame line here", 3, "z")]
