@@ -11,10 +11,11 @@ text; the smallest density on its path up to the body is the threshold. Every no
 that density adds the subtree of largest density sum under it. What the added subtrees have as
 their lowest common ancestor (or the article element around it) is the main text.
 
-Elements that are never main text (scripts, forms, navigation, ...) are left out beforehand, and so
-are elements whose class, id or role is the name of page furniture or reader comments, as a whole or
-with a known prefix. Unless they hold the main text: the larger part of what articles there are,
-or, on a page without any, most of the characters outside links (comments excepted).
+Elements that are never main text (scripts, navigation, ...) are left out beforehand, and so are
+forms, asides, dialogs and elements whose class, id or role is the name of page furniture or reader
+comments, as a whole or with a known prefix. Unless these hold the main text: the larger part of what
+articles there are, or, on a page without any, most of the characters outside links and labels
+(comments excepted).
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea "
-    "input iframe object embed svg canvas audio video map dialog menu".split())
+    "script style template head title nav footer button select option textarea "
+    "input iframe object embed svg canvas audio video map menu".split())
+# Dropped as well, unless they hold the main text: some frameworks wrap the whole body in one.
+WRAPPERS = frozenset("form aside dialog noscript".split())
+LABELS = frozenset("a label legend".split())  # their characters say nothing about where the main text is
 BLOCK = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot "
@@ -72,14 +76,14 @@ class Node:
 
 
 def furniture_name(tag: str, attrs: dict) -> str:
-    """The class, id or role that names an element as furniture or comments; empty if none does."""
+    """The tag, class, id or role that names an element as furniture or comments; empty if none does."""
     if tag in ("html", "body", "article", "main"):
         return ""
     for name in " ".join(attrs.get(k) or "" for k in ("class", "id", "role")).lower().split():
         known = _KNOWN.fullmatch(name)
         if name in FURNITURE or known and (known[1] is None or known[1] in FURNITURE):
             return name
-    return ""
+    return tag if tag in WRAPPERS else ""
 
 
 def is_furniture(tag: str, attrs: dict) -> bool:
@@ -124,7 +128,7 @@ class _Builder(HTMLParser):
         if tag == "body":
             self.at = self.root
         known = dict(attrs)
-        node = Node(tag, self.at, is_furniture(tag, known), furniture_name(tag, known) if attrs else "")
+        node = Node(tag, self.at, is_furniture(tag, known), furniture_name(tag, known))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -171,12 +175,12 @@ def drop_named(root: Node) -> None:
     nodes = _nodes(root)
     if not any(n.named for n in nodes):
         return
-    # characters outside links, and those of articles, below every node
+    # characters outside links and labels, and those of articles, below every node
     size, article = {}, {}
     for n in reversed(nodes):
         kids = [c for c in n.children if isinstance(c, Node) and not c.drop]
         own = sum(sum(map(len, c.split())) for c in n.children if isinstance(c, str))
-        size[id(n)] = 0 if n.tag == "a" else own + sum(size[id(c)] for c in kids)
+        size[id(n)] = 0 if n.tag in LABELS else own + sum(size[id(c)] for c in kids)
         article[id(n)] = size[id(n)] if n.tag in ("article", "main") else sum(article[id(c)] for c in kids)
     every, articles = size[id(root)], article[id(root)]
     inside = {id(root): False}

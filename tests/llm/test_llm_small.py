@@ -137,6 +137,74 @@ def test_html_names_of_wrappers(html):
     assert HT.extract(f"<body>{html}</body>") == PLAIN
 
 
+@pytest.mark.parametrize("tag", sorted(HT.WRAPPERS))
+def test_html_tags_around_the_page(tag):
+    """A form, aside, dialog or noscript around the main text stays, any other goes."""
+    for body in (ARTICLE, f"<article>{ARTICLE}</article>"):
+        whole = f"<{tag} id=f><div>{body}</div><label>Your name</label><input name=q></{tag}><footer>foot</footer>"
+        if "article" in body:
+            assert HT.extract(f"<body>{whole}</body>") == PLAIN
+        assert HT.extract(f"<body>{whole}</body>").startswith(PLAIN)
+        beside = f"<div>{body}</div><{tag}><p>Some news by mail</p></{tag}>"
+        assert HT.extract(f"<body>{beside}</body>") == PLAIN
+    alone = "<form><p><label>Name</label><input></p><p><label>Mail</label></p><button>Go</button></form>"
+    assert HT.extract(f"<body>{alone}</body>") == ""
+
+
+def _density_sums(node):
+    """Density sum of every node by the rule itself, each node from its own subtree: {id: (sum, density)}."""
+    def below(n):
+        return [c for c in n.children if isinstance(c, HT.Node) and not c.drop]
+
+    def count(n, link):
+        """Characters, tags, characters and tags inside links below a node."""
+        link = link or n.tag == "a"
+        chars = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        out = [chars, 0, chars * link, 0]
+        for c in below(n):
+            sub = count(c, link)
+            out = [out[0] + sub[0], out[1] + 1 + sub[1], out[2] + sub[2], out[3] + sub[3] + (link or c.tag == "a")]
+        return out
+
+    body = next((n for n in HT._nodes(node) if n.tag == "body"), node)
+    b = count(body, False)
+
+    def density(n):
+        c, t, lc, lt = count(n, False)
+        lt += n.tag == "a"  # a link counts itself
+        base = math.log(max(1, c) * max(1, lc) / max(1, c - lc) + b[2] / max(1, b[0]) * max(1, c) + math.e)
+        return c / max(1, t) * math.log(max(1.0, max(1, c) * max(1, t) / (max(1, lc) * max(1, lt))) + 1) / math.log(base + math.e)
+
+    return {id(n): (sum(map(density, below(n))) if below(n) else density(n), density(n)) for n in HT._nodes(node)}
+
+
+def test_html_densities_against_the_rule():
+    rnd = random.Random(21)
+
+    def tree(depth):
+        text = " ".join(rnd.choices(["river", "town", "a", "of", "mill"], k=rnd.randint(0, 12)))
+        if not depth:
+            return f"<p>{text} <a href=x>{rnd.choice(['more', '', 'go on'])}</a></p>" if rnd.random() < .5 else f"<p>{text}</p>"
+        return f"<div>{text}{''.join(tree(depth - 1) for _ in range(rnd.randint(0, 3)))}</div>"
+
+    for _ in range(40):
+        root = HT.parse(f"<body>{tree(3)}{tree(2)}</body>")
+        want = _density_sums(root)
+        nodes = HT.measure(root)
+        for n in nodes:
+            assert math.isclose(n.density, want[id(n)][1], abs_tol=1e-9)
+            assert math.isclose(n.total, want[id(n)][0], abs_tol=1e-9)
+
+
+def test_html_odd_tables(spark):
+    rows = [(1, "u", "<p>One</p>", "x", 9), (1, "u", "<p>One</p>", "x", 9), (2, None, None, None, None), (None, "v", "", "y", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = HT.extract_pages(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(got.collect(), key=str) == sorted([(1, "u", "One", 3)] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=str)
+    assert HT.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_deep_html():
     assert HT.extract("<div>" * 20_000 + "deep") == "deep"
 
