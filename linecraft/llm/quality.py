@@ -6,8 +6,9 @@ histograms of gradients, with logistic loss and Newton leaves. A forest is flatt
 arrays (feature, cut, next node, leaf value), and all rows step down together.
 
 Training rows: at most ``max_train`` labelled rows with a remainder of crc32(id) mod 5 other
-than 0, the first in the order of a seeded hash of the id (a documented bound; everything else
-covers all data).
+than 0, the first in the order of a seeded hash of the row (a documented bound; everything else
+covers all data). The hash that bounds them is found by counting, so no more rows than that are
+fetched, however many partitions there are.
 """
 
 from __future__ import annotations
@@ -180,6 +181,34 @@ def document_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
+def first_by_hash(rows: DataFrame, n: int) -> list[tuple]:
+    """The ``n`` rows of (statistics, _y, _o) with the smallest ``_o``, a seeded hash of the rest.
+
+    Rows are counted by the upper 16 bits of the hash, then inside the range where the n-th row
+    lies by the next 16, and so on: at most 65,536 counts a step reach the driver. Rows with the bound
+    itself as hash are copies of each other and are fetched once, with their number.
+    """
+    inside, need, cut = rows, n, None
+    for shift in (48, 32, 16, 0):
+        part = F.shiftright("_o", shift)
+        cut = None
+        for value, count in sorted(map(tuple, inside.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())):
+            if count > need:
+                cut = value
+                break
+            need -= count
+        if cut is None:  # on the first step only: all rows are wanted
+            break
+        inside = inside.where(part == cut)
+    below = rows if cut is None else rows.where(F.col("_o") < cut)
+    out = [(r[0], r[1], r[2]) for r in below.select("_o", "_y", "statistics").collect()]
+    if cut is not None and need:
+        for r in sorted(map(tuple, inside.groupBy("_y", "statistics").agg(F.count(F.lit(1))).collect())):
+            out += [(cut, r[0], r[1])] * min(need, r[2])
+            need -= min(need, r[2])
+    return sorted(out)
+
+
 def train(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Forest:
     """Fit on the labelled rows that aren't held out.
 
@@ -187,9 +216,9 @@ def train(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fo
     """
     marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("_y"))
     rows = (stats.where(remainder("doc_id", 5) != 0).select("doc_id", "statistics").join(marked, "doc_id")
-            .withColumn("_o", F.xxhash64(F.lit(11), "doc_id")).orderBy("_o", "doc_id", "_y", "statistics")
-            .limit(max_train).select("statistics", "_y").collect())
-    x = np.array([r[0] for r in rows]).reshape(len(rows), len(STATISTICS))
+            .select("statistics", "_y", F.xxhash64(F.lit(11), "doc_id", "_y", "statistics").alias("_o")))
+    rows = first_by_hash(materialise(rows, "training"), max_train)
+    x = np.array([r[2] for r in rows]).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([r[1] for r in rows], np.float64))
 
 

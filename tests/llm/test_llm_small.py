@@ -459,6 +459,24 @@ def test_quality_held_out(spark):
     assert sum(a == b for a, b in held) >= 0.9 * len(held)
 
 
+def test_quality_training_rows(spark):
+    """The n rows with the smallest hashes, also where many share one; each copy counts."""
+    from pyspark.sql import functions as F
+    rnd = random.Random(3)
+    rows = [([float(rnd.randint(0, 5))] * 2, rnd.randint(0, 1)) for _ in range(300)] + [([7.0, 7.0], 1)] * 200
+    df = spark.createDataFrame(rows, "statistics array<double>, _y int").repartition(7)
+    for hashed in (F.xxhash64("statistics", "_y"), F.lit(-5).cast("long"),
+                   F.xxhash64("statistics", "_y").bitwiseAND(0xFF) - 128):
+        some = df.withColumn("_o", hashed)
+        every = sorted((r._o, r._y, r.statistics) for r in some.collect())
+        for n in (0, 1, 57, 250, 499, 500, 900):
+            assert [r[0] for r in Q.first_by_hash(some, n)] == [r[0] for r in every[:n]]
+    some = df.withColumn("_o", F.xxhash64("statistics", "_y"))
+    every = sorted((r._o, r._y, r.statistics) for r in some.collect())
+    assert Q.first_by_hash(some, 250) == every[:250]
+    assert Q.first_by_hash(some.limit(0), 10) == []
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (4, 0)], "doc_id long, quality int")
     assert Q.classify(_odd(spark), labels).count() == 8
