@@ -21,7 +21,9 @@ no question and answer fields; the overlaps of their first three quarters and of
 in the result, and a pair passes as well if both of them reach 0.8.
 
 The index is sent to the executors in shards of at most ``SHARD_BYTES`` of item text: a larger
-benchmark takes more passes over the documents, not a larger broadcast.
+benchmark takes more passes over the documents, not a larger broadcast. The number of items, their
+average and largest length and the items that hold a word are counted by Spark over the whole
+benchmark first, so scores, thresholds and passages don't depend on the shards.
 """
 
 from __future__ import annotations
@@ -92,8 +94,21 @@ class Index:
     longest: int
 
 
-def build_index(items: list[tuple], share: float = SCORE_SHARE) -> Index:
-    """``items``: (id, text). Items without words can't be found and are left out."""
+@dataclass
+class Benchmark:
+    """What the scores of an item take from all others."""
+    items: int       # with a word at least
+    mean: float      # words of an item
+    longest: int
+
+
+def build_index(items: list[tuple], share: float = SCORE_SHARE, whole: Benchmark | None = None,
+                held_by: dict | None = None) -> Index:
+    """``items``: (id, text). Items without words can't be found and are left out.
+
+    ``whole`` and ``held_by`` (items that hold a word) describe the benchmark of which ``items`` are
+    a part; without them the items are all there is.
+    """
     kept = sorted(((i, words_of(t or "")) for i, t in items), key=lambda x: len(x[1]))
     kept = [(i, w) for i, w in kept if len(w)]
     n = len(kept)
@@ -103,9 +118,12 @@ def build_index(items: list[tuple], share: float = SCORE_SHARE) -> Index:
     pair, tf = np.unique(at * max(n, 1) + owner, return_counts=True)
     which, item = pair // max(n, 1), pair % max(n, 1)
     df = np.bincount(which, minlength=len(vocabulary))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     length = np.array([len(w) for _, w in kept], float)
-    norm = K1 * (1 - B + B * length / length.mean()) if n else length
+    if whole is None:
+        whole = Benchmark(n, length.mean() if n else 1.0, int(length.max()) if n else 0)
+    every = df if held_by is None else np.array([held_by[int(w)] for w in vocabulary.view(np.int64)], np.int64)
+    idf = np.log(1 + (whole.items - every + 0.5) / (every + 0.5))
+    norm = K1 * (1 - B + B * length / whole.mean)
     impact = idf[which] * tf * (K1 + 1) / (tf + norm[item])
     need = share * np.bincount(item, impact, n)
     blocks = -(-n // BLOCK)
@@ -117,7 +135,7 @@ def build_index(items: list[tuple], share: float = SCORE_SHARE) -> Index:
     return Index([i for i, _ in kept], [w for _, w in kept], need, block_need, vocabulary,
                  np.concatenate(([0], np.cumsum(df))), item, impact,
                  np.concatenate(([0], np.cumsum(per_word))), in_block % max(blocks, 1), block_max, common,
-                 int(length.max()) if n else 0)
+                 whole.longest if n else 0)
 
 
 def candidates(index: Index, words: np.ndarray, block: int) -> list[tuple[int, float]]:
@@ -226,23 +244,50 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, float, float,
     return [(k, item, *v) for (k, item), v in found.items()]
 
 
+def benchmark_words(items: DataFrame) -> tuple[DataFrame, Benchmark]:
+    """(item_id, text, n, words) of all different items, words: array of (word, items that hold it),
+    and the figures of the whole benchmark."""
+    texts = materialise(row_key(items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct(),
+                                "item_id"), "items")
+
+    def run(batches):
+        for b in batches:
+            words = [words_of(t) for t in b["text"].to_pylist()]
+            some = [np.unique(w) for w in words]
+            at = pa.array(np.repeat(np.arange(len(words)), [len(w) for w in some]))
+            flat = np.concatenate(some).view(np.int64) if some else np.zeros(0, np.int64)
+            size = np.repeat([len(w) for w in words], [len(w) for w in some])
+            yield pa.RecordBatch.from_arrays(
+                [b["_k1"].take(at), b["_k2"].take(at), pa.array(flat), pa.array(size.astype(np.int64))], names)
+
+    names = ["_k1", "_k2", "word", "size"]
+    held = materialise(texts.select("_k1", "_k2", "text").mapInArrow(run, "_k1 long, _k2 long, word long, size long"), "words")
+    n, mean, longest = held.groupBy("_k1", "_k2").agg(F.max("size").alias("size")).agg(
+        F.count(F.lit(1)), F.avg("size"), F.max("size")).first()
+    df = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # the words of one item
+    own = held.join(df, "word").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("word", "df")).alias("words"))
+    return texts.join(own, ["_k1", "_k2"]), Benchmark(n, mean or 1.0, longest or 0)
+
+
 def shards(items: DataFrame, limit: int = SHARD_BYTES):
-    """Lists of (item_id, text), each of at most ``limit`` bytes of text or of one item.
+    """Lists of (item_id, text), each of at most ``limit`` bytes of text or of one item, with the
+    number of items of the whole benchmark that hold a word of theirs.
 
-    Items are streamed to the driver a partition at a time, in order of length.
+    ``items``: see ``benchmark_words``. They are streamed to the driver a partition at a time, in order
+    of length.
     """
-    rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct() \
-        .orderBy(F.length("text"), "text", "item_id")
-    some, held = [], 0
-    for r in rows.toLocalIterator():
+    some, held, held_by = [], 0, {}
+    for r in items.orderBy(F.length("text"), "text", "item_id").toLocalIterator():
         size = len(r.text.encode("utf-8", "surrogatepass")) + 16
         if some and held + size > limit:
-            yield some
-            some, held = [], 0
+            yield some, held_by
+            some, held, held_by = [], 0, {}
         some.append((r.item_id, r.text))
+        held_by.update((w.word, w.df) for w in r.words)
         held += size
     if some:
-        yield some
+        yield some, held_by
 
 
 _OUT = "item_id long, score double, question_overlap double, answer_overlap double"
@@ -263,8 +308,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES
     schema = StructType([*(docs.schema[c] for c in keep), *made.fields])
     rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     out = spark.createDataFrame([], schema)
-    for shard in shards(items, shard_bytes):
-        index = spark.sparkContext.broadcast(build_index(shard))  # bounded by shard_bytes
+    known, whole = benchmark_words(items)
+    for shard, held_by in shards(known, shard_bytes):
+        index = spark.sparkContext.broadcast(build_index(shard, whole=whole, held_by=held_by))  # bounded by shard_bytes
 
         def run(batches, index=index):
             ix = index.value

@@ -428,6 +428,52 @@ def test_leaks(spark):
     assert DC.find_leaks(docs, tests.limit(0)).count() == 0
 
 
+def test_leaks_against_exhaustive_scores(spark):
+    """Every passage against every item by plain BM25; the shards change neither pairs nor scores."""
+    rnd = random.Random(31)
+    vocabulary = ["".join(rnd.choices("abcdefgh", k=3)) for _ in range(120)]
+    text = lambda n: rnd.choices(vocabulary, k=n)
+    items = [text(rnd.randint(4, 40)) for _ in range(50)]
+    items += [w[:-1] for w in items[:10]]  # near items
+    docs = [text(rnd.randint(0, 120)) for _ in range(30)]
+    for w in items[:40]:
+        k = rnd.randrange(len(w))
+        docs.append(text(rnd.randint(0, 60)) + w[:k] + [rnd.choice(vocabulary)] + w[k + 1:] + text(rnd.randint(0, 60)))
+        docs.append(text(rnd.randint(0, 60)) + w + text(rnd.randint(0, 60)))
+    n, mean, longest = len(items), sum(map(len, items)) / len(items), max(map(len, items))
+    df = {w: sum(w in x for x in items) for w in vocabulary}
+
+    def score(item, words):
+        norm = DC.K1 * (1 - DC.B + DC.B * len(item) / mean)
+        return sum(math.log(1 + (n - df[w] + .5) / (df[w] + .5)) * item.count(w) * (DC.K1 + 1) / (item.count(w) + norm)
+                   for w in set(item) & set(words))
+
+    def overlap(part, passage):
+        k = min(5, len(part))
+        runs, there = ({tuple(x[i:i + k]) for i in range(len(x) - k + 1)} for x in (part, passage))
+        return len(runs & there) / len(runs)
+
+    want = {}
+    for d, words in enumerate(docs):
+        pieces = max(1, -(-len(words) // longest))
+        for s in range(max(1, pieces - 1)):
+            passage = words[s * longest:(s + 2) * longest]
+            for i, item in enumerate(items):
+                cut = -(-3 * len(item) // 4)
+                if passage and score(item, passage) >= DC.SCORE_SHARE * score(item, item) - 1e-9 and (
+                        overlap(item, passage) >= .8 or cut < len(item)
+                        and min(overlap(item[:cut], passage), overlap(item[cut:], passage)) >= .8):
+                    want[d, i] = max(want.get((d, i), 0), score(item, passage))
+    assert len(want) > 60
+    table = lambda x, name: spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(x)], f"{name} long, text string")
+    for limit in (DC.SHARD_BYTES, 300):
+        rows = DC.find_leaks(table(docs, "doc_id"), table(items, "item_id"), limit).collect()
+        got = {(r.doc_id, r.item_id): r.score for r in rows}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    assert DC.find_leaks(table(docs, "doc_id"), table(items, "item_id").limit(0)).count() == 0
+
+
 def test_leaks_of_edited_items():
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choices("abcdefgh", k=4))
