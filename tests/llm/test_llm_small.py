@@ -368,6 +368,10 @@ def test_prefix_pairs(spark):
             and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(near) > 15 and near <= {(r.a, r.b) for r in made.collect()}
     assert {(r.a, r.b) for r in LD.similar(made, texts).collect()} == near
+    sketch = LD.band_keys(lines)[2]
+    sketches = spark.createDataFrame([(k, [int(x) for x in v]) for k, v in enumerate(sketch)], "a long, sketch array<long>")
+    fewer = {(r.a, r.b) for r in LD.prefix_pairs(members, texts, sketches=sketches).collect()}
+    assert near <= fewer and len(fewer) < made.count()
 
 
 def test_sketches_lose_no_pair(spark):
