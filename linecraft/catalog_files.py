@@ -22,6 +22,7 @@ from linecraft.operators import render as R
 from linecraft.operators.ordering import written
 from linecraft.plans import render as PR
 from linecraft.plans import scoring as S
+from linecraft.plans.corpus import LATIN
 from linecraft.session import scratch_path, spread, table
 from linecraft.sources import files as FS
 from linecraft.sources import textfiles as TF
@@ -107,12 +108,14 @@ def q_stream_samples(spark, sf):
 @register("stream_score_by_lang", ORACLE["score_by_lang"])
 def q_stream_score_by_lang(spark, sf):
     """K2: error rates by language as streaming state, stopped after half of the pairs and resumed."""
-    pairs = S.chunk_pairs(_docs(spark, sf)).select("chunk", "lang", "ref", "pred")
+    # the chunks are cut once; either half arrives from there
+    pairs = written(S.chunk_pairs(_docs(spark, sf)).select("chunk", "lang", "ref", "pred"), "pairs")
     arriving, folder, checkpoint = (_folder(spark, n) for n in ("pairs", "rates", "rates-checkpoint"))
     for half in (0, 1):
         pairs.where(F.pmod("chunk", F.lit(2)) == half).write.mode("append").parquet(arriving)
-        stream = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 4).parquet(arriving)
-        rates = ST.stream_error_rates(stream, by=("lang",))
+        stream = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", ST.files_per_batch(spark)) \
+            .parquet(arriving)
+        rates = ST.stream_error_rates(stream, by=("lang",), short=S.is_short(LATIN))
         ST.each_batch_once(rates, folder, checkpoint, "update").awaitTermination()
     return ST.latest_by(ST.read_batches(spark, folder, rates.schema), ["lang"])
 

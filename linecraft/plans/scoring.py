@@ -37,7 +37,12 @@ def chunk_pairs(docs: DataFrame, cfg: CorpusConfig = LATIN, with_words: bool = F
     return out.select(*cols)
 
 
+def is_short(cfg: CorpusConfig) -> bool:
+    """Whether a pair of chunks has few enough words for their distances to be counted without Python."""
+    return cfg.max_length <= SHORT // 2
+
+
 def score_by(docs: DataFrame, by=("lang",), cfg: CorpusConfig = LATIN) -> DataFrame:
     # the chunk words are the reference words; the prediction's words are known too; a chunk has few
     return error_rates(chunk_pairs(docs, cfg, with_words=True), list(by),
-                       ref_words="ref_words", pred_words="pred_words", short=cfg.max_length <= SHORT // 2)
+                       ref_words="ref_words", pred_words="pred_words", short=is_short(cfg))

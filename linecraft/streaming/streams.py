@@ -49,9 +49,13 @@ def stream_samples(spark: SparkSession, strings: DataFrame, fonts: DataFrame,
             .drop("_s", "_f", "_sk", "_fk"))
 
 
-def stream_error_rates(pairs: DataFrame, by=("epoch",), ref: str = "ref", pred: str = "pred") -> DataFrame:
-    """K2: running CER/WER per group over a stream of pairs (use update or complete mode)."""
-    counted = with_error_counts(pairs, ref, pred)
+def stream_error_rates(pairs: DataFrame, by=("epoch",), ref: str = "ref", pred: str = "pred",
+                       short: bool = False) -> DataFrame:
+    """K2: running CER/WER per group over a stream of pairs (use update or complete mode).
+
+    ``short`` promises pairs of a bounded few words, as for ``with_error_counts``.
+    """
+    counted = with_error_counts(pairs, ref, pred, short=short)
     agg = counted.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.sum("ref_chars").alias("ref_chars"), F.sum("char_edits").alias("char_edits"),
@@ -60,6 +64,12 @@ def stream_error_rates(pairs: DataFrame, by=("epoch",), ref: str = "ref", pred:
             .withColumn("wer", F.when(F.col("ref_words") > 0, F.col("word_edits") / F.col("ref_words"))))
 
 
+def files_per_batch(spark: SparkSession) -> int:
+    """Files of a micro-batch that keep every core busy: a fixed few would leave cores idle and make the
+    number of batches, each with its commit of all state, grow with the input on any cluster."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def stream_files(spark: SparkSession, path: str, glob: str | None = None,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """K3 source: image files as they are listed (path, modificationTime, length, content)."""

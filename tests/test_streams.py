@@ -129,3 +129,32 @@ def test_samples_by_batch_resume(spark, tmpdir_path):
     rows = ST.read_batches(spark, out, samples.schema).collect()
     assert sorted(r.idx for r in rows) == list(range(20))
     assert all(r.text == f"s{r.idx % 3}" and r.font == f"f{r.idx % 2}" for r in rows)
+
+
+def test_error_rates_of_short_pairs_stay_in_the_jvm(spark):
+    rows = [(i % 2, "a b c d", "a x d" if i % 3 else "a b c d") for i in range(12)]
+    pairs = spark.createDataFrame(rows, "epoch int, ref string, pred string")
+    rates = ST.stream_error_rates(pairs, short=True)
+    assert "ArrowEvalPython" not in rates._jdf.queryExecution().toString()
+    assert sorted(map(tuple, rates.collect())) == sorted(map(tuple, ST.stream_error_rates(pairs).collect()))
+
+
+def test_scores_by_lang_read_every_core_a_batch_and_cut_chunks_once(spark, tmpdir_path, monkeypatch):
+    from linecraft import catalog_files as CF
+    docs = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(40)), "en" if i % 2 else "de") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    cut, batches = [], []
+    once, read = CF.S.chunk_pairs, ST.each_batch_once
+    monkeypatch.setattr(CF.S, "chunk_pairs", lambda *a, **k: cut.append(1) or once(*a, **k).repartition(20))
+
+    def counted(*a, **k):
+        q = read(*a, **k)
+        batches.append(q)
+        return q
+    monkeypatch.setattr(CF.ST, "each_batch_once", counted)
+    got = {r.lang: r.n_pairs for r in CF.q_stream_score_by_lang(spark, tmpdir_path).collect()}
+    monkeypatch.undo()
+    want = {r.lang: r.n_pairs for r in CF.S.score_by(CF._docs(spark, tmpdir_path), ["lang"]).collect()}
+    assert got == want and sum(got.values()) > 20
+    assert len(cut) == 1
+    assert all(len([p for p in q.recentProgress if p["numInputRows"]]) <= 2 for q in batches)
