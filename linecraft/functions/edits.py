@@ -2,11 +2,10 @@
 
 Characters: Spark's ``levenshtein`` counts code points.
 
-Words: each pair's distinct words are numbered and every word is replaced by one
-supplementary-plane code point (U+10000 + number), so a word sequence becomes a string and the same
-JVM ``levenshtein`` gives the word edit distance. Numbering takes time with the square of the
-distinct words and ends at 1,048,576 of them, so pairs with more than ``SHORT`` distinct words take
-an Arrow function instead. It first walks the diagonals of the table that up to ``NEAR`` edits can
+Words: each pair's distinct words are numbered and every word is replaced by the letter of that
+number in an alphabet of ``SHORT`` letters, so a word sequence becomes a string and the same JVM
+``levenshtein`` gives the word edit distance. Numbering takes time with the square of the
+distinct words, so pairs with more than ``SHORT`` of them take an Arrow function instead. It first walks the diagonals of the table that up to ``NEAR`` edits can
 reach, which takes little for long texts with few edits; beyond that it goes through the
 bit-parallel recurrence in strips of the reference, whose memory grows with the length, not its
 square. All give the exact distance of whole texts.
@@ -25,6 +24,8 @@ from linecraft.functions.text import tokenise
 SHORT = 1_024    # distinct words of a pair that the JVM numbers
 STRIP = 4_096    # words of the reference handled at once
 NEAR = 128       # edits that are looked for along diagonals
+# one letter a word: printable ASCII first, which stands for the words of short texts
+LETTERS = "".join(map(chr, [*range(0x21, 0x7F), *range(0x100, 0x100 + SHORT)]))[:SHORT]
 
 
 def _c(col) -> Column:
@@ -32,8 +33,8 @@ def _c(col) -> Column:
 
 
 def _encode(words: Column, vocab: Column) -> Column:
-    hexes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(vocab, w) + 65535), 8, "0"))
-    return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
+    letter = F.transform(words, lambda w: F.substring(F.lit(LETTERS), F.array_position(vocab, w).cast("int"), F.lit(1)))
+    return F.array_join(letter, "")
 
 
 def char_edits(ref, pred) -> Column:

@@ -73,3 +73,14 @@ def test_one_row_per_distinct_token_is_shuffled(spark):
     vocab = LB.build_vocab(df)
     plan = LB.encode(df, vocab)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(array_distinct(" in plan and "posexplode(regexp_extract_all(text" in plan  # the latter for long rows only
+
+
+def test_word_edits_by_letters_up_to_the_last_letter(spark):
+    assert len(set(E.LETTERS)) == len(E.LETTERS) == E.SHORT
+    words = [f"w{i}" for i in range(E.SHORT)]
+    for ref, pred in ((words, words[::-1][:300]), (words[:94] + ["é"], words[5:90]), (["a", None, "b"], ["a", "b"]), ([], ["a"])):
+        df = spark.createDataFrame([(ref, pred)], "r array<string>, p array<string>")
+        out = E.with_word_edits(df, "r", "p", short=True)
+        assert "unhex" not in out._jdf.queryExecution().toString()
+        want = E.sequence_edits([w for w in ref if w is not None], [w for w in pred if w is not None])
+        assert out.first()["word_edits"] == want
