@@ -103,9 +103,12 @@ def join_regions(regions: DataFrame, image: str = "image_id", box: str = "box_no
 
 def epoch_metrics(pairs: DataFrame, train_losses: DataFrame, eval_losses: DataFrame,
                   epoch: str = "epoch", loss: str = "loss", ref: str = "ref",
-                  pred: str = "pred") -> DataFrame:
-    """One row per epoch with train loss, eval loss, CER, WER and completed steps."""
-    rates = error_rates(pairs, [epoch], ref, pred).select(epoch, "cer", "wer")
+                  pred: str = "pred", **known) -> DataFrame:
+    """One row per epoch with train loss, eval loss, CER, WER and completed steps.
+
+    ``known`` is what ``error_rates`` may be told of the pairs (ref_words, pred_words, short).
+    """
+    rates = error_rates(pairs, [epoch], ref, pred, **known).select(epoch, "cer", "wer")
     tr = mean_train_loss(train_losses, [epoch], loss)
     ev = mean_eval_loss(eval_losses, [epoch], loss)
     return (tr.join(ev, epoch, "full_outer").join(rates, epoch, "full_outer")

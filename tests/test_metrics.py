@@ -88,3 +88,12 @@ def test_join_regions_many_boxes_in_order(spark):
     got = {r.image_id: (r.text, r.n_regions) for r in M.join_regions(df).collect()}
     assert got[1] == ("\n".join(f"t{b}" for b in range(3000)), 3000)
     assert got[2] == ("only", 1)
+
+
+def test_epoch_table_of_known_words_stays_in_the_jvm(spark):
+    losses = spark.createDataFrame([(0, 1.0), (1, 2.0)], "epoch int, loss double")
+    pairs = spark.createDataFrame([(0, "a b c", "a c", ["a", "b", "c"], ["a", "c"]), (1, "x", "y", ["x"], ["y"])],
+                                  "epoch int, ref string, pred string, ref_words array<string>, pred_words array<string>")
+    table = M.epoch_metrics(pairs, losses, losses, ref_words="ref_words", pred_words="pred_words", short=True)
+    assert "ArrowEvalPython" not in table._jdf.queryExecution().toString()
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, M.epoch_metrics(pairs, losses, losses).collect()))
