@@ -225,10 +225,11 @@ SELECT doc_id, lang, md5(text) AS md5, CAST(length(text) AS BIGINT) AS n_boxes F
 def q_sample_files(spark, sf):
     """Samples (image bytes, boxes) written by language and read back; boxes are one a character."""
     path = _folder(spark, "samples")
-    chars = F.regexp_extract_all("text", F.lit("(?s)."), 0)
-    FS.write_samples(_docs(spark, sf).select(
-        "doc_id", "lang", F.struct(F.col("text").cast("binary").alias("data")).alias("image"),
-        F.transform(chars, lambda c, i: F.struct((i + 1).alias("box_no"), c.alias("piece"))).alias("boxes")), path, "lang")
+    boxes = F.transform(T.characters("text"), lambda c, i: F.struct((i + 1).alias("box_no"), c.alias("piece")))
+    # texts are put in order of their folders before they grow boxes, many times their size
+    docs = FS.in_folder_order(_docs(spark, sf).select("doc_id", "lang", "text"), "lang")
+    FS.write_samples(docs.select("doc_id", "lang", F.struct(F.col("text").cast("binary").alias("data")).alias("image"),
+                                 boxes.alias("boxes")), path, "lang")
     return spark.read.parquet(path).select("doc_id", "lang", F.md5("image.data").alias("md5"),
                                            F.size("boxes").cast("long").alias("n_boxes"))
 

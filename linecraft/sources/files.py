@@ -75,8 +75,23 @@ def attach_images(labels: DataFrame, spark: SparkSession, root: str, key: str =
     return content.join(F.broadcast(met) if few else met, "path").select(*labels.columns, "path", "content")
 
 
+def in_folder_order(df: DataFrame, partition_by: str) -> DataFrame:
+    """Rows of each partition in the order in which ``write_samples`` writes its folders.
+
+    Writing by folder sorts rows, unless they are in that order already. Put narrow rows through this
+    before images or boxes are added, and only those are sorted. Null and the empty string share one
+    folder; as a column that holds nulls would be mapped once more (and sorted again), both are "" here.
+    """
+    if dict(df.dtypes)[partition_by] == "string":
+        df = df.withColumn(partition_by, F.coalesce(partition_by, F.lit("")))
+    return df.sortWithinPartitions(partition_by)
+
+
 def write_samples(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Image, optional mask and box columns as Parquet (no output path -> nothing saved)."""
+    """Image, optional mask and box columns as Parquet (no output path -> nothing saved).
+
+    With ``partition_by`` a folder for each of its values; see ``in_folder_order`` for wide rows.
+    """
     if not path:
         return
     w = df.write.mode("overwrite")

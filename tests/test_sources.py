@@ -115,3 +115,26 @@ def test_attached_bytes_are_not_shuffled(spark, tmpdir_path, monkeypatch):
     monkeypatch.setattr(FS, "MAX_BROADCAST_PATHS", 1)
     out = FS.attach_images(labels, spark, root)
     assert sorted((r.file_name, r.text, bytes(r.content)) for r in out.collect()) == want
+
+
+def test_samples_are_sorted_before_they_grow_boxes(spark, tmpdir_path):
+    from linecraft import catalog_files as CF
+    docs = [(1, "ab", "en"), (2, "é😀\n", None), (3, "", "de"), (4, None, "en"), (5, "x", ""), (5, "x", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(2) \
+        .write.parquet(f"{tmpdir_path}/documents.parquet")
+    plans = []
+    old = FS.write_samples
+
+    def kept(df, path, by):
+        plans.append(df)
+        return old(df, path, by)
+    FS.write_samples = kept
+    try:
+        rows = CF.q_sample_files(spark, tmpdir_path).select("doc_id", "lang", "n_boxes").collect()
+    finally:
+        FS.write_samples = old
+    got = sorted((r.doc_id, r.lang or "", r.n_boxes if r.n_boxes is not None else -2) for r in rows)
+    assert got == [(1, "en", 2), (2, "", 3), (3, "de", 0), (4, "en", -2), (5, "", 1), (5, "en", 1)]
+    # the order that the write needs is the rows' own, so no sort of boxes is added
+    ordering = plans[0]._jdf.queryExecution().optimizedPlan().outputOrdering()
+    assert ordering.size() == 1 and not plans[0].schema["lang"].nullable
