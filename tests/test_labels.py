@@ -66,3 +66,38 @@ def test_semi_anti_and_renumber(spark):
     assert [r.file_name for r in LB.missing_files(labels, files).collect()] == ["b.jpg"]
     ren = sorted((r.idx, r.file_name, r.text) for r in LB.renumber(kept.withColumnRenamed("file_name", "src"), ["src"]).collect())
     assert ren == [(0, "00000000.jpg", "x"), (1, "00000001.jpg", "z")]
+
+
+def test_small_vocabularies_need_no_join(spark, monkeypatch):
+    texts = ["ab\U0001f600 é", "", None, "zz~", "<s>", "b" * 5000, "ab"]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    vocab = LB.build_vocab(df.where("text <> 'zz~'"))
+    holes = vocab.where("token <> 'a'")   # ids that decode doesn't know
+
+    def both():
+        enc = LB.label_ids(df, vocab, max_length=4, table=True)
+        plan = enc._jdf.queryExecution().optimizedPlan().toString()
+        back, lost = LB.decode(enc, vocab, "labels", table=True), LB.decode(enc, holes, "labels", table=True)
+        key = lambda rows: sorted(map(repr, rows))
+        return plan, [key(d.collect()) for d in (enc, back, lost)], [d.dtypes for d in (enc, back, lost)]
+    plan, rows, types = both()
+    assert "Join" not in plan and "MapInArrow" in plan
+    monkeypatch.setattr(LB, "MAX_TABLE", 2)
+    joined, want, want_types = both()
+    assert "Join" in joined
+    assert rows == want and types == want_types
+
+
+def test_word_labels_decode_by_table_and_by_join(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "to be or not to be"), (2, ""), (3, None), (4, "be new")], "id long, text string")
+    vocab = LB.build_vocab(df.where("id < 4"), unit="word")
+    dec = lambda: sorted(map(repr, LB.decode(LB.encode(df, vocab, unit="word", out="labels"), vocab, unit="word", table=True).collect()))
+    got = dec()
+    monkeypatch.setattr(LB, "MAX_TABLE", 2)
+    assert got == dec() and "to be or not to be" in str(got)
+
+
+def test_a_vocabulary_with_a_token_twice_is_not_a_table(spark):
+    twice = spark.createDataFrame([("a", 4, 1), ("a", 5, 1)], "token string, token_id long, count long")
+    assert LB._table(twice, "token", "token_id") is None
+    assert sorted(LB._table(twice, "token_id", "token")) == [(4, "a"), (5, "a")]
