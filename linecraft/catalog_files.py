@@ -96,13 +96,13 @@ JOIN {_FONTS_SQL} ON f.font_no = idx.idx % {len(PR.FIXTURE_FONTS)}
 """)
 def q_stream_samples(spark, sf):
     """K1: the endless sample stream, stopped and resumed after each of three batches of all lines."""
-    lines = _lines(spark, sf).select("line_no", "text")
-    samples = ST.stream_samples(spark, lines, PR.fonts_table(spark), rows_per_batch=max(1, lines.count()))
-    samples = samples.select("idx", "text", "font")
+    job, n = ST.sample_job(_lines(spark, sf).select("line_no", "text"), PR.fonts_table(spark))
+    counter = ST.sample_counter(spark, rows_per_batch=n)
     folder, checkpoint = _folder(spark, "samples"), _folder(spark, "samples-checkpoint")
     for _ in range(3):
-        ST.each_batch_once(samples, folder, checkpoint, trigger={"once": True}).awaitTermination()
-    return ST.read_batches(spark, folder, samples.schema).drop("batch")
+        ST.each_batch_once(counter, folder, checkpoint, trigger={"once": True},
+                           job=lambda batch: job(batch).select("idx", "text", "font")).awaitTermination()
+    return ST.read_batches(spark, folder, "idx long, text string, font string").drop("batch")
 
 
 @register("stream_score_by_lang", ORACLE["score_by_lang"])

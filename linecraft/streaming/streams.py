@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType, TimestampType, StringType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType, TimestampType, StringType
 
 from linecraft.operators.ordering import global_index, written
 from linecraft.operators.metrics import with_error_counts
@@ -27,26 +27,74 @@ BINARY_FILE_SCHEMA = StructType([StructField("path", StringType()),
                                  StructField("content", BinaryType())])
 
 
-def stream_samples(spark: SparkSession, strings: DataFrame, fonts: DataFrame,
-                   rows_per_second: int = 100, str_key: str = "line_no",
-                   font_key: str = "font_no", rows_per_batch: int | None = None) -> DataFrame:
-    """K1: endless (idx, text, font) stream; sample i takes string i mod n and font i mod f.
+def _placed(table: DataFrame, key: str, out: str) -> DataFrame:
+    """``table`` written once, its rows numbered 0.. in the order of ``key`` (as ``out`` in its place).
 
-    With ``rows_per_batch`` every micro-batch holds that many samples, whatever the time.
+    A key that is that number already is taken as it is: then nothing but the key is shuffled.
     """
-    n, nf = strings.count(), fonts.count()
+    kept = written(table, out, "zstd")
+    if isinstance(kept.schema[key].dataType, (IntegerType, LongType)):
+        lo, hi, n, distinct = kept.agg(F.min(key), F.max(key), F.count(F.lit(1)), F.count_distinct(key)).first()
+        if lo == 0 and hi == n - 1 == distinct - 1:
+            return kept.withColumn(key, F.col(key).cast("long")).withColumnRenamed(key, out)
+    return written(global_index(kept, [key], out).drop(key), out, "zstd")
+
+
+def _tables(strings: DataFrame, fonts: DataFrame, str_key: str, font_key: str):
+    """Strings and fonts numbered 0.. in key order (``_sk``, ``_fk``) and written once, and their counts."""
+    s, f = _placed(strings, str_key, "_sk"), _placed(fonts, font_key, "_fk")
+    n, nf = s.count(), f.count()
     if n == 0 or nf == 0:
         raise ValueError("need at least one string and one font")
-    # both are numbered 0.. in key order and written once, so every micro-batch reads small files
-    s = written(global_index(strings, [str_key], "_sk").drop(str_key), "strings")
-    f = written(global_index(fonts, [font_key], "_fk").drop(font_key), "fonts")
+    return s, f, n, nf
+
+
+def _by_join(counter: DataFrame, s: DataFrame, f: DataFrame, n: int, nf: int) -> DataFrame:
+    numbered = counter.withColumn("_s", F.pmod("idx", F.lit(n))).withColumn("_f", F.pmod("idx", F.lit(nf)))
+    return (numbered.join(s, numbered["_s"] == s["_sk"]).join(f, numbered["_f"] == f["_fk"])
+            .drop("_s", "_f", "_sk", "_fk"))
+
+
+def sample_counter(spark: SparkSession, rows_per_second: int = 100, rows_per_batch: int | None = None) -> DataFrame:
+    """Endless (idx); with ``rows_per_batch`` every micro-batch holds that many, whatever the time."""
     source = spark.readStream.format("rate-micro-batch" if rows_per_batch else "rate")
     source = source.option("rowsPerBatch", rows_per_batch) if rows_per_batch else \
         source.option("rowsPerSecond", rows_per_second)
-    rate = (source.load().select(F.col("value").alias("idx"))
-            .withColumn("_s", F.pmod("idx", F.lit(n))).withColumn("_f", F.pmod("idx", F.lit(nf))))
-    return (rate.join(s, rate["_s"] == s["_sk"]).join(f, rate["_f"] == f["_fk"])
-            .drop("_s", "_f", "_sk", "_fk"))
+    return source.load().select(F.col("value").alias("idx"))
+
+
+def stream_samples(spark: SparkSession, strings: DataFrame, fonts: DataFrame,
+                   rows_per_second: int = 100, str_key: str = "line_no",
+                   font_key: str = "font_no", rows_per_batch: int | None = None) -> DataFrame:
+    """K1: endless (idx, text, font) stream; sample i takes string i mod n and font i mod f.
+
+    With ``rows_per_batch`` every micro-batch holds that many samples, whatever the time.
+    """
+    return _by_join(sample_counter(spark, rows_per_second, rows_per_batch),
+                    *_tables(strings, fonts, str_key, font_key))
+
+
+def sample_job(strings: DataFrame, fonts: DataFrame, str_key: str = "line_no", font_key: str = "font_no"):
+    """K1 by micro-batches: (job, number of strings); the job gives a batch of ``sample_counter`` its samples.
+
+    A batch of consecutive numbers, as the rate sources make them, is known by its ends: every string
+    finds its own numbers between them where it lies, so no string is shuffled. Any other batch is joined.
+    """
+    s, f, n, nf = _tables(strings, fonts, str_key, font_key)
+
+    def job(batch: DataFrame) -> DataFrame:
+        lo, hi, rows, distinct = batch.agg(
+            F.min("idx"), F.max("idx"), F.count("idx"), F.count_distinct("idx")).first()
+        if not rows or not hi - lo + 1 == rows == distinct:
+            return _by_join(batch, s, f, n, nf)
+        least = F.lit(lo) + F.pmod(F.col("_sk") - F.lit(lo), F.lit(n))
+        own = s.withColumn("_least", least).where(F.col("_least") <= hi)
+        own = own.withColumn("idx", F.explode(F.sequence("_least", F.lit(hi), F.lit(n)))).drop("_least", "_sk")
+        # a few fonts, sent if they are small
+        own = own.withColumn("_f", F.pmod("idx", F.lit(nf)))
+        return own.join(f, own["_f"] == f["_fk"]).drop("_f", "_fk")
+
+    return job, n
 
 
 def stream_error_rates(pairs: DataFrame, by=("epoch",), ref: str = "ref", pred: str = "pred",
@@ -101,7 +149,8 @@ def each_batch_once(stream: DataFrame, folder: str, checkpoint: str, output_mode
     started again with the same folders it goes on from there.
     """
     def write(batch: DataFrame, number: int) -> None:
-        (job(batch) if job else batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        (job(batch) if job else batch).write.mode("overwrite").parquet(
+            f"{folder}/batch={number}", compression="zstd")
 
     w = stream.writeStream.foreachBatch(write).outputMode(output_mode).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()

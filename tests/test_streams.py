@@ -158,3 +158,17 @@ def test_scores_by_lang_read_every_core_a_batch_and_cut_chunks_once(spark, tmpdi
     assert got == want and sum(got.values()) > 20
     assert len(cut) == 1
     assert all(len([p for p in q.recentProgress if p["numInputRows"]]) <= 2 for q in batches)
+
+
+def test_sample_job_moves_no_strings(spark, tmpdir_path):
+    for keys in (range(7), range(3, 24, 3)):  # numbered already, and not
+        strings = spark.createDataFrame([(k, f"s{i}") for i, k in enumerate(keys)], "line_no long, text string").repartition(3)
+        fonts = spark.createDataFrame([(0, "f0"), (1, "f1"), (2, "f2")], "font_no long, font string")
+        job, n = ST.sample_job(strings, fonts)
+        assert n == 7
+        for idx in (range(0), range(4), range(5, 40), [3, 3, 9], [3, 3, 6, 6]):  # consecutive or not
+            batch = spark.createDataFrame([(i,) for i in idx], "idx long")
+            out = job(batch).select("idx", "text", "font")
+            assert sorted(map(tuple, out.collect())) == [(i, f"s{i % 7}", f"f{i % 3}") for i in sorted(idx)]
+        plan = job(spark.range(5, 40).select(F.col("id").alias("idx")))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
