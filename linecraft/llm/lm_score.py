@@ -48,6 +48,8 @@ RATE = 0.005
 END = np.uint64(0x9E3779B97F4A7C15)  # hash of the end token
 
 _CHARS = 1 << 19
+_TILE = 32   # rows of one class in a product
+_ROWS = 2048  # rows of a softmax that stay in the cache
 
 
 def tokenise(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,12 +127,23 @@ class Lexicon:
     output: np.ndarray   # -1: by bucket
     buckets: np.ndarray  # output of each bucket
     end: int             # output of the end token
+    starts: np.ndarray | None = None  # made by the first task of a worker that asks
 
     def look_up(self, h: np.ndarray, bucket: np.ndarray):
         """(output, count or -1) of every token."""
         if not len(self.tokens):
             return self.buckets[bucket], np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.tokens, h), len(self.tokens) - 1)
+        # the top bits of a hash say where its few neighbours begin
+        if self.starts is None:
+            self.shift = np.uint64(max(40, 63 - len(self.tokens).bit_length()))
+            cells = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+            self.starts = np.searchsorted(self.tokens, cells).astype(np.int32)
+            self.longest = int(np.diff(self.starts, append=len(self.tokens)).max())
+            self.upto = np.append(self.tokens, ~np.uint64(0))
+        at = self.starts[h >> self.shift]
+        for _ in range(self.longest):
+            at += self.upto[at] < h
+        np.minimum(at, len(self.tokens) - 1, out=at)
         hit = self.tokens[at] == h
         out = np.where(hit, self.output[at], -1)
         return np.where(out >= 0, out, self.buckets[bucket]).astype(np.int32), np.where(hit, self.counts[at], -1)
@@ -138,112 +151,178 @@ class Lexicon:
 
 def forward(net: Net, ids: np.ndarray, state: np.ndarray, keep: bool = False):
     """States of the gated unit, (time + 1, batch, HIDDEN): before the first of the (time, batch)
-    inputs and after each; with ``keep`` also the gates of each step."""
+    inputs and after each; with ``keep`` also the gates and the candidate of each step,
+    (time, 3, batch, HIDDEN)."""
     p, h = net.p, HIDDEN
-    x = (p["E"] @ p["W"].T + p["b"])[ids]
-    gate, inner = np.ascontiguousarray(p["U"][:2 * h].T), np.ascontiguousarray(p["U"][2 * h:].T)
+    x = (p["E"] @ p["W"].T + p["b"]).reshape(-1, 3, h)
+    outer = np.ascontiguousarray(-x[:, :2].transpose(1, 0, 2))  # both gates by themselves, so that rows lie together
+    outer, update = np.stack([outer[0][ids], outer[1][ids]], axis=1), np.ascontiguousarray(x[:, 2])[ids]
+    gate = np.ascontiguousarray(-p["U"][:2 * h].reshape(2, h, h).transpose(0, 2, 1))
+    inner = np.ascontiguousarray(p["U"][2 * h:].T)
     states = np.empty((len(ids) + 1, *state.shape), state.dtype)
     states[0] = state
-    gates = []
+    gates = np.empty((len(ids) if keep else 1, 3, *state.shape), state.dtype)
     for t in range(len(ids)):
-        zr = states[t] @ gate
-        zr += x[t, :, :2 * h]
-        np.negative(zr, out=zr)
+        before, after, here = states[t], states[t + 1], gates[t if keep else 0]
+        zr, c = here[:2], here[2]
+        np.matmul(before, gate, out=zr)
+        zr += outer[t]
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :h], zr[:, h:]
-        c = (r * states[t]) @ inner
-        c += x[t, :, 2 * h:]
+        np.multiply(here[1], before, out=after)
+        np.matmul(after, inner, out=c)
+        c += update[t]
         np.tanh(c, out=c)
-        np.subtract(states[t], c, out=states[t + 1])
-        states[t + 1] *= z
-        states[t + 1] += c
-        if keep:
-            gates.append((z, r, c))
+        np.subtract(before, c, out=after)
+        after *= here[0]
+        after += c
     return states, gates
 
 
-def _chosen(states, weights, bias, mine, want_rest: bool):
-    """Log probability of the outputs ``mine`` under one softmax; with it the probabilities."""
+def _shares(states, weights, bias, mine, want_rest: bool):
+    """Logit of the outputs ``mine`` under one softmax and the sum of it; with it the probabilities."""
     x = states @ weights.T
     x += bias
-    picked = x[np.arange(len(mine)), mine].astype(np.float64)
+    picked = x[np.arange(len(mine)), mine]
     np.minimum(x, 60, out=x)  # far above any trained value; keeps the sum finite
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
-    return picked - np.log(total), (x / total[:, None] if want_rest else None)
+    if want_rest:
+        x /= total[:, None]
+    return picked, total, x
 
 
-def token_logs(net: Net, states: np.ndarray, ids: np.ndarray, grads: dict | None = None):
+def token_logs(net: Net, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log probability of each token given the state before it.
 
-    Tokens are sorted by class, so each class is one small product. With ``grads`` the
-    gradient of the summed negative log probability is added there and returned for the states.
+    Tokens are sorted by class, so each class is one small product over its run of rows.
     """
     p = net.p
     cls = net.of[ids]
-    out, d = _chosen(states, p["C"], p["cb"], cls, grads is not None)
-    back = None
-    if grads is not None:
-        d[np.arange(len(ids)), cls] -= 1
-        grads["C"] += d.T @ states
-        grads["cb"] += d.sum(axis=0)
-        back = d @ p["C"]
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(len(net.first)))
-    for k in range(len(net.first) - 1):
-        at = order[edges[k]:edges[k + 1]]
-        lo, hi = net.first[k], net.first[k + 1]
-        if not len(at) or hi - lo < 2:
-            continue
-        s = states[at]
-        mine = ids[at] - lo
-        logs, d = _chosen(s, p["O"][lo:hi], p["ob"][lo:hi], mine, grads is not None)
-        out[at] += logs
-        if grads is not None:
-            d[np.arange(len(at)), mine] -= 1
-            grads["O"][lo:hi] += d.T @ s
-            grads["ob"][lo:hi] += d.sum(axis=0)
-            back[at] += d @ p["O"][lo:hi]
-    return out, back
-
-
-def gradients(net: Net, ids: np.ndarray, state: np.ndarray) -> tuple[dict, float]:
+    order = np.argsort(cls.astype(np.uint16), kind="stable")  # classes are far fewer
+    states, ids, cls = states[order], ids[order], cls[order]
+    inside = ids - net.first[cls]
+    edges = np.searchsorted(cls, np.arange(len(net.first)))
+    logs = np.empty(len(ids))
+    for k in range(0, len(ids), _ROWS):
+        at = slice(k, k + _ROWS)
+        picked, total, _ = _shares(states[at], p["C"], p["cb"], cls[at], False)
+        logs[at] = picked - np.log(total.astype(np.float64))
+    own, sums = np.zeros(len(ids), states.dtype), np.ones(len(ids), states.dtype)
+    for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(net.first) > 1)):
+        at, some = slice(edges[k], edges[k + 1]), slice(net.first[k], net.first[k + 1])
+        own[at], sums[at], _ = _shares(states[at], p["O"][some], p["ob"][some], inside[at], False)
+    logs += own - np.log(sums.astype(np.float64))
+    out = np.empty_like(logs)
+    out[order] = logs
+    return out
+
+
+def token_gradients(net: Net, states: np.ndarray, ids: np.ndarray, grads: dict):
+    """``token_logs`` of the few tokens of a training step, and the gradient of their summed negative.
+
+    It is added to ``grads`` and returned for the states. The runs of the classes are cut into tiles of
+    ``_TILE`` rows, filled up with nothing, and all tiles are one product: at most a tile a class is
+    not full.
+    """
+    p, wide = net.p, int(np.diff(net.first).max())
+    cls = net.of[ids]
+    picked, total, d = _shares(states, p["C"], p["cb"], cls, True)
+    logs = picked - np.log(total.astype(np.float64))
+    d[np.arange(len(ids)), cls] -= 1
+    grads["C"] += d.T @ states
+    grads["cb"] += np.ones(len(d), d.dtype) @ d
+    back = d @ p["C"]
+    width = np.diff(net.first)
+    use = np.flatnonzero(width[cls] > 1)  # a class of one output has nothing to choose
+    if not len(use):
+        return logs, back
+    order = use[np.argsort(cls[use].astype(np.uint16), kind="stable")]  # classes are far fewer
+    cls, ids = cls[order], ids[order]
+    have, start, count = np.unique(cls, return_index=True, return_counts=True)
+    tiles = -(-count // _TILE)
+    base = np.cumsum(tiles) - tiles
+    place = np.arange(len(cls)) + np.repeat(base * _TILE - start, count)
+    s = np.zeros((tiles.sum() * _TILE, states.shape[1]), states.dtype)
+    s[place] = states[order]
+    s3 = s.reshape(-1, _TILE, states.shape[1])
+    real = np.arange(wide) < width[have][:, None]
+    rows = np.where(real, net.first[have][:, None] + np.arange(wide), 0)
+    of = np.repeat(np.arange(len(have)), tiles)
+    o = p["O"][rows][of]
+    x = s3 @ o.transpose(0, 2, 1)
+    x += np.where(real, p["ob"][rows], np.float32(-1e30))[of][:, None, :]
+    flat = x.reshape(-1, wide)
+    mine = ids - net.first[cls]
+    own = flat[place, mine]
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    sums = flat @ np.ones(wide, x.dtype)
+    logs[order] += own - np.log(sums[place].astype(np.float64))
+    share = np.zeros(len(flat), x.dtype)
+    share[place] = 1 / sums[place]
+    flat *= share[:, None]
+    flat[place, mine] -= 1
+    ends = np.append(base, len(x)) * _TILE
+    for k, low, high in zip(have, ends[:-1], ends[1:]):  # the rows of a class lie together
+        grads["O"][net.first[k]:net.first[k + 1]] += (flat[low:high].T @ s[low:high])[:width[k]]
+    grads["ob"][rows[real]] += np.add.reduceat(flat, ends[:-1])[real]
+    back[order] += (x @ o).reshape(-1, states.shape[1])[place]
+    return logs, back
+
+
+def gradients(net: Net, ids: np.ndarray, state: np.ndarray, out: dict | None = None) -> tuple[dict, float]:
     """Gradient of the mean loss of one (time, batch) window; the first token is the context.
 
-    Numbers below 0 fill up windows that are shorter: nothing is learned from them.
+    Numbers below 0 fill up windows that are shorter: nothing is learned from them. ``out`` names
+    arrays of zeros that take the gradients.
     """
     p, h = net.p, HIDDEN
-    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g = out or {k: np.zeros_like(v) for k, v in p.items()}
     inputs, targets = np.maximum(ids[:-1], 0), ids[1:]
     steps, batch = inputs.shape
     states, gates = forward(net, inputs, state, keep=True)
     after = states[1:].reshape(steps * batch, h)
     use = np.flatnonzero(targets.ravel() >= 0)
-    logs, some = token_logs(net, after[use], targets.ravel()[use], g)
+    logs, some = token_gradients(net, after[use], targets.ravel()[use], g)
     back = np.zeros_like(after)
     back[use] = some
     back = back.reshape(steps, batch, h)
-    d = np.zeros((batch, h), np.float32)
-    dx = np.zeros((steps, batch, 3 * h), np.float32)
+    before = states[:-1]
+    z, r, c = gates[:, 0], gates[:, 1], gates[:, 2]
+    # what a gate passes on of the gradient of its state, for all steps at once
+    to_c = (1 - z) * (1 - c * c)
+    to_z = (before - c) * z * (1 - z)
+    to_r = before * r * (1 - r)
+    outer, inner = p["U"][:2 * h].reshape(2, h, h), np.ascontiguousarray(p["U"][2 * h:])
+    d = np.zeros((batch, h), after.dtype)
+    dx = np.empty((3, steps, batch, h), after.dtype)
     for t in range(steps - 1, -1, -1):
-        d = d + back[t]
-        (z, r, c), before = gates[t], states[t]
-        dc = d * (1 - z) * (1 - c * c)
-        dz = d * (before - c) * z * (1 - z)
-        drs = dc @ p["U"][2 * h:]
-        dr = drs * before * r * (1 - r)
-        dx[t] = np.concatenate((dz, dr, dc), axis=1)
-        g["U"][:2 * h] += dx[t, :, :2 * h].T @ before
-        g["U"][2 * h:] += dc.T @ (r * before)
-        d = d * z + drs * r + dx[t, :, :2 * h] @ p["U"][:2 * h]
-    flat = dx.reshape(-1, 3 * h)
+        d += back[t]
+        dz, dr, dc = dx[0, t], dx[1, t], dx[2, t]
+        np.multiply(d, to_c[t], out=dc)
+        np.multiply(d, to_z[t], out=dz)
+        drs = dc @ inner
+        np.multiply(drs, to_r[t], out=dr)
+        d *= z[t]
+        drs *= r[t]
+        d += drs
+        d += dz @ outer[0]
+        d += dr @ outer[1]
+    old = before.reshape(-1, h)
+    parts = [x.reshape(-1, h) for x in dx]
+    for k, left in enumerate((old, old, (r * before).reshape(-1, h))):
+        g["U"][k * h:(k + 1) * h] += parts[k].T @ left
+    flat = np.concatenate(parts, axis=1)
     g["W"] += flat.T @ p["E"][inputs.ravel()]
-    g["b"] += flat.sum(axis=0)
-    np.add.at(g["E"], inputs.ravel(), flat @ p["W"])
+    g["b"] += np.ones(len(flat), flat.dtype) @ flat
+    cell = inputs.reshape(-1, 1) * EMBED + np.arange(EMBED)
+    g["E"] += np.bincount(cell.ravel(), (flat @ p["W"]).ravel(), g["E"].size).reshape(g["E"].shape).astype(g["E"].dtype)
     n = max(1, len(use))
-    return {k: v / n for k, v in g.items()}, -logs.sum() / n
+    for v in g.values():
+        v /= n
+    return g, -logs.sum() / n
 
 
 def windows_of(ids: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
@@ -259,19 +338,30 @@ def windows_of(ids: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
+def _views(flat: np.ndarray, like: dict) -> dict:
+    """Arrays of the shapes of ``like`` that lie one after another in ``flat``."""
+    at = np.cumsum([0, *(v.size for v in like.values())])
+    return {k: flat[i:i + v.size].reshape(v.shape) for (k, v), i in zip(like.items(), at)}
+
+
 def train(net: Net, windows: np.ndarray) -> Net:
     """One pass of Adam over (windows, WINDOW + 1) token numbers, in batches."""
-    m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
-    p = {k: x.copy() for k, x in net.p.items()}
-    net = Net(p, net.first, net.of)
+    flat = np.concatenate([v.ravel() for v in net.p.values()])  # all parameters move at once
+    net = Net(_views(flat, net.p), net.first, net.of)
+    m, v2, g = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    into = _views(g, net.p)
     for step, k in enumerate(range(0, len(windows), BATCH), 1):
         some = windows[k:k + BATCH].T
-        g, _ = gradients(net, some, np.zeros((some.shape[1], HIDDEN), np.float32))
-        for name, x in g.items():
-            m[name] += 0.1 * (x - m[name])
-            v2[name] += 0.01 * (x * x - v2[name])
-            p[name] -= RATE * (m[name] / (1 - 0.9 ** step)) / (np.sqrt(v2[name] / (1 - 0.99 ** step)) + 1e-7)
+        g[:] = 0
+        gradients(net, some, np.zeros((some.shape[1], HIDDEN), np.float32), into)
+        m += 0.1 * (g - m)
+        g *= g
+        g -= v2
+        g *= 0.01
+        v2 += g
+        root = np.sqrt(v2 / (1 - 0.99 ** step))
+        root += 1e-7
+        flat -= RATE / (1 - 0.9 ** step) * m / root
     return net
 
 
@@ -342,7 +432,7 @@ def score_texts(net: Net, ids: list[np.ndarray], start: int) -> np.ndarray:
                 inputs[:len(piece), j] = np.concatenate((before, piece[:-1]))
             states, _ = forward(net, inputs, state[live])
             use = targets.ravel() >= 0
-            logs, _ = token_logs(net, states[1:].reshape(-1, HIDDEN)[use], targets.ravel()[use])
+            logs = token_logs(net, states[1:].reshape(-1, HIDDEN)[use], targets.ravel()[use])
             who = np.broadcast_to(live, targets.shape).ravel()[use]
             out[[lane[i] for i in live]] += np.bincount(who, logs, len(lane))[live]
             state[live] = states[len(inputs)]
