@@ -388,6 +388,47 @@ def test_sketches_lose_no_pair(spark):
     assert len(near) > 40 and near <= left and len(left) < len(every) / 20
 
 
+def test_sketches_of_long_lines(spark):
+    """Long lines over few words: the short sketch passes nearly every pair, the wide one next to none but the near."""
+    rnd = random.Random(31)
+    words = ["".join(rnd.choices("abcdefghijkl", k=4)) for _ in range(4000)]
+    lines = [" ".join(rnd.choices(words, k=k)) for k in (20, 60, 90, 130, 200, 260, 400, 410, 500, 520, 640) for _ in range(3)]
+    lines += [x[:5] + "#" + x[6:] for x in lines] + [x[:int(len(x) * 0.85)] for x in lines]
+    n, _, sketch = LD.band_keys(lines)
+    wide, count = LD.wide_sketches(lines)
+    assert [c > 0 for c in count] == [k > 256 for k in n] and len(set(count)) > 3
+    for k, line in enumerate(lines):  # a sketch depends on the line only
+        assert (LD.wide_sketches([line])[0] == wide[count[:k].sum():count[:k + 1].sum()]).all()
+    rows = [(k, int(n[k]), [int(x) for x in sketch[k]], line) for k, line in enumerate(lines)]
+    texts = spark.createDataFrame(rows, "a long, n int, sketch array<long>, line string")
+    sets = [_runs(x) for x in lines]
+    every = [(i, j) for j in range(len(lines)) for i in range(j)]
+    pairs = spark.createDataFrame(every, "a long, b long")
+    near = {(i, j) for i, j in every if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    left = {(r.a, r.b) for r in LD.possible(pairs, LD.with_wide(texts)).collect()}
+    assert len(near) > 50 and near <= left and len(left - near) < len(near)
+    assert LD.possible(pairs, texts).count() > 2 * len(left)
+    # a prefix by the sizes of the pair: fewer candidates, none of the near ones lost
+    members = spark.createDataFrame([(1, k, int(n[k]), k) for k in range(len(lines))], "key long, a long, n int, comp long")
+    sketches = texts.select("a", "sketch")
+    made = {(r.a, r.b) for r in LD.prefix_pairs(members, texts, sketches=sketches).collect()}
+    assert near <= made and len(made) < LD.prefix_pairs(members, texts).count() / 2
+
+
+def test_components_go_on(spark):
+    rnd = random.Random(8)
+    rounds = [[(rnd.randrange(60), rnd.randrange(60)) for _ in range(k)] for k in (18, 7, 5, 1)]
+    at, roots = list(range(60)), None
+    for links in rounds:
+        for a, b in links:
+            low, high = sorted((at[a], at[b]))
+            at = [low if r == high else r for r in at]
+        found = spark.createDataFrame(links, "a long, b long")
+        roots = LD.connected_components(found) if roots is None else LD._merged(roots, found)
+        got = dict(map(tuple, roots.collect()))
+        assert roots.count() == len(got) and [got.get(k, k) for k in range(60)] == at
+
+
 def test_line_dedup_columns(spark):
     """Columns of any name stay; equal lines go in any order of rows and partitions."""
     rows = [(3, "same line here\nb", 1, "x"), (1, "same line here", 2, "y"), (2, "c\nsame line here\nsame line here", 3, "z")]
@@ -554,6 +595,31 @@ def test_lm_gradients():
         assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
 
 
+def test_lm_tiles_and_cells():
+    """Tiles of classes give the logs that the classes give one by one; cells find what a search finds."""
+    rng = np.random.default_rng(5)
+    net = LM.new_net(1000 / np.arange(1, 400.0))
+    net = LM.Net({k: v + rng.standard_normal(v.shape) * 0.1 for k, v in net.p.items()}, net.first, net.of)
+    for ids in (rng.integers(0, 399, 1500), np.zeros(5, int), np.full(100, 398), rng.integers(300, 399, 70)):
+        states = rng.standard_normal((len(ids), LM.HIDDEN))
+        g = {k: np.zeros_like(v) for k, v in net.p.items()}
+        logs, back = LM.token_gradients(net, states, ids, g)
+        assert np.allclose(logs, LM.token_logs(net, states, ids), atol=1e-9)
+        up, down = states.copy(), states.copy()
+        up[:, 3] += 1e-5
+        down[:, 3] -= 1e-5
+        slope = (LM.token_logs(net, down, ids) - LM.token_logs(net, up, ids)) / 2e-5
+        assert np.allclose(slope, back[:, 3], atol=1e-6)
+        assert abs(g["ob"].sum()) < 1e-8
+    for size in (1, 2, 3000):
+        tokens = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+        lexicon = LM.Lexicon(tokens, np.arange(len(tokens)), np.arange(len(tokens), dtype=np.int32), np.zeros(1, np.int32), 0)
+        asked = np.concatenate((tokens, tokens + np.uint64(1), [np.uint64(0), ~np.uint64(0)]))
+        hit = np.isin(asked, tokens)
+        _, c = lexicon.look_up(asked, np.zeros(len(asked), int))
+        assert (c == np.where(hit, np.searchsorted(tokens, asked), -1)).all()
+
+
 def test_lm_scores(spark, monkeypatch):
     monkeypatch.setattr(LM, "TABLE", 500)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
