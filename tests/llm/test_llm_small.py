@@ -2,16 +2,20 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 from conftest import SF001
+from pyspark.sql import functions as F
 
 from linecraft.llm import chat_format as CF
+from linecraft.llm import common
 from linecraft.llm import components as CC
 from linecraft.llm import decontaminate as DC
 from linecraft.llm import doc_fingerprint as DF
@@ -23,7 +27,7 @@ from linecraft.llm import mixing as MX
 from linecraft.llm import quality as Q
 from linecraft.llm import simhash_dedup as SD
 from linecraft.llm.queries import ORACLE, QUERIES
-from linecraft.session import TABLES
+from linecraft.session import TABLES, ensure_checkpoint_dir
 
 DOCS = "doc_id long, text string, source string, n_near long, labels string"
 
@@ -429,6 +433,49 @@ def test_components_go_on(spark):
         assert roots.count() == len(got) and [got.get(k, k) for k in range(60)] == at
 
 
+def test_line_dedup_frees_what_it_wrote(spark):
+    """Of a whole run only the places that its lazy result reads, and small link tables, stay in the shared folder."""
+    folder = ensure_checkpoint_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    df = spark.createDataFrame(list(enumerate(_near_lines(6, 20))), "doc_id long, text string")
+    got = LD.dedup(df)
+    new = [x for x in set(os.listdir(folder)) - before if x.count("-") == 1]  # Spark's own folders have more
+    assert "gone" in {x.split("-")[0] for x in new} <= {"gone", "cc", "joined"}
+    assert 20 <= got.where("text != ''").count() < 40
+
+
+def test_materialise_frees_its_shuffles(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for d in manager.localDirsString() for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before, was = files(), spark.conf.get(common.FREE_SHUFFLES)
+    made = common.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    for _ in range(50):  # files go shortly after the query ends
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(common.FREE_SHUFFLES) == was
+    assert sorted(map(tuple, made.collect())) == [(k, 143 - (k == 6)) for k in range(7)]
+    common.discard(made)
+    assert not any(x.startswith("freed-") for x in os.listdir(ensure_checkpoint_dir(spark).removeprefix("file://")))
+
+
+def test_prefix_pairs_in_any_order(spark, monkeypatch):
+    """Counts that share one cell order shingles by their hash alone: more candidates at most, none lost."""
+    lines = sorted(set(_near_lines(21, 25)) | {"a", "ab", "xy" * 40})
+    sets = [_runs(x) for x in lines]
+    members = spark.createDataFrame([(1, k, len(x), k) for k, x in enumerate(sets)], "key long, a long, n int, comp long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "a long, line string")
+    near = {(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    for cells in (2, LD.CELLS):
+        monkeypatch.setattr(LD, "CELLS", cells)
+        for most in (0, LD.SENT_PAIRS):
+            monkeypatch.setattr(LD, "SENT_PAIRS", most)
+            assert len(near) > 15 and near <= {(r.a, r.b) for r in LD.prefix_pairs(members, texts).collect()}
+
+
 def test_line_dedup_columns(spark):
     """Columns of any name stay; equal lines go in any order of rows and partitions."""
     rows = [(3, "same line here\nb", 1, "x"), (1, "same line here", 2, "y"), (2, "c\nsame line here\nsame line here", 3, "z")]
