@@ -742,3 +742,37 @@ def test_pipeline_stages(spark):
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF001}/labels.parquet").collect()}
     marked = [quality[r.doc_id] for r in mixed.collect() if r.doc_id in quality]
     assert sum(marked) >= 0.95 * len(marked)
+
+
+def test_block_pairs(spark, monkeypatch):
+    """Whatever the blocks, each two classes of different components meet once; of these the sketches lose no near pair."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijkl", k=4)) for _ in range(4000)]
+    lines = [" ".join(rnd.choices(words, k=k)) for k in (1, 2, 20, 60, 90, 130, 200, 260, 400, 410, 500) for _ in range(3)]
+    lines += [x[:5] + "#" + x[6:] for x in lines] + [x[:int(len(x) * 0.85)] for x in lines]
+    lines = sorted(set(lines))
+    n, _, sketch = LD.band_keys(lines)
+    sets = [_runs(x) for x in lines]
+    rows = [(k, int(n[k]), k if k % 5 else 0, [int(x) for x in sketch[k]], line) for k, line in enumerate(lines)]
+    texts = LD.with_wide(spark.createDataFrame(rows, "a long, n int, comp long, sketch array<long>, line string"))
+    near = {(i, j) for j in range(len(lines)) for i in range(j) if (i % 5 or j % 5)
+            and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    classes = texts.select("a", "n", "comp", F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("sketch")).alias("longs"))
+    for block, shingles in ((LD.BLOCK, LD.BLOCK_SHINGLES), (3, LD.BLOCK_SHINGLES), (LD.BLOCK, 2000)):
+        monkeypatch.setattr(LD, "BLOCK", block)
+        monkeypatch.setattr(LD, "BLOCK_SHINGLES", shingles)
+        got = [(r.a, r.b) for r in LD.block_pairs(classes).collect()]
+        assert len(near) > 40 and near <= set(got) and len(got) == len(set(got)) < 2 * len(near)
+    # few shingles for many lines: the last round compares sketches and makes no row per shingle
+    monkeypatch.setattr(LD, "JOINED", 1e9)
+    members = spark.createDataFrame([(1, *r[:3]) for r in rows], "key long, a long, n int, comp long")
+    made = {(r.a, r.b) for r in LD.prefix_pairs(members, texts, sketches=texts).collect()}
+    assert made == set(got)
+    assert made < {(r.a, r.b) for r in LD.prefix_pairs(members, texts, sketches=texts.select("a", "sketch")).collect()}
+
+
+def test_marked_rows_hold_all_that_are_asked(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("a"), "id")
+    ids = rows.where("id % 7 = 0").select("a")
+    got = {r.id for r in LD._marked(rows, ids).collect()}
+    assert set(range(0, 3000, 7)) <= got and len(got) < 500
